@@ -5,8 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe_shuffle import encode_digests
 from .common import read_table
 from .line_runs import dedup_lines
+from .sharding import shard_documents
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_digests(spark, docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(spark, read_table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,5 +40,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-QUERIES = {"op10_line_dedup": op10_line_dedup}
+QUERIES = {"op5_bpe": op5_bpe, "op9_sharding": op9_sharding, "op10_line_dedup": op10_line_dedup}
 SQL = {"op10_line_dedup": OP10_SQL}
