@@ -8,7 +8,19 @@ from pyspark.sql import functions as F
 from .bpe_shuffle import encode_digests
 from .common import read_table
 from .line_runs import dedup_lines
+from .secret_scan import digests as secret_digests
+from .secret_scan import scan as secret_scan
 from .sharding import shard_documents
+from .warc_gzip import round_trip
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(spark, read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return secret_digests(secret_scan(spark, docs, repository="doc_id", owner="source"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +39,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+OP3_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_page FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_page THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_page THEN first_page END AS refers_to
+FROM m
+"""
+
 OP10_SQL = r"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 lines AS (
@@ -40,5 +62,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-QUERIES = {"op5_bpe": op5_bpe, "op9_sharding": op9_sharding, "op10_line_dedup": op10_line_dedup}
-SQL = {"op10_line_dedup": OP10_SQL}
+QUERIES = {"op3_warc": op3_warc, "op4_secrets": op4_secrets, "op5_bpe": op5_bpe, "op9_sharding": op9_sharding, "op10_line_dedup": op10_line_dedup}
+SQL = {"op3_warc": OP3_SQL, "op10_line_dedup": OP10_SQL}
