@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid_bloom, toxicity_fm
 from .bpe_shuffle import encode_digests
 from .common import read_table
 from .line_runs import dedup_lines
@@ -30,6 +31,17 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(spark, docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid_bloom.predict(spark, docs, langid_bloom.learn(spark, docs))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_fm.learn(spark, docs, read_table(spark, sf_dir, "labels"))
+    return toxicity_fm.score_documents(spark, docs, model)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(spark, read_table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
 
@@ -62,5 +74,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-QUERIES = {"op3_warc": op3_warc, "op4_secrets": op4_secrets, "op5_bpe": op5_bpe, "op9_sharding": op9_sharding, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op3_warc": op3_warc, "op4_secrets": op4_secrets, "op5_bpe": op5_bpe, "op6_langid": op6_langid, "op7_toxicity": op7_toxicity, "op9_sharding": op9_sharding, "op10_line_dedup": op10_line_dedup}
 SQL = {"op3_warc": OP3_SQL, "op10_line_dedup": OP10_SQL}
