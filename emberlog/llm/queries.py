@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import langid_bloom, toxicity_fm
 from .bpe_shuffle import encode_digests
 from .common import read_table
+from .decontam import contaminated
 from .line_runs import dedup_lines
 from .secret_scan import digests as secret_digests
 from .secret_scan import scan as secret_scan
@@ -42,6 +43,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_fm.score_documents(spark, docs, model)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contaminated(spark, docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(spark, read_table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
 
@@ -74,5 +80,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-QUERIES = {"op3_warc": op3_warc, "op4_secrets": op4_secrets, "op5_bpe": op5_bpe, "op6_langid": op6_langid, "op7_toxicity": op7_toxicity, "op9_sharding": op9_sharding, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op3_warc": op3_warc, "op4_secrets": op4_secrets, "op5_bpe": op5_bpe, "op6_langid": op6_langid, "op7_toxicity": op7_toxicity, "op8_decontamination": op8_decontamination, "op9_sharding": op9_sharding, "op10_line_dedup": op10_line_dedup}
 SQL = {"op3_warc": OP3_SQL, "op10_line_dedup": OP10_SQL}
