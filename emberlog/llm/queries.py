@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid_bloom, toxicity_fm
+from . import ann_ivfpq, langid_bloom, toxicity_fm
 from .bpe_shuffle import encode_digests
 from .common import read_table
 from .decontam import contaminated
@@ -16,6 +16,11 @@ from .sharding import shard_documents
 from .warc_gzip import round_trip
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann_ivfpq.search(spark, vectors, vectors.where(F.col("vec_id") % 50 == 0), neighbours=5)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -80,5 +85,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-QUERIES = {"op3_warc": op3_warc, "op4_secrets": op4_secrets, "op5_bpe": op5_bpe, "op6_langid": op6_langid, "op7_toxicity": op7_toxicity, "op8_decontamination": op8_decontamination, "op9_sharding": op9_sharding, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op2_ann": op2_ann, "op3_warc": op3_warc, "op4_secrets": op4_secrets, "op5_bpe": op5_bpe, "op6_langid": op6_langid, "op7_toxicity": op7_toxicity, "op8_decontamination": op8_decontamination, "op9_sharding": op9_sharding, "op10_line_dedup": op10_line_dedup}
 SQL = {"op3_warc": OP3_SQL, "op10_line_dedup": OP10_SQL}
