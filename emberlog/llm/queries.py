@@ -10,12 +10,17 @@ from .bpe_shuffle import encode_digests
 from .common import read_table
 from .decontam import contaminated
 from .line_runs import dedup_lines
+from .ngram_join import jaccard_components
 from .secret_scan import digests as secret_digests
 from .secret_scan import scan as secret_scan
 from .sharding import shard_documents
 from .warc_gzip import round_trip
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(spark, read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return ann_ivfpq.search(spark, vectors, vectors.where(F.col("vec_id") % 50 == 0), neighbours=5)
@@ -85,5 +90,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-QUERIES = {"op2_ann": op2_ann, "op3_warc": op3_warc, "op4_secrets": op4_secrets, "op5_bpe": op5_bpe, "op6_langid": op6_langid, "op7_toxicity": op7_toxicity, "op8_decontamination": op8_decontamination, "op9_sharding": op9_sharding, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_ann": op2_ann, "op3_warc": op3_warc, "op4_secrets": op4_secrets, "op5_bpe": op5_bpe, "op6_langid": op6_langid, "op7_toxicity": op7_toxicity, "op8_decontamination": op8_decontamination, "op9_sharding": op9_sharding, "op10_line_dedup": op10_line_dedup}
 SQL = {"op3_warc": OP3_SQL, "op10_line_dedup": OP10_SQL}
