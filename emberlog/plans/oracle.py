@@ -86,7 +86,7 @@ inc AS (SELECT incident_no, 'INC-' || CASE WHEN incident_no < 10000 THEN lpad(CA
 
 
 def shown(c: str) -> str:
-    return f"strftime({c}, CASE WHEN epoch_us({c}) % 1000000 = 0 THEN '%Y-%m-%d %H:%M:%S' ELSE '%Y-%m-%d %H:%M:%S.%f' END)"
+    return f"CASE WHEN epoch_us({c}) % 1000000 = 0 THEN strftime({c}, '%Y-%m-%d %H:%M:%S') ELSE strftime({c}, '%Y-%m-%d %H:%M:%S.%f') END"
 
 
 RECORDS = INCIDENTS + f""", rec AS (SELECT inc.*, CASE WHEN peak >= 0.8 OR n_anomalies >= 20 THEN 'P1' WHEN peak >= 0.5 OR n_anomalies >= 5 THEN 'P2' WHEN peak >= 0.2 THEN 'P3' ELSE 'P4' END AS priority,
@@ -97,8 +97,8 @@ COUNTS = ", ".join(f"count(*) FILTER (WHERE event_id = '{v}') AS {v}" for v in (
 QUALITY = E + """, gp AS (SELECT (epoch_us("timestamp") - lag(epoch_us("timestamp")) OVER (ORDER BY seq)) / 1e6 AS gap FROM e),
 kz AS (SELECT node, count(*) AS n FROM e GROUP BY node),
 q AS (SELECT count(*) AS n_rows, min("timestamp") AS time_start, max("timestamp") AS time_end, count(DISTINCT event_id) AS n_templates,
-  sum(CASE WHEN seq IS NULL THEN 1 ELSE 0 END + CASE WHEN "timestamp" IS NULL THEN 1 ELSE 0 END + CASE WHEN event_id IS NULL OR event_id = '' THEN 1 ELSE 0 END + CASE WHEN node IS NULL OR node = '' THEN 1 ELSE 0 END
-    + CASE WHEN label IS NULL THEN 1 ELSE 0 END + CASE WHEN score IS NULL OR isnan(score) THEN 1 ELSE 0 END + CASE WHEN content IS NULL OR content = '' THEN 1 ELSE 0 END) AS null_cells,
+  CAST(sum(CASE WHEN seq IS NULL THEN 1 ELSE 0 END + CASE WHEN "timestamp" IS NULL THEN 1 ELSE 0 END + CASE WHEN event_id IS NULL OR event_id = '' THEN 1 ELSE 0 END + CASE WHEN node IS NULL OR node = '' THEN 1 ELSE 0 END
+    + CASE WHEN label IS NULL THEN 1 ELSE 0 END + CASE WHEN score IS NULL OR isnan(score) THEN 1 ELSE 0 END + CASE WHEN content IS NULL OR content = '' THEN 1 ELSE 0 END) AS BIGINT) AS null_cells,
   bool_and(epoch_us("timestamp") % 1000000 = 0) AS seconds_only, count(*) FILTER (WHERE node IS NULL AND FALSE) AS lines_without_key, count(*) - count(DISTINCT coalesce(content, '#null')) AS duplicate_content,
   count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM e)) AS exact_duplicate_rows, (epoch_us(max("timestamp")) - epoch_us(min("timestamp"))) / 1e6 AS span_seconds FROM e),
 q2 AS (SELECT count(*) FILTER (WHERE gap < 0) AS times_going_backwards, round_even(avg(CASE WHEN gap = 0 THEN 1.0 WHEN gap IS NULL THEN NULL ELSE 0.0 END), 4) AS tie_fraction FROM gp),
