@@ -5,12 +5,16 @@
    others by the ``regex`` library. Each Arrow batch is a *block*: it turns its
    pre-tokens into a dictionary of distinct words and one packed row of codes, in
    which the position of a code is the position of the pre-token.
-2. The (word, block, code) rows are shuffled by word, each distinct word is encoded
-   once, and the ids are joined back to the blocks that hold the word.
+2. The (word, block, code) rows are shuffled by word and sorted, each distinct word is
+   encoded once, and its ids go back to all blocks that hold the word.
 3. Codes and ids of a block meet again by the block's key; a gather reassembles the
    ids of every document by position. Decoding joins the table of token bytes, which
    is bounded by the vocabulary, to the ids.
 
+Words and codes are made by two passes over the texts, so that neither is kept on disk
+besides its own shuffle. A digest of each block's rows and dictionary goes both ways; a block
+whose two passes differ (an input that isn't deterministic) is an error, not a wrong row.
+
 A common word has one row for each block, not one for each occurrence, so that no
 word's occurrences meet in one task, and a block is bounded by the rows and bytes of an
 Arrow batch.
@@ -24,7 +28,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 from collections.abc import Iterator
 from functools import cache
 
@@ -33,8 +36,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
-
 #: Characters for which the JVM's classes and the tokenizer's are the same.
 PLAIN = r"^[\x00-ɏ‐-‧‰-⁞]*$"
 #: White space among them, and all that the tokenizer's \s stands for.
@@ -67,7 +68,12 @@ def token_tables(vocabulary: str) -> tuple[pa.Array, pa.Array]:
     return pa.array([table.get(i, b"") for i in range(top)], pa.large_binary()), pa.array([b"%d," % i for i in range(top)], pa.large_binary())
 
 
+def id_type(vocabulary: str) -> str:
+    return "<u2" if max(ranks(vocabulary).values(), default=0) < 1 << 16 else "<u4"
+
+
 def _pack(codes: np.ndarray) -> bytes:
+    """Codes byte by byte: the high bytes hardly differ, so that they pack to nothing."""
     return pa.compress(np.ascontiguousarray(codes.astype("<u4").view("u1").reshape(-1, 4).T), codec="zstd", asbytes=True) if len(codes) else b""
 
 
@@ -78,18 +84,22 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, n).T).view("<u4").ravel().astype(np.int64)
 
 
-BLOCKS = pa.schema([("block", pa.int64()), ("word", pa.string()), ("code", pa.int32()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary())])
-BLOCKS_SQL = "block long, word string, code int, docs array<long>, sizes array<int>, codes binary"
+WORDS = pa.schema([("word", pa.string()), ("block", pa.int64()), ("code", pa.int32())])
+CODES = pa.schema([("block", pa.int64()), ("digest", pa.string()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary())])
+WORDS_SQL = "word string, block long, code int"
+CODES_SQL = "block long, digest string, docs array<long>, sizes array<int>, codes binary"
 
 
 def _blocks(pattern: str):
-    """Arrow batches (doc_id, text of the texts that aren't plain, words of those that are) to dictionaries and codes."""
+    """Arrow batches (doc_id, text of the texts that aren't plain, words of those that are) to dictionary-coded blocks."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]):
         import regex
+        from pyspark import TaskContext
 
         find = regex.compile(pattern).findall
-        for batch in batches:
+        task = TaskContext.get().partitionId()
+        for k, batch in enumerate(batches):
             if not batch.num_rows:
                 continue
             words, texts, doc_ids = batch.column("words"), batch.column("text"), batch.column("doc_id")
@@ -101,31 +111,61 @@ def _blocks(pattern: str):
                 flat = pa.concat_arrays([flat.cast(pa.string()), pa.array([w for x in lists for w in x], pa.string())])
                 sizes = np.concatenate([sizes, np.array([len(x) for x in lists], np.int32)])
                 docs += doc_ids.filter(texts.is_valid()).to_pylist()
-            coded = flat.dictionary_encode()
+            coded = flat.cast(pa.string()).dictionary_encode()
             codes = coded.indices.to_numpy(zero_copy_only=False)
             # frequent words get small codes, which pack better
             order = np.argsort(-np.bincount(codes, minlength=len(coded.dictionary)), kind="stable") if len(codes) else np.zeros(0, np.int64)
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
-            block = uuid.uuid4().int >> 65
-            head = {"block": [block], "word": [None], "code": [None], "docs": [docs], "sizes": [sizes], "codes": [_pack(place[codes] if len(codes) else codes)]}
-            yield pa.RecordBatch.from_pydict(head, schema=BLOCKS)
-            for a in range(0, len(order), 50_000):
-                part = order[a : a + 50_000]
+            dictionary = coded.dictionary.take(pa.array(order))
+            digest = hashlib.blake2b(str(docs).encode(), digest_size=16)
+            for buffer in dictionary.buffers()[1:]:
+                digest.update(buffer or b"")
+            yield (task << 32) + k, digest.hexdigest(), docs, sizes, dictionary, place[codes] if len(codes) else codes
+
+    return run
+
+
+def _words(pattern: str):
+    blocks = _blocks(pattern)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, digest, _, _, dictionary, _ in blocks(batches):
+            yield pa.RecordBatch.from_pydict({"word": [digest], "block": [block], "code": [-1]}, schema=WORDS)
+            for a in range(0, len(dictionary), 50_000):
+                part = dictionary.slice(a, 50_000)
                 n = len(part)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, block)), coded.dictionary.take(pa.array(part)).cast(pa.string()), pa.array(place[part].astype(np.int32)), *(pa.nulls(n, f.type) for f in list(BLOCKS)[3:])], schema=BLOCKS
-                )
+                yield pa.RecordBatch.from_arrays([part, pa.array(np.full(n, block)), pa.array(np.arange(a, a + n, dtype=np.int32))], schema=WORDS)
+
+    return run
+
+
+def _codes(pattern: str):
+    blocks = _blocks(pattern)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, digest, docs, sizes, _, codes in blocks(batches):
+            yield pa.RecordBatch.from_pydict({"block": [block], "digest": [digest], "docs": [docs], "sizes": [sizes], "codes": [_pack(codes)]}, schema=CODES)
 
     return run
 
 
 def _encode(vocabulary: str, pattern: str):
+    """Rows sorted by word to (block, code, ids); each distinct word is encoded once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, pattern).encode_ordinary
+        encode, kind = encoder(vocabulary, pattern).encode_ordinary, id_type(vocabulary)
+        last, ids = None, b""
         for batch in batches:
-            ids = [np.asarray(encode(w), "<u4").tobytes() for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word").cast(pa.string()), pa.array(ids, pa.binary())], names=["word", "ids"])
+            out = []
+            for word, code in zip(batch.column("word").to_pylist(), batch.column("code").to_pylist(), strict=True):
+                if code < 0:  # the digest of a block's dictionary
+                    out.append(word.encode())
+                    continue
+                if word != last:
+                    last, ids = word, np.asarray(encode(word), kind).tobytes()
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("code"), pa.array(out, pa.binary())], names=["of", "code", "ids"])
 
     return run
 
@@ -140,16 +180,16 @@ def _slices(offsets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 STEP = 1_000_000
 
 
-def block_ids(docs: pa.Table, words: pa.Table) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+def block_ids(docs: pa.Table, words: pa.Table, kind: str) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """doc ids, tokens of each and all their ids, in steps of a bounded number of pre-tokens."""
-    n_words = words.num_rows
-    order = np.argsort(words.column("code").to_numpy(), kind="stable") if n_words else np.zeros(0, np.int64)
-    binary = words.column("ids").combine_chunks().cast(pa.large_binary()) if n_words else pa.array([], pa.large_binary())
-    binary = binary.chunk(0) if isinstance(binary, pa.ChunkedArray) and binary.num_chunks == 1 else binary
-    taken = binary.take(pa.array(order))
-    ends = np.frombuffer(taken.buffers()[1], np.int64, count=n_words + 1, offset=8 * taken.offset) if n_words else np.zeros(1, np.int64)
-    flat = np.frombuffer(taken.buffers()[2], "<u4") if n_words and taken.buffers()[2] is not None else np.zeros(0, "<u4")
-    starts, lengths = ends[:-1] // 4, np.diff(ends) // 4
+    order = np.argsort(words.column("code").to_numpy(), kind="stable")
+    taken = words.column("ids").combine_chunks().cast(pa.large_binary()).take(pa.array(order))
+    if docs.num_rows != 1 or not len(order) or taken[0].as_py() != docs.column("digest")[0].as_py().encode():
+        raise ValueError("the two passes over the texts of a block differ")
+    taken = taken.slice(1)
+    ends = np.frombuffer(taken.buffers()[1], np.int64, count=len(order), offset=8)
+    flat, width = np.frombuffer(taken.buffers()[2][ends[0] :], kind), np.dtype(kind).itemsize
+    starts, lengths = (ends[:-1] - ends[0]) // width, np.diff(ends) // width
     for row in docs.to_pylist():
         doc_ids, sizes = row["docs"], np.asarray(row["sizes"], np.int64)
         codes, upto = _unpack(row["codes"], int(sizes.sum())), np.concatenate([[0], np.cumsum(sizes)])
@@ -175,7 +215,7 @@ def _digests(vocabulary: str):
     def run(key, docs: pa.Table, words: pa.Table) -> pa.Table:
         tokens, decimal = token_tables(vocabulary)
         out: dict[str, list] = {"doc_id": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        for doc_ids, sizes, ids in block_ids(docs, words):
+        for doc_ids, sizes, ids in block_ids(docs, words, id_type(vocabulary)):
             edge = np.concatenate([[0], np.cumsum(sizes)])
             for name, table, cut in (("ids_sha256", decimal, 1), ("decoded_sha256", tokens, 0)):
                 data, ends = _views(table, ids)
@@ -191,7 +231,7 @@ def _arrays(vocabulary: str):
     def run(key, docs: pa.Table, words: pa.Table) -> pa.Table:
         tokens, _ = token_tables(vocabulary)
         ids_of, texts, doc_ids = [], [], []
-        for docs_of, sizes, ids in block_ids(docs, words):
+        for docs_of, sizes, ids in block_ids(docs, words, id_type(vocabulary)):
             edge = np.concatenate([[0], np.cumsum(sizes)])
             data, ends = _views(tokens, ids)
             doc_ids += docs_of
@@ -202,30 +242,27 @@ def _arrays(vocabulary: str):
     return run
 
 
-def _encoded(spark: SparkSession, docs: DataFrame, vocabulary: str, pattern: str):
-    """The codes of the blocks, and (block, code, ids) of their words."""
-    scratch = Scratch(spark, "bpe")
+def _encoded(docs: DataFrame, vocabulary: str, pattern: str):
+    """The codes of the blocks, and (of, code, ids) of their words."""
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = text.rlike(PLAIN)
     split = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.when(~plain, text).alias("text"),
         F.when(plain, F.regexp_extract_all(text, F.lit(jvm_pattern(pattern)), F.lit(0))).alias("words"),
     )
-    blocks = scratch.save(split.mapInArrow(_blocks(pattern), BLOCKS_SQL), "blocks")
-    pairs = blocks.where("word IS NOT NULL").select("word", "block", "code")
-    encoded = pairs.select("word").distinct().mapInArrow(_encode(vocabulary, pattern), "word string, ids binary")
-    ids = pairs.join(encoded, "word").select(F.col("block").alias("of"), "code", "ids")
-    return blocks.where("docs IS NOT NULL").select("block", "docs", "sizes", "codes"), ids
+    pairs = split.mapInArrow(_words(pattern), WORDS_SQL).repartition("word").sortWithinPartitions("word")
+    ids = pairs.mapInArrow(_encode(vocabulary, pattern), "of long, code int, ids binary")
+    return split.mapInArrow(_codes(pattern), CODES_SQL), ids
 
 
 def encode_digests(spark: SparkSession, docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, SHA-256 of the comma-joined ids and of the decoded bytes."""
-    codes, ids = _encoded(spark, docs, vocabulary, pattern)
+    """docs: a written table. doc_id, n_tokens, SHA-256 of the comma-joined ids and of the decoded bytes."""
+    codes, ids = _encoded(docs, vocabulary, pattern)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return codes.groupBy("block").cogroup(ids.groupBy("of")).applyInArrow(_digests(vocabulary), schema)
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """doc_id, the token ids, and the text decoded from them."""
-    codes, ids = _encoded(spark, docs, vocabulary, pattern)
+    """docs: a written table. doc_id, the token ids, and the text decoded from them."""
+    codes, ids = _encoded(docs, vocabulary, pattern)
     return codes.groupBy("block").cogroup(ids.groupBy("of")).applyInArrow(_arrays(vocabulary), "doc_id long, ids array<int>, decoded string")
