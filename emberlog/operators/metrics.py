@@ -111,3 +111,14 @@ def largest_atom(scored: DataFrame) -> DataFrame:
 
 def ablation_verdict(lift: Column) -> Column:
     return F.when(lift > 0.005, "helps").when(F.abs(lift) <= 0.005, "no material effect").otherwise("hurts")
+
+
+def as_records(row: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(metric, value) of the columns of a one-row frame: the records of a result file."""
+    return row.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "metric", "value") if columns else row.limit(0)
+
+
+def compared(new: DataFrame, old: DataFrame) -> DataFrame:
+    """Two results side by side, by metric; either may lack one."""
+    both = new.withColumnRenamed("value", "new").join(old.withColumnRenamed("value", "old"), "metric", "full")
+    return both.withColumn("change", F.col("new") - F.col("old"))

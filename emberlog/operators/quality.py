@@ -96,3 +96,10 @@ def gap_histogram(gapped: DataFrame, bins: int = 50) -> DataFrame:
     ends = logs.agg(F.min("x").alias("a"), F.max("x").alias("b"))
     bin_no = F.least(F.floor(F.coalesce(F.try_divide((F.col("x") - F.col("a")) * bins, F.col("b") - F.col("a")), F.lit(0.0))), F.lit(bins - 1))
     return logs.crossJoin(F.broadcast(ends)).groupBy(bin_no.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def same_count(events: DataFrame, template: str, labels: DataFrame) -> DataFrame:
+    """Whether a template occurs exactly once for each labelled key: n_events, n_labels, equal."""
+    n = events.agg(F.count_if(F.col("event_id") == template).alias("n_events"))
+    # both are one row
+    return n.crossJoin(labels.agg(F.count("*").alias("n_labels"))).withColumn("equal", F.col("n_events") == F.col("n_labels"))

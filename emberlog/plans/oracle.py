@@ -143,6 +143,10 @@ SELECT round(d, 6) AS ks_stat, round(m, 6) AS mean_gap, n, CASE WHEN x < 0.2 THE
 ba AS (SELECT bin, count(*) AS n, avg(label) AS anomaly_rate, sum(label) AS pos, count(*) FILTER (WHERE score >= (SELECT score FROM op) AND label = 1) / greatest(sum(label), 1) AS rc, count(*) FILTER (WHERE score >= (SELECT score FROM op) AND label = 0) / any_value(days) AS fa FROM binned GROUP BY bin)
 SELECT bin, n, round(anomaly_rate, 6) AS anomaly_rate, CASE WHEN pos > 0 AND pos < n THEN round(ap, 6) END AS pr_auc, round(rc, 6) AS recall_at_thr, round(fa, 6) AS fa_per_day FROM ba JOIN ap USING (bin)""",
     "score_atom": f"WITH {SCORED}, a AS (SELECT score, count(*) AS n FROM sc WHERE label = 0 GROUP BY score) SELECT round(max(n) / sum(n), 6) AS share FROM a",
+    "metric_comparison": f"""WITH {SCORED}, ng AS (SELECT k, -score AS score, label FROM sc), {point("sc")}, {point("ng").replace("ord AS", "ord2 AS").replace("FROM ord ", "FROM ord2 ").replace("op AS", "op2 AS")},
+a AS (SELECT unnest(['threshold', 'recall', 'precision', 'tp', 'fp', 'fn']) AS metric, unnest([score, ctp / pos, ctp / rk, ctp, rk - ctp, pos - ctp]) AS v FROM op), b AS (SELECT unnest(['recall', 'precision', 'tp', 'fp', 'fn']) AS metric, unnest([ctp / pos, ctp / rk, ctp, rk - ctp, pos - ctp]) AS v FROM op2)
+SELECT metric, round(a.v, 6) AS "new", round(b.v, 6) AS "old", round(a.v - b.v, 6) AS change FROM a FULL JOIN b USING (metric)""",
+    "invariant_check": f"WITH {L}, n AS (SELECT count(*) FILTER (WHERE event_id = 'NO') AS n_events FROM l), o AS (SELECT count(*) AS n_labels FROM orders) SELECT n_events, n_labels, n_events = n_labels AS equal FROM n, o",
     "fixed_threshold": f"WITH {EVENT_SCORES} SELECT round(quantile_cont(score, 0.98), 6) AS z FROM es",
     "pot_threshold": f"WITH {EVENT_SCORES}, one AS (SELECT 0 AS k, score FROM es), {pot('one', '0.001', '0.98')} SELECT round(z, 6) AS z, round(t, 6) AS t, round(gamma, 6) AS gamma, round(sigma, 6) AS sigma, np AS n_peaks FROM fits",
     "rolling_quantile": f"WITH {ROLLED} {TRAIL} SELECT seq, i, flag, round(thr, 6) AS thr FROM tr",

@@ -252,6 +252,18 @@ def score_atom(spark, d):
     return r6(metrics.largest_atom(scored(spark, d)))
 
 
+def metric_comparison(spark, d):
+    names = ["threshold", "recall", "precision", "tp", "fp", "fn"]
+    rows = scored(spark, d)
+    by_length = metrics.as_records(metrics.operating_point(rows, ["doc_id"], 0.9), names)
+    by_shortness = metrics.as_records(metrics.operating_point(rows.withColumn("score", -F.col("score")), ["doc_id"], 0.9), names[1:])
+    return r6(metrics.compared(by_length, by_shortness))
+
+
+def invariant_check(spark, d):
+    return quality.same_count(lines(spark, d), "NO", labels(spark, d))
+
+
 # --- thresholds ---
 
 
@@ -426,7 +438,7 @@ def stream_decay(spark, d):
 
 NAMES = (
     "canonical_events parsed_lines explode_keys dq_report dq_flags value_counts topk_vocab per_minute_fill fano gap_histogram key_sessions count_matrix sessions_labeled temporal_split split_summary rate_by_size"
-    " window_content window_timing window_features excitation rescaled_gaps ks_test qq_points intensity_grid hawkes_fit hawkes_window hawkes_simulate pr_auc pr_curve operating_point fa_per_day drift_report score_atom"
+    " window_content window_timing window_features excitation rescaled_gaps ks_test qq_points intensity_grid hawkes_fit hawkes_window hawkes_simulate pr_auc pr_curve operating_point fa_per_day drift_report score_atom metric_comparison invariant_check"
     " fixed_threshold pot_threshold rolling_quantile adaptive_pot threshold_stability threshold_swing severity_rank dedup correlate correlate_same_entity incidents triage_records triage_texts triage_p1 triage_totals"
     " categories context_lookup scaler iforest_scores ae_scores timing_ablation masked_templates drain_templates stream_windows stream_sessions stream_threshold stream_decay"
 ).split()
