@@ -23,9 +23,16 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
+def remove_local(path: str) -> None:
+    """At the driver's end its tables go; a store that isn't mounted is left to the cluster's own cleaning."""
+    if path.startswith(("file:", "/")):
+        shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written and read again: its plan is cut and its rows no longer move between partitions."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    atexit.register(remove_local, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

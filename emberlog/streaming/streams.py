@@ -6,6 +6,7 @@ operators don't do. Stateful operators keep one state for each key.
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.scratch import shared_folder
+from ..operators.scratch import remove_local, shared_folder
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +95,8 @@ def run_to_table(out: DataFrame, mode: str) -> DataFrame:
     spark = out.sparkSession
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
 
+    atexit.register(remove_local, root)
+
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
