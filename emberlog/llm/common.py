@@ -33,12 +33,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local[0]}"
 
 
+def remove_local(path: str) -> None:
+    """At the driver's end its tables go; a store that isn't mounted is left to the cluster's own cleaning."""
+    if path.startswith(("file:", "/")):
+        shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+
+
 class Scratch:
     """Tables of one run in a folder of its own below the shared folder."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        atexit.register(remove_local, self.root)
         self._n = 0
 
     def path(self, name: str) -> str:
