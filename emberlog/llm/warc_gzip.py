@@ -100,6 +100,8 @@ def inflate(read: Callable[[int], bytes]) -> Iterator[bytes]:
             data = z.unconsumed_tail
             if z.eof:
                 data, z = z.unused_data, zlib.decompressobj(GZIP)
+    if rest := z.flush():
+        yield rest
 
 
 class _Whole:
@@ -142,10 +144,31 @@ def write_monolith(root: str, rows: Iterator[dict], roll_bytes: int) -> Iterator
         yield path
 
 
+def _exists(uri: str) -> bool:
+    system, path = open_fs(uri)
+    return system.get_file_info(path).type == fs.FileType.File
+
+
 def normalise(source: str, target: str) -> tuple[str, int]:
-    """Rewrite every record as a member of its own; returns the index's path and the number of records."""
+    """Rewrite every record as a member of its own; returns the index's path and the number of records.
+
+    The index is the last to get its name. Then the source goes, so that the disk never
+    holds both forms of all archives; a task that is run again finds the index and is done.
+    """
+    index_uri = f"{target}.idx"
+    if not _exists(index_uri):
+        _rewrite(source, target, index_uri)
+    if _exists(source):
+        system, path = open_fs(source)
+        system.delete_file(path)
+    system, path = open_fs(index_uri)
+    with system.open_input_stream(path) as f:
+        return index_uri, f.read().count(b"\n")
+
+
+def _rewrite(source: str, target: str, index_uri: str) -> None:
     system, path = open_fs(source)
-    out, index, n = _Whole(target), _Whole(f"{target}.idx"), 0
+    out, index = _Whole(target), _Whole(index_uri)
     with system.open_input_stream(path, compression=None) as f:
         for headers, _, raw in records(inflate(f.read)):
             z = zlib.compressobj(6, zlib.DEFLATED, GZIP)
@@ -153,10 +176,8 @@ def normalise(source: str, target: str) -> tuple[str, int]:
             line = {"offset": out.size, "length": len(member), "type": headers["warc-type"], "id": headers["warc-record-id"].strip("<>")}
             index.write((json.dumps(line) + "\n").encode())
             out.write(member)
-            n += 1
     out.close()
     index.close()
-    return f"{target}.idx", n
 
 
 def read_index(uri: str, first: int, count: int) -> list[dict]:
@@ -240,13 +261,13 @@ def write_archives(spark: SparkSession, pages: DataFrame, root: str, min_revisit
     raw = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     digests = scratch.save(pages.select("page_id", F.sha2(raw, 256).alias("digest"), F.octet_length(raw).alias("size")), "digests")
     shared = digests.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("ref"), F.count("*").alias("n")).where("n > 1")
-    marks = digests.join(shared, "digest").select("page_id", "digest", "ref").distinct()
-    marks = marks.select(F.col("page_id").alias("m_page"), F.col("digest").alias("m_digest"), F.col("ref").alias("refers_to"), F.lit(True).alias("shared"))
+    # plain keys, so that the join keeps the partitioning by which pages are dealt out and the html moves once
+    keys = {"k_page": F.coalesce("page_id", F.lit(-(1 << 63))), "k_digest": F.concat("digest", F.when(F.col("page_id").isNull(), "-").otherwise(""))}
+    marks = digests.join(shared, "digest").withColumns(keys).select("k_page", "k_digest", F.col("ref").alias("refers_to"), F.lit(True).alias("shared")).distinct()
     # digests repeat over many pages, so the page id leads in dealing rows out
-    own = pages.select("page_id", "url", "html", F.sha2(raw, 256).alias("digest"))
-    both = own.join(marks, F.col("page_id").eqNullSafe(F.col("m_page")) & (F.col("digest") == F.col("m_digest")), "left")
+    own = pages.select("page_id", "url", "html", F.sha2(raw, 256).alias("digest")).withColumns(keys).repartition(shuffle_partitions(spark), "k_page", "k_digest")
+    both = own.join(marks, ["k_page", "k_digest"], "left").sortWithinPartitions("k_page", "k_digest")
     dealt = both.select("page_id", "url", "html", "digest", "refers_to", F.coalesce("shared", F.lit(False)).alias("shared"))
-    dealt = dealt.repartition(shuffle_partitions(spark), "page_id", "digest").sortWithinPartitions("page_id", "digest")
     return scratch.save(dealt.mapInArrow(_write(root, roll_bytes), "raw string"), "files")
 
 

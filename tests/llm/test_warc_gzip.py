@@ -13,6 +13,7 @@ def test_normaliser_keeps_records_and_indexes_them(tmp_path):
     payloads = [b"", b"\r\n\r\n" * 5, b"x" * 700_000, "é…".encode() * 50]
     (path,) = write_monolith(f"file://{tmp_path}", iter([entry(k, p) for k, p in enumerate(payloads)]), 1 << 30)
     index, n = normalise(path, f"file://{tmp_path}/members/a.warc.gz")
+    assert not (tmp_path / path.removeprefix(f"file://{tmp_path}/")).exists() and normalise(path, f"file://{tmp_path}/members/a.warc.gz") == (index, 4)  # run again
     entries = read_index(index, 0, 10)
     assert n == 4 and [e["id"] for e in entries] == [f"urn:page:{k}" for k in range(4)]
     for k in (2, 0, 3, 1):  # each member alone
