@@ -11,8 +11,8 @@ share, that holds a large part of the rows is not one task's work. Queries are p
 too, in groups of the lists that they probe, and meet the blocks of a list by its id and
 a salt: a stated query set against the rows of its lists. Within a block, scores come
 from asymmetric distance tables (query sub-vectors against codebooks); each block keeps
-``per_block`` candidates of each query, ordered by approximate score, then by id, and the
-best ``rerank`` over all blocks are scored exactly, in double precision, on the original
+``per_block`` candidates of each query and each task ``per_task``, ordered by approximate
+score, then by id, and the best ``rerank`` over all blocks are scored exactly, in double precision, on the original
 vectors.
 
 The number of probes is calibrated on the sample: as many lists as hold the wanted share
@@ -110,36 +110,42 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding")).where("vec_id IS NOT NULL").where(good)
 
 
-INDEX_SQL = "list int, rows int, ids binary, codes binary"
+ASSIGNED_SQL = "list int, vec_id long, code binary"
+INDEX_SQL = "list int, ids binary, codes binary"
 
 
-def _index(shared, dimension: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-
-        def pack(k: int) -> pa.RecordBatch:
-            ids, codes = (np.concatenate(c) for c in zip(*held.pop(k), strict=True))
-            return pa.RecordBatch.from_pydict({"list": pa.array([k], pa.int32()), "rows": pa.array([len(ids)], pa.int32()), "ids": [ids.astype("<i8").tobytes()], "codes": [codes.tobytes()]})
+def _assign(shared, dimension: int):
+    """Each vector's list and code."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column("vec_id").to_numpy()
-            to, codes = shared.value.encode(_matrix(batch.column("embedding"), dimension))
-            order = np.argsort(to, kind="stable")
-            cuts = np.flatnonzero(np.diff(to[order])) + 1
-            for part in np.split(order, cuts):
-                k = int(to[part[0]])
-                for a in range(0, len(part), BLOCK_ROWS):
-                    held.setdefault(k, []).append((ids[part[a : a + BLOCK_ROWS]], codes[part[a : a + BLOCK_ROWS]]))
-                    if sum(len(i) for i, _ in held[k]) >= BLOCK_ROWS:
-                        yield pack(k)
-        for k in list(held):
-            yield pack(k)
+            if batch.num_rows:
+                to, codes = shared.value.encode(_matrix(batch.column("embedding"), dimension))
+                packed = [c.tobytes() for c in codes]
+                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), batch.column("vec_id"), pa.array(packed, pa.binary())], names=["list", "vec_id", "code"])
 
     return run
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (list, part) to one row for each block."""
+    key, ids, codes = None, [], []
+
+    def block() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"list": pa.array([key[0]], pa.int32()), "ids": [np.array(ids, "<i8").tobytes()], "codes": [b"".join(codes)]})
+
+    for batch in batches:
+        for k, part, i, c in zip(*(batch.column(n).to_pylist() for n in ("list", "part", "vec_id", "code")), strict=True):
+            if (k, part) != key or len(ids) >= 2 * BLOCK_ROWS:
+                if ids:
+                    yield block()
+                key, ids, codes = (k, part), [], []
+            ids.append(i)
+            codes.append(c)
+    if ids:
+        yield block()
+
+
 def _probes(shared, dimension: int, probes: int):
     """Each query's lists, nearest first by dot product."""
 
@@ -159,38 +165,48 @@ def _probes(shared, dimension: int, probes: int):
 SEARCH_SQL = "query_id long, vec_id long, approx double"
 
 
-def _search(shared, most: int):
-    """A block of a list against the queries that probe it."""
+def _search(shared, per_block: int, per_task: int):
+    """Blocks of lists against the queries that probe them; a task keeps the best of each query."""
+
+    def best(parts: list[tuple[np.ndarray, np.ndarray]], most: int) -> tuple[np.ndarray, np.ndarray]:
+        ids, score = (np.concatenate(c) for c in zip(*parts, strict=True))
+        keep = np.arange(len(score))
+        if len(score) > most:  # all that tie with the last one stay in the running until ids decide
+            keep = np.flatnonzero(score >= np.partition(score, -most)[-most])
+        keep = keep[np.lexsort((ids[keep], -score[keep]))][:most]
+        return ids[keep], score[keep]
+
+    def flush(held: dict[int, list]) -> pa.RecordBatch:
+        rows = [(q, *best(parts, per_task)) for q, parts in held.items()]
+        held.clear()
+        return pa.RecordBatch.from_pydict({"query_id": np.concatenate([np.full(len(i), q) for q, i, _ in rows]), "vec_id": np.concatenate([i for _, i, _ in rows]), "approx": np.concatenate([s for _, _, s in rows])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quantizer = shared.value
         m = len(quantizer.codebooks)
+        place, held, size = np.arange(m), {}, 0
         for batch in batches:
-            out_q, out_v, out_s = [], [], []
             for row in batch.to_pylist():
                 ids, codes = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["codes"], np.uint8).reshape(-1, m)
                 centroid = quantizer.centroids[row["list"]]
                 for query in row["queries"]:
                     q = np.frombuffer(query["q"], np.float64)
-                    table = quantizer.tables(q)
-                    score = float(q @ centroid) + table[np.arange(m), codes].sum(1)
-                    score[ids == query["query_id"]] = -np.inf
-                    keep = np.arange(len(score))
-                    if len(score) > most:  # all that tie with the last one stay in the running until ids decide
-                        keep = np.flatnonzero(score >= np.partition(score, -most)[-most])
-                    keep = keep[np.lexsort((ids[keep], -score[keep]))][:most]
-                    keep = keep[score[keep] > -np.inf]
-                    out_q.append(np.full(len(keep), query["query_id"]))
-                    out_v.append(ids[keep])
-                    out_s.append(score[keep])
-            if out_q:
-                yield pa.RecordBatch.from_pydict({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "approx": np.concatenate(out_s)})
+                    score = float(q @ centroid) + quantizer.tables(q)[place, codes].sum(1)
+                    other = ids != query["query_id"]
+                    found = best([(ids[other], score[other])], per_block)
+                    held.setdefault(query["query_id"], []).append(found)
+                    size += len(found[0])
+                if size > 1_000_000:
+                    yield flush(held)
+                    size = 0
+        if held:
+            yield flush(held)
 
     return run
 
 
 def search(
-    spark: SparkSession, vectors: DataFrame, queries: DataFrame, neighbours: int = 5, rerank: int = 200, per_block: int = 24, max_sample: int = 20_000, sub_spaces: int = 16, recall: float = 0.96
+    spark: SparkSession, vectors: DataFrame, queries: DataFrame, neighbours: int = 5, rerank: int = 200, per_block: int = 24, per_task: int = 64, max_sample: int = 20_000, sub_spaces: int = 16, recall: float = 0.96
 ) -> DataFrame:
     """The nearest rows of vectors for each row of queries: query_id, rank, vec_id and score.
 
@@ -216,15 +232,19 @@ def search(
     probes = min(lists, max(8, calibrate(x, quantizer.centroids, neighbours, recall)))
     shared = spark.sparkContext.broadcast(quantizer)  # bounded by lists and codebooks
 
-    blocks = rows.mapInArrow(_index(shared, dimension), INDEX_SQL)
-    blocks = scratch.save(blocks.withColumn("block", F.monotonically_increasing_id()), "index")
+    assigned = scratch.save(rows.mapInArrow(_assign(shared, dimension), ASSIGNED_SQL), "assigned")
+    # one row for each list tells into how many parts it is dealt
+    counts = F.broadcast(assigned.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("parts")))
+    dealt = assigned.join(counts, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    dealt = dealt.repartition(shuffle_partitions(spark), "list", "part").sortWithinPartitions("list", "part").select("list", "part", "vec_id", "code")
+    blocks = scratch.save(dealt.mapInArrow(_pack, INDEX_SQL), "index")
     probing = asked.mapInArrow(_probes(shared, dimension, probes), "query_id long, list int, q binary")
     # queries of a list in packs of a bounded size; every pack meets every block of its list
     salts = F.pmod(F.xxhash64("query_id"), F.lit(max(1, asked.count() * probes // (lists * 256)))).cast("int")
     packs = probing.groupBy("list", salts.alias("pack")).agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
     packs = scratch.save(packs, "packs").withColumnRenamed("list", "of")
     met = blocks.join(packs, blocks["list"] == packs["of"]).select("list", "ids", "codes", "queries")
-    found = scratch.save(met.repartition(shuffle_partitions(spark)).mapInArrow(_search(shared, per_block), SEARCH_SQL), "found")
+    found = scratch.save(met.repartition(shuffle_partitions(spark)).mapInArrow(_search(shared, per_block, per_task), SEARCH_SQL), "found")
 
     best = found.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("approx"), "vec_id"))).where(F.col("r") <= rerank)
     query = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"))
