@@ -43,7 +43,7 @@ from .common import Scratch, shuffle_partitions
 SKETCH_BITS, NEED_BITS, CHUNK_BITS = 22, 24, 15
 ORDERS = 3
 #: Members up to which all pairs of a list are taken, and pairs a member up to which a waiting list is taken whole.
-SHORT, WHOLE = 12, 32
+SHORT, WHOLE = 12, 4
 POSTINGS = 400_000
 
 
@@ -119,7 +119,7 @@ def _total(counters: DataFrame, bits: int) -> np.ndarray:
     """The summed counters, whose number is fixed; tasks are summed in groups before their sums meet."""
     schema = "chunk int, task int, counts binary"
     some = counters.groupBy("chunk", (F.col("task") % 32).alias("part")).applyInArrow(_sum_counts, schema)
-    out = np.zeros(1 << bits, np.int64)
+    out = np.zeros(1 << bits, np.uint32)
     for r in some.groupBy("chunk").applyInArrow(_sum_counts, schema).toLocalIterator():
         out[r.chunk << CHUNK_BITS : (r.chunk + 1) << CHUNK_BITS] = _counts_of(r.counts)
     return out
@@ -203,6 +203,11 @@ def possible(n1, p1, n2, p2, t: int):
     return (100 * np.minimum(n1, n2) >= t * np.maximum(n1, n2)) & (np.minimum(n1 - p1, n2 - p2) >= need)
 
 
+def central(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Members of a list by the number of rarer tokens before its own: those that are most like the others first."""
+    return np.lexsort((mix(ids.astype(np.uint64), 5), at))
+
+
 FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("token", pa.int64()), ("m", pa.int32()), ("data", pa.binary())])
 FOUND_SQL = "kind int, a long, b long, token long, m int, data binary"
 
@@ -244,7 +249,7 @@ def _lists(t: int):
                     fit = possible(gn[k], gp[k], gn, gp, t)
                     out.append(_pair_batch(np.full(int(fit.sum()), gi[k]), gi[fit]))
                 continue
-            k = int(np.argmin(mix(gi.astype(np.uint64), 5)))
+            k = int(central(gi, gp)[0])
             fit = possible(gn[k], gp[k], gn, gp, t)
             out.append(_pair_batch(np.full(int(fit.sum()), gi[k]), gi[fit]))
             wait = {"kind": [1], "a": [None], "b": [None], "token": [int(token[starts[g]].view(np.int64))], "m": [len(gi)], "data": [_packed([gi, gn, gp])]}
@@ -355,7 +360,7 @@ def _waiting(t: int, turn: int):
         names, members = np.unique(comp, return_inverse=True)
         sizes = np.bincount(members)
         rest = np.flatnonzero(members != sizes.argmax())
-        out, pairs, limit = [], 0, max(WHOLE * len(ids), 200_000)
+        out, pairs, limit = [], 0, max(WHOLE * len(ids), 2000)
         for a in range(0, len(rest), 64):
             part = rest[a : a + 64]
             fit = possible(n[part][:, None], at[part][:, None], n[None], at[None], t) & (comp[part][:, None] != comp[None])
@@ -365,8 +370,7 @@ def _waiting(t: int, turn: int):
                 break
             out.append((ids[part[x]], ids[y]))
         if pairs > limit:  # too many to test at once: further pivots first, twice as many each turn
-            order = np.argsort(mix(ids.astype(np.uint64), 5))
-            found, pivots = [], order[1 + 8 * (2 ** (turn - 1) - 1) : 1 + 8 * (2**turn - 1)]
+            found, pivots = [], central(ids, at)[1 + 8 * (2 ** (turn - 1) - 1) : 1 + 8 * (2**turn - 1)]
             for k in pivots:
                 fit = possible(n[k], at[k], n, at, t) & (comp != comp[k])
                 found.append((np.full(int(fit.sum()), ids[k]), ids[fit]))
@@ -396,7 +400,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 5, t: i
     counts = _total(signed.where("kind = 1").select("chunk", "task", "counts"), SKETCH_BITS)
     # the fixed-size sketch on a log scale; what is below its noise counts as one level
     noise = counts.mean() + 4 * np.sqrt(counts.mean() + 1)
-    levels = spark.sparkContext.broadcast(np.where(counts <= noise, 0, np.minimum(255, 8 * np.log2(np.maximum(counts / noise, 1)) + 1)).astype(np.uint8))
+    levels = spark.sparkContext.broadcast(np.where(counts <= noise, 0, np.minimum(255, 8 * np.log2(np.maximum(counts / np.float32(noise), 1)) + 1)).astype(np.uint8))
 
     named = signs.where("doc_id IS NOT NULL AND n > 0")
     classes = scratch.save(named.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
