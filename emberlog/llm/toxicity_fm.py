@@ -73,9 +73,9 @@ class FactorizationMachine:
 
 def select_features(rows: list[np.ndarray], labels: np.ndarray, terms: int) -> np.ndarray:
     """The buckets whose presence tells most about the label; those of under 3 rows tell nothing."""
-    flat, y = np.concatenate(rows), np.repeat(labels, [len(r) for r in rows])
-    n1 = np.bincount(flat, weights=y, minlength=BUCKETS)
-    n = np.bincount(flat, minlength=BUCKETS).astype(float)
+    toxic = [r for r, y in zip(rows, labels, strict=True) if y]
+    n1 = np.bincount(np.concatenate(toxic), minlength=BUCKETS).astype(float)
+    n = np.bincount(np.concatenate(rows), minlength=BUCKETS).astype(float)
     total, positive = len(labels), labels.sum()
 
     def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
@@ -130,11 +130,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, terms: int = 4096, rank: int
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [np.unique(np.array([b for w in words_of(t) for b in word_buckets(w)], np.int32)) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column("toxic")], names=["terms", "toxic"])
+        found = [np.unique(np.array([b for w in words_of(t) for b in word_buckets(w)], np.int32)).tobytes() for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("toxic")], names=["terms", "toxic"])
 
 
-def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = 10000) -> FactorizationMachine:
+def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> FactorizationMachine:
     """docs: doc_id, text; labels: doc_id, toxic. Only training rows are read."""
     known = labels.where(is_train(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = known.count()
@@ -142,9 +142,9 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int
     place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = known.where(place < F.lit(min(1.0, max_rows / max(n, 1))))
     sample = docs.where(is_train(F.col("doc_id"))).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    rows = sample.mapInArrow(_terms, "terms array<int>, toxic int").toPandas()  # about max_rows rows
-    order = sorted(range(len(rows)), key=lambda i: (rows["toxic"][i], tuple(rows["terms"][i])))
-    return fit([np.asarray(rows["terms"][i], np.int64) for i in order], rows["toxic"].to_numpy()[order].astype(float))
+    rows = sample.mapInArrow(_terms, "terms binary, toxic int").collect()  # about max_rows rows, four bytes a term
+    rows.sort(key=lambda r: (r.toxic, r.terms))
+    return fit([np.frombuffer(r.terms, np.int32) for r in rows], np.array([r.toxic for r in rows], float))
 
 
 def _scorer(shared):
