@@ -33,6 +33,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,7 +75,8 @@ def id_type(vocabulary: str) -> str:
 
 def _pack(codes: np.ndarray) -> bytes:
     """Codes byte by byte: the high bytes hardly differ, so that they pack to nothing."""
-    return pa.compress(np.ascontiguousarray(codes.astype("<u4").view("u1").reshape(-1, 4).T), codec="zstd", asbytes=True) if len(codes) else b""
+    planes = np.ascontiguousarray(codes.astype("<u4").view("u1").reshape(-1, 4).T)
+    return pa.Codec("zstd", compression_level=9).compress(planes, asbytes=True) if len(codes) else b""
 
 
 def _unpack(data: bytes, n: int) -> np.ndarray:
@@ -132,10 +134,10 @@ def _words(pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, digest, _, _, dictionary, _ in blocks(batches):
             yield pa.RecordBatch.from_pydict({"word": [digest], "block": [block], "code": [-1]}, schema=WORDS)
+            order = pc.sort_indices(dictionary).cast(pa.int32())  # neighbours share their beginnings, which pack
             for a in range(0, len(dictionary), 50_000):
-                part = dictionary.slice(a, 50_000)
-                n = len(part)
-                yield pa.RecordBatch.from_arrays([part, pa.array(np.full(n, block)), pa.array(np.arange(a, a + n, dtype=np.int32))], schema=WORDS)
+                codes = order.slice(a, 50_000)
+                yield pa.RecordBatch.from_arrays([dictionary.take(codes), pa.array(np.full(len(codes), block)), codes], schema=WORDS)
 
     return run
 
