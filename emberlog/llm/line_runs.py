@@ -108,7 +108,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 40, min_d
     runs = LineRuns(scratch, fanout)
     for b in range(batches):
         runs.add(stats.where(F.col("__batch") == b).drop("__batch"))
-    common = runs.counts().where(F.col("__n") >= min_docs).select(*KEY, "__max")
+    # written, so that both sides of the join below are plain exchanges, which AQE splits where a line is very common
+    common = scratch.save(runs.counts().where(F.col("__n") >= min_docs).select(*KEY, "__max"), "common")
     drops = (
         lines.join(common, KEY).where(~F.col("__doc").eqNullSafe(F.col("__max")))
         .groupBy("__doc", "__text").agg(F.collect_set("__pos").alias("__drop"))
