@@ -10,10 +10,12 @@ of any length is many blocks, so a centroid, or one vector that a third of all r
 share, that holds a large part of the rows is not one task's work. Queries are packed
 too, in groups of the lists that they probe, and meet the blocks of a list by its id and
 a salt: a stated query set against the rows of its lists. Within a block, scores come
-from asymmetric distance tables (query sub-vectors against codebooks); each block keeps
-``per_block`` candidates of each query and each task ``per_task``, ordered by approximate
-score, then by id, and the best ``rerank`` over all blocks are scored exactly, in double precision, on the original
-vectors.
+from asymmetric distance tables (query sub-vectors against codebooks). Beside each code
+stand the length of its quantisation error, by which an approximate score can be wrong
+at most, and the original vector. The ``rerank`` rows of the best approximate scores are
+scored exactly, in double precision, and then every row of the block that by its bound
+could still be among the nearest so far. So the result is exact within the probed lists,
+and a task hands on only the nearest of each query, ordered by exact score, then by id.
 
 The number of probes is calibrated on the sample: as many lists as hold the wanted share
 of its nearest rows. Vectors without clusters need many, clustered ones few.
@@ -36,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, shuffle_partitions
 
@@ -75,6 +78,11 @@ class Quantizer:
         parts = np.split(x - self.centroids[to], len(self.codebooks), axis=1)
         return to, np.stack([nearest(p, c) for p, c in zip(parts, self.codebooks, strict=True)], axis=1).astype(np.uint8)
 
+    def errors(self, x: np.ndarray, to: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The length of what list and code leave of each row: the most by which its approximate score can be wrong."""
+        coded = self.codebooks[np.arange(len(self.codebooks)), codes].reshape(len(x), -1)
+        return np.linalg.norm(x - self.centroids[to] - coded, axis=1) + 1e-9  # rounding is far below that
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Sub-spaces x 256: what each code adds to the dot product."""
         return np.einsum("msd,md->ms", self.codebooks, q.reshape(len(self.codebooks), -1))
@@ -98,11 +106,21 @@ def calibrate(x: np.ndarray, centroids: np.ndarray, neighbours: int, recall: flo
 
 
 def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
-    """Unit rows of valid vectors; the caller has filtered."""
+    """Rows of valid vectors; the caller has filtered. Rows whose squares would leave the range of doubles are scaled by a power of two."""
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)
+    power = np.frexp(np.abs(values).max(axis=1))[1] if len(values) else np.empty(0, int)
+    return np.ldexp(values, np.where(np.abs(power) > 400, -power, 0)[:, None])
+
+
+def _unit(values: np.ndarray) -> np.ndarray:
     return values / np.maximum(np.linalg.norm(values, axis=1), 1e-300)[:, None]
 
 
+def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact scores; sums by row, so that equal vectors have equal scores wherever they stand (BLAS doesn't promise that)."""
+    return (x * q).sum(1) / (np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(1)))
+
+
 def valid_vectors(vectors: DataFrame) -> DataFrame:
     """vec_id and embedding (doubles) of the rows that take part."""
     e = F.col("embedding").cast("array<double>")
@@ -110,38 +128,44 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding")).where("vec_id IS NOT NULL").where(good)
 
 
-ASSIGNED_SQL = "list int, vec_id long, code binary"
-INDEX_SQL = "list int, ids binary, codes binary"
+ASSIGNED_SQL = "list int, vec_id long, code binary, error double, vector binary"
+INDEX_SQL = "list int, ids binary, codes binary, errors binary, vectors binary"
 
 
-def _assign(shared, dimension: int):
-    """Each vector's list and code."""
+def _assign(shared, dimension: int, kind: str):
+    """Each vector's list, code and error, and itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                to, codes = shared.value.encode(_matrix(batch.column("embedding"), dimension))
-                packed = [c.tobytes() for c in codes]
-                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), batch.column("vec_id"), pa.array(packed, pa.binary())], names=["list", "vec_id", "code"])
+                values = _matrix(batch.column("embedding"), dimension)
+                x = _unit(values)
+                to, codes = shared.value.encode(x)
+                packed, whole = ([r.tobytes() for r in rows] for rows in (codes, values.astype(kind)))
+                errors = pa.array(shared.value.errors(x, to, codes))
+                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), batch.column("vec_id"), pa.array(packed, pa.binary()), errors, pa.array(whole, pa.binary())], names=["list", "vec_id", "code", "error", "vector"])
 
     return run
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (list, part) to one row for each block."""
-    key, ids, codes = None, [], []
+    key, ids, codes, errors, vectors = None, [], [], [], []
 
     def block() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"list": pa.array([key[0]], pa.int32()), "ids": [np.array(ids, "<i8").tobytes()], "codes": [b"".join(codes)]})
+        held = {"ids": [np.array(ids, "<i8").tobytes()], "codes": [b"".join(codes)], "errors": [np.array(errors, "<f8").tobytes()], "vectors": [b"".join(vectors)]}
+        return pa.RecordBatch.from_pydict({"list": pa.array([key[0]], pa.int32()), **held})
 
     for batch in batches:
-        for k, part, i, c in zip(*(batch.column(n).to_pylist() for n in ("list", "part", "vec_id", "code")), strict=True):
+        for k, part, i, c, e, v in zip(*(batch.column(n).to_pylist() for n in ("list", "part", "vec_id", "code", "error", "vector")), strict=True):
             if (k, part) != key or len(ids) >= 2 * BLOCK_ROWS:
                 if ids:
                     yield block()
-                key, ids, codes = (k, part), [], []
+                key, ids, codes, errors, vectors = (k, part), [], [], [], []
             ids.append(i)
             codes.append(c)
+            errors.append(e)
+            vectors.append(v)
     if ids:
         yield block()
 
@@ -153,52 +177,59 @@ def _probes(shared, dimension: int, probes: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column("embedding"), dimension)
-            dots = x @ shared.value.centroids.T
+            values = _matrix(batch.column("embedding"), dimension)
+            dots = _unit(values) @ shared.value.centroids.T
             lists = np.argsort(-dots, axis=1, kind="stable")[:, :probes]
             n = lists.shape[1]
-            yield pa.RecordBatch.from_pydict({"query_id": np.repeat(batch.column("vec_id").to_numpy(), n), "list": lists.ravel().astype(np.int32), "q": [v.tobytes() for v in x for _ in range(n)]})
+            yield pa.RecordBatch.from_pydict({"query_id": np.repeat(batch.column("vec_id").to_numpy(), n), "list": lists.ravel().astype(np.int32), "q": [v.tobytes() for v in values for _ in range(n)]})
 
     return run
 
 
-SEARCH_SQL = "query_id long, vec_id long, approx double"
+SEARCH_SQL = "query_id long, vec_id long, score double"
 
 
-def _search(shared, per_block: int, per_task: int):
-    """Blocks of lists against the queries that probe them; a task keeps the best of each query."""
+def _search(shared, neighbours: int, rerank: int, kind: str):
+    """Blocks of lists against the queries that probe them; a task hands on the nearest of each query, by exact scores."""
 
-    def best(parts: list[tuple[np.ndarray, np.ndarray]], most: int) -> tuple[np.ndarray, np.ndarray]:
-        ids, score = (np.concatenate(c) for c in zip(*parts, strict=True))
+    def best(ids: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keep = np.arange(len(score))
-        if len(score) > most:  # all that tie with the last one stay in the running until ids decide
-            keep = np.flatnonzero(score >= np.partition(score, -most)[-most])
-        keep = keep[np.lexsort((ids[keep], -score[keep]))][:most]
+        if len(score) > neighbours:  # all that tie with the last one stay in the running until ids decide
+            keep = np.flatnonzero(score >= np.partition(score, -neighbours)[-neighbours])
+        keep = keep[np.lexsort((ids[keep], -score[keep]))][:neighbours]
         return ids[keep], score[keep]
 
-    def flush(held: dict[int, list]) -> pa.RecordBatch:
-        rows = [(q, *best(parts, per_task)) for q, parts in held.items()]
+    def flush(held: dict[int, tuple]) -> pa.RecordBatch:
+        rows = [(q, *near) for q, near in held.items()]
         held.clear()
-        return pa.RecordBatch.from_pydict({"query_id": np.concatenate([np.full(len(i), q) for q, i, _ in rows]), "vec_id": np.concatenate([i for _, i, _ in rows]), "approx": np.concatenate([s for _, _, s in rows])})
+        return pa.RecordBatch.from_pydict({"query_id": np.concatenate([np.full(len(i), q) for q, i, _ in rows]), "vec_id": np.concatenate([i for _, i, _ in rows]), "score": np.concatenate([s for _, _, s in rows])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quantizer = shared.value
         m = len(quantizer.codebooks)
-        place, held, size = np.arange(m), {}, 0
+        place, held = np.arange(m), {}
         for batch in batches:
             for row in batch.to_pylist():
                 ids, codes = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["codes"], np.uint8).reshape(-1, m)
+                errors, x = np.frombuffer(row["errors"], "<f8"), np.frombuffer(row["vectors"], kind).astype(np.float64).reshape(len(ids), -1)
                 centroid = quantizer.centroids[row["list"]]
                 for query in row["queries"]:
                     q = np.frombuffer(query["q"], np.float64)
-                    score = float(q @ centroid) + quantizer.tables(q)[place, codes].sum(1)
-                    other = ids != query["query_id"]
-                    found = best([(ids[other], score[other])], per_block)
-                    held.setdefault(query["query_id"], []).append(found)
-                    size += len(found[0])
-                if size > 1_000_000:
-                    yield flush(held)
-                    size = 0
+                    near = held.get(query["query_id"], (np.empty(0, np.int64), np.empty(0)))
+                    left = ids != query["query_id"]
+                    if len(ids) > rerank:
+                        unit = _unit(q[None])[0]
+                        approx = float(unit @ centroid) + quantizer.tables(unit)[place, codes].sum(1)
+                        first = np.argpartition(np.where(left, approx, -np.inf), -rerank)[-rerank:]
+                        first = first[left[first]]
+                        near = best(np.concatenate([near[0], ids[first]]), np.concatenate([near[1], cosines(x[first], q)]))
+                        left[first] = False
+                        if len(near[1]) == neighbours:
+                            left &= approx + errors >= near[1][-1]
+                    rest = np.flatnonzero(left)
+                    held[query["query_id"]] = best(np.concatenate([near[0], ids[rest]]), np.concatenate([near[1], cosines(x[rest], q)]))
+            if len(held) * neighbours > 1_000_000:
+                yield flush(held)
         if held:
             yield flush(held)
 
@@ -206,7 +237,7 @@ def _search(shared, per_block: int, per_task: int):
 
 
 def search(
-    spark: SparkSession, vectors: DataFrame, queries: DataFrame, neighbours: int = 5, rerank: int = 200, per_block: int = 24, per_task: int = 64, max_sample: int = 20_000, sub_spaces: int = 16, recall: float = 0.96
+    spark: SparkSession, vectors: DataFrame, queries: DataFrame, neighbours: int = 5, rerank: int = 200, max_sample: int = 20_000, sub_spaces: int = 16, recall: float = 0.96
 ) -> DataFrame:
     """The nearest rows of vectors for each row of queries: query_id, rank, vec_id and score.
 
@@ -214,7 +245,10 @@ def search(
     probes as many as the sample needs for the given recall, 8 at least.
     """
     scratch = Scratch(spark, "ivfpq")
-    rows = scratch.save(valid_vectors(vectors), "vectors")
+    single = vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType())
+    kind = "<f4" if single else "<f8"  # floats are kept as floats, which loses nothing
+    valid = valid_vectors(vectors)
+    rows = table = scratch.save(valid.withColumn("embedding", F.col("embedding").cast("array<float>")) if single else valid, "vectors")
     sizes = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     result = "query_id long, rank int, vec_id long, score double"
     if not sizes:
@@ -224,7 +258,7 @@ def search(
     asked = valid_vectors(queries).where(F.size("embedding") == dimension)
     place = F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.where(place < F.lit(min(1.0, max_sample / n))).select("embedding").toPandas()["embedding"]
-    x = np.stack(sample.to_list()) if len(sample) else np.stack([r.embedding for r in rows.limit(1).collect()])
+    x = np.stack(sample.to_list() if len(sample) else [r.embedding for r in rows.limit(1).collect()]).astype(np.float64)
     x = x / np.linalg.norm(x, axis=1)[:, None]
     lists = max(1, min(4096, round(5 * n**0.4), len(x) // 8))
     parts = max(m for m in range(1, min(sub_spaces, dimension) + 1) if dimension % m == 0)
@@ -232,28 +266,20 @@ def search(
     probes = min(lists, max(8, calibrate(x, quantizer.centroids, neighbours, recall)))
     shared = spark.sparkContext.broadcast(quantizer)  # bounded by lists and codebooks
 
-    assigned = scratch.save(rows.mapInArrow(_assign(shared, dimension), ASSIGNED_SQL), "assigned")
+    assigned = scratch.save(rows.mapInArrow(_assign(shared, dimension, kind), ASSIGNED_SQL), "assigned")
+    scratch.drop(table)
     # one row for each list tells into how many parts it is dealt
     counts = F.broadcast(assigned.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("parts")))
     dealt = assigned.join(counts, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
-    dealt = dealt.repartition(shuffle_partitions(spark), "list", "part").sortWithinPartitions("list", "part").select("list", "part", "vec_id", "code")
+    dealt = dealt.repartition(shuffle_partitions(spark), "list", "part").sortWithinPartitions("list", "part").select("list", "part", "vec_id", "code", "error", "vector")
     blocks = scratch.save(dealt.mapInArrow(_pack, INDEX_SQL), "index")
+    scratch.drop(assigned)
     probing = asked.mapInArrow(_probes(shared, dimension, probes), "query_id long, list int, q binary")
     # queries of a list in packs of a bounded size; every pack meets every block of its list
     salts = F.pmod(F.xxhash64("query_id"), F.lit(max(1, asked.count() * probes // (lists * 256)))).cast("int")
     packs = probing.groupBy("list", salts.alias("pack")).agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
     packs = scratch.save(packs, "packs").withColumnRenamed("list", "of")
-    met = blocks.join(packs, blocks["list"] == packs["of"]).select("list", "ids", "codes", "queries")
-    found = scratch.save(met.repartition(shuffle_partitions(spark)).mapInArrow(_search(shared, per_block, per_task), SEARCH_SQL), "found")
-
-    best = found.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("approx"), "vec_id"))).where(F.col("r") <= rerank)
-    query = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"))
-    exact = best.select("query_id", "vec_id").join(rows, "vec_id").join(query, "query_id")
-
-    def dot(a, b):
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-    cosine = dot(F.col("qe"), F.col("embedding")) / (F.sqrt(dot(F.col("qe"), F.col("qe"))) * F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
-    scored = exact.select("query_id", "vec_id", cosine.alias("score"))
+    met = blocks.join(packs, blocks["list"] == packs["of"]).select("list", "ids", "codes", "errors", "vectors", "queries")
+    found = scratch.save(met.repartition(shuffle_partitions(spark)).mapInArrow(_search(shared, neighbours, rerank, kind), SEARCH_SQL), "found")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")

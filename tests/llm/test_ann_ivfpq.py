@@ -47,6 +47,21 @@ def test_ties_and_a_list_of_many_blocks(spark):
     assert [got[4000, k] for k in range(1, 6)] == [0, 1, 2, 3, 4] and [got[0, k] for k in range(1, 6)] == [1, 2, 3, 4, 5]
 
 
+def test_groups_of_near_copies(spark):
+    """Product codes nearly tie within a group, so that only exact scores tell its rows apart."""
+    rng = np.random.default_rng(5)
+    groups = [c + 0.02 * rng.normal(size=(1000, 32)) for c in rng.normal(size=(3, 32))]
+    x = np.concatenate([*groups, rng.normal(size=(2000, 32))])
+    got = {(r.query_id, r.vec_id) for r in run(spark, [(i, v.tolist()) for i, v in enumerate(x)]) if r.query_id < 3000}
+    x = x.astype(np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = [(q, np.argsort(-np.where(np.arange(len(x)) == q, -2, x @ x[q]))[:5]) for q in range(0, 3000, 50)]
+    want = {(q, int(i)) for q, top in near for i in top}
+    recall = len(want & got) / len(want)
+    print(recall)
+    assert len(got) == len(want) and recall >= 0.95
+
+
 def test_edges(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0]), (50, [1.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (100, []), (None, [1.0, 1.0])]
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in run(spark, rows)]
