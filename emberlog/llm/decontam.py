@@ -3,7 +3,9 @@
 A text becomes a sequence of lower-cased words in which numbers, units after a number
 and names (capitalised words within a sentence) are typed slots. Windows of five words
 are hashed over this template, so that a question with other numbers or names has the
-same windows, and hash-joined with the windows of the benchmark. The value of a slot
+same windows, and hash-joined with the windows of the benchmark. White space is collapsed
+first, and the windows in which names are plain lower-case words are hashed as well, in one
+space with the others, so that a copy in other case or spacing is found too. The value of a slot
 stays beside its type: within one alignment of a document and an item (document position
 minus item position), each item value must stand for one document value; alignments that
 break this are not re-parameterised questions and are dropped. A document is
@@ -33,8 +35,8 @@ UNITS = "mm cm dm m km in ft yd mi mg g kg t lb oz ml cl l s sec min h hr hours
 
 def tagged(text: Column) -> Column:
     """The text's words in lower case; slots have their tag in front."""
-    t = F.coalesce(text, F.lit(""))
-    t = F.when(t.rlike(r"[\x01-\x03]"), F.regexp_replace(t, r"[\x01-\x03]+", " ")).otherwise(t)
+    space = r"\x01-\x03\s\p{Z}"  # a single plain space stays as it is
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), rf"[{space}&&[^ ]][{space}]*| [{space}]+", " ")
     t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}+)", NAME + "$1")
     digits = F.regexp_replace(t, r"(?<=\p{N})[.,](?=\p{N})", "")
     digits = F.regexp_replace(digits, rf"(?<![\p{{L}}\p{{N}}])(\p{{N}}+)(?: ?(?i)({'|'.join(UNITS)}))(?![\p{{L}}\p{{N}}])", f"{NUMBER}$1 {UNIT}$2")
@@ -48,6 +50,11 @@ def template(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(F.when(w < " ", F.substring(w, 1, 1)).otherwise(w)))
 
 
+def plain(words: Column) -> Column:
+    """The words with names as any other word; numbers and units stay slots."""
+    return F.transform(words, lambda w: F.when(w.startswith(NAME), F.substring(w, 2, 1 << 30)).otherwise(w))
+
+
 def windows(codes: Column) -> Column:
     """The hash of each window of WINDOW codes, made by doubling: 1 + 1, 2 + 2, 4 + 1."""
 
@@ -63,7 +70,15 @@ def windows(codes: Column) -> Column:
 
 
 def _windowed(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
-    return rows.select(*keys, F.posexplode(windows(template(tagged(F.col("text"))))).alias(place, "h"))
+    """Rows of rows.words, or else of the tagged text, to one row for each template window and each plain window that differs from it."""
+    words = F.col("words") if "words" in rows.columns else tagged(F.col("text"))
+
+    def both(w: Column) -> Column:
+        other = F.transform(F.array(windows(template(w))), lambda t: F.array(t, F.when(F.exists(w, lambda x: x.startswith(NAME)), F.zip_with(windows(template(plain(w))), t, lambda a, b: F.when(a != b, a)))))
+        return F.get(other, F.lit(0))
+
+    arrays = F.get(F.transform(F.array(words), both), F.lit(0))
+    return rows.select(*keys, F.explode(arrays).alias("hs")).select(*keys, F.posexplode("hs").alias(place, "h")).where("h IS NOT NULL")
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, min_coverage: float = 0.6, broadcast_bytes: int = 32 << 20) -> DataFrame:
@@ -72,7 +87,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, min
     source = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
     items = scratch.save(benchmark.select("item_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("ih"), tagged(F.col("text")).alias("words")), "items")
     slotted = F.exists("part", lambda w: w < " ")
-    bench = items.select("item_id", "ih", "words", F.posexplode(windows(template(F.col("words")))).alias("q", "h"))
+    bench = _windowed(items, ["item_id", "ih", "words"], "q")
     bench = bench.select("item_id", "ih", F.size("words").alias("n"), "q", "h", F.slice("words", F.col("q") + 1, WINDOW).alias("part"))
     bench = scratch.save(bench.select("item_id", "ih", "n", "q", "h", slotted.alias("slots")).distinct(), "windows")
     small = bench.count() * 64 <= broadcast_bytes
@@ -90,7 +105,8 @@ def _broken(scratch: Scratch, hits: DataFrame, source: DataFrame, items: DataFra
     """Alignments (th, ih, line) in which one item value stands for several document values."""
     used = scratch.save(hits.where("slots").select("th", "ih", "line", "p", "q").distinct(), "slotted")
     texts = source.join(used.select("th").distinct(), "th", "left_semi").select("th", "text").dropDuplicates(["th"])
-    of_doc = texts.select("th", F.posexplode(tagged(F.col("text"))).alias("p", "doc_word")).where("doc_word < ' '")
+    of_doc = texts.select("th", F.posexplode(tagged(F.col("text"))).alias("p", "doc_word"))
+    of_doc = of_doc.withColumn("doc_word", F.when(F.col("doc_word") < " ", F.expr("substring(doc_word, 2)")).otherwise(F.col("doc_word")))  # a name may be untagged here
     of_item = items.dropDuplicates(["ih"]).select("ih", F.posexplode("words").alias("q", "item_word")).where("item_word < ' '")
     spots = used.select("th", "ih", "line", F.explode(F.sequence(F.col("q"), F.col("q") + WINDOW - 1)).alias("q")).distinct()
     spots = spots.withColumn("p", (F.col("q") + F.col("line")).cast("int"))

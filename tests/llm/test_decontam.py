@@ -78,3 +78,14 @@ def test_words(spark):
 
     got = [list(r.w) for r in spark.createDataFrame([(t,) for t in texts], "text string").select(tagged(F.col("text")).alias("w")).collect()]
     assert got == [words(t) for t in texts]
+
+
+def test_other_case_and_spacing(spark):
+    german = "Der Bauer fährt am Morgen mit dem Wagen zur Mühle und bringt das Mehl der Frau Schmidt, die im Garten hinter dem Haus auf Kinder und Gäste wartet"
+    names = "So today Alice and Bruno met Carla near Dover while Emil and Frida rode with Gustav to Hamburg"
+    forms = [str, str.lower, str.upper, lambda t: t.replace(" ", "  "), lambda t: t.replace(" ", "\n"), lambda t: t.replace(" ", "\u00a0")]
+    docs = [(10 * k + j, f(t)) for j, t in enumerate((german, names)) for k, f in enumerate(forms)]
+    assert found(spark, docs, [(0, german), (1, names)]) == {(d, d % 10) for d, _ in docs}
+    assert found(spark, docs, [(0, german.lower()), (1, names.upper())]) == {(d, d % 10) for d, _ in docs}
+    other = "So today Xaver and Yann met Zoe near Leeds while Otto and Paula rode with Quirin to Rostock"
+    assert found(spark, [(1, other), (2, other.replace(" ", "  "))], [(1, names)]) == {(1, 1), (2, 1)}
