@@ -9,7 +9,8 @@ space with the others, so that a copy in other case or spacing is found too. The
 stays beside its type: within one alignment of a document and an item (document position
 minus item position), each item value must stand for one document value; alignments that
 break this are not re-parameterised questions and are dropped. A document is
-contaminated by an item if consistent windows cover ``min_coverage`` of its words.
+contaminated by an item if consistent windows cover ``min_coverage`` of its words, or if
+one alignment covers a run of ``min_run`` of them, whatever share of the item that is.
 
 The windows of the benchmark are broadcast only if their counted size is under
 ``broadcast_bytes``; beyond it the join is a shuffle on the window's hash.
@@ -81,7 +82,7 @@ def _windowed(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
     return rows.select(*keys, F.explode(arrays).alias("hs")).select(*keys, F.posexplode("hs").alias(place, "h")).where("h IS NOT NULL")
 
 
-def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, min_coverage: float = 0.6, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, min_coverage: float = 0.6, broadcast_bytes: int = 32 << 20, min_run: int = 13) -> DataFrame:
     """doc_id, item_id, n_windows and coverage of each contaminated document and its item."""
     scratch = Scratch(spark, "decontam")
     source = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
@@ -95,12 +96,25 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, min
     hits = scratch.save(hits, "hits").distinct().withColumn("line", F.col("p") - F.col("q"))
     if not hits.where("slots").isEmpty():  # without slots there is nothing to be inconsistent
         hits = hits.join(_broken(scratch, hits, source, items), ["th", "ih", "line"], "left_anti")
-    found = hits.groupBy("doc_id", "th", "item_id", "ih").agg(F.collect_set("q").alias("qs"), F.first("n").alias("n"))
+    found = hits.groupBy("doc_id", "th", "item_id", "ih", "line").agg(F.collect_set("q").alias("qs"), F.first("n").alias("n")).withColumn("run", _longest_run(F.col("qs")))
+    found = found.groupBy("doc_id", "th", "item_id", "ih").agg(F.array_distinct(F.flatten(F.collect_list("qs"))).alias("qs"), F.first("n").alias("n"), F.max("run").alias("run"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("qs", lambda q: F.sequence(q, q + WINDOW - 1)))))
-    found = found.select("doc_id", "item_id", F.size("qs").cast("long").alias("n_windows"), (covered / F.col("n")).alias("coverage")).where(F.col("coverage") >= min_coverage)
+    found = found.select("doc_id", "item_id", F.size("qs").cast("long").alias("n_windows"), (covered / F.col("n")).alias("coverage"), "run")
+    found = found.where((F.col("coverage") >= min_coverage) | (F.col("run") >= min_run))
     return found.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("coverage").alias("coverage"))
 
 
+def _longest_run(qs: Column) -> Column:
+    """The most words in a row that the windows at these positions cover."""
+    start = F.struct(F.lit(0).alias("first"), F.lit(-1).alias("end"), F.lit(0).alias("most"))
+
+    def step(run: Column, q: Column) -> Column:
+        first = F.when(q <= run["end"], run["first"]).otherwise(q)
+        return F.struct(first.alias("first"), (q + WINDOW).alias("end"), F.greatest(run["most"], q + WINDOW - first).alias("most"))
+
+    return F.aggregate(F.array_sort(qs), start, step, lambda run: run["most"])
+
+
 def _broken(scratch: Scratch, hits: DataFrame, source: DataFrame, items: DataFrame) -> DataFrame:
     """Alignments (th, ih, line) in which one item value stands for several document values."""
     used = scratch.save(hits.where("slots").select("th", "ih", "line", "p", "q").distinct(), "slotted")

@@ -89,3 +89,11 @@ def test_other_case_and_spacing(spark):
     assert found(spark, docs, [(0, german.lower()), (1, names.upper())]) == {(d, d % 10) for d, _ in docs}
     other = "So today Xaver and Yann met Zoe near Leeds while Otto and Paula rode with Quirin to Rostock"
     assert found(spark, [(1, other), (2, other.replace(" ", "  "))], [(1, names)]) == {(1, 1), (2, 1)}
+
+
+def test_part_of_a_long_item(spark):
+    item = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(200)]
+    text = " ".join
+    docs = [(1, text(["before", *item[40:75], "after"])), (2, text(["before", *item[40:53], "after"])), (3, text(["before", *item[40:52], "after"]))]
+    docs += [(4, text([*item[40:48], "other", "words", *item[60:68]])), (5, text(["before", *item[:119]]))]
+    assert found(spark, docs, [(1, text(item))]) == {(1, 1), (2, 1), (5, 1)}  # 12 words in a row are too few, and so are two runs of 8
