@@ -8,7 +8,8 @@ first, and the windows in which names are plain lower-case words are hashed as w
 space with the others, so that a copy in other case or spacing is found too. The value of a slot
 stays beside its type: within one alignment of a document and an item (document position
 minus item position), each item value must stand for one document value; alignments that
-break this are not re-parameterised questions and are dropped. A document is
+break this are not re-parameterised questions, and only their windows whose words equal
+the item's, values too, are kept. A document is
 contaminated by an item if consistent windows cover ``min_coverage`` of its words, or if
 one alignment covers a run of ``min_run`` of them, whatever share of the item that is.
 
@@ -95,7 +96,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, min
     hits = _windowed(source, ["doc_id", "th"], "p").join(F.broadcast(bench) if small else bench, "h").drop("h")
     hits = scratch.save(hits, "hits").distinct().withColumn("line", F.col("p") - F.col("q"))
     if not hits.where("slots").isEmpty():  # without slots there is nothing to be inconsistent
-        hits = hits.join(_broken(scratch, hits, source, items), ["th", "ih", "line"], "left_anti")
+        hits = hits.join(_broken(scratch, hits, source, items), ["th", "ih", "line", "q"], "left_anti")
     found = hits.groupBy("doc_id", "th", "item_id", "ih", "line").agg(F.collect_set("q").alias("qs"), F.first("n").alias("n")).withColumn("run", _longest_run(F.col("qs")))
     found = found.groupBy("doc_id", "th", "item_id", "ih").agg(F.array_distinct(F.flatten(F.collect_list("qs"))).alias("qs"), F.first("n").alias("n"), F.max("run").alias("run"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("qs", lambda q: F.sequence(q, q + WINDOW - 1)))))
@@ -116,7 +117,7 @@ def _longest_run(qs: Column) -> Column:
 
 
 def _broken(scratch: Scratch, hits: DataFrame, source: DataFrame, items: DataFrame) -> DataFrame:
-    """Alignments (th, ih, line) in which one item value stands for several document values."""
+    """The windows (th, ih, line, q) with other values than the item's, of alignments in which one item value stands for several document values."""
     used = scratch.save(hits.where("slots").select("th", "ih", "line", "p", "q").distinct(), "slotted")
     texts = source.join(used.select("th").distinct(), "th", "left_semi").select("th", "text").dropDuplicates(["th"])
     of_doc = texts.select("th", F.posexplode(tagged(F.col("text"))).alias("p", "doc_word"))
@@ -124,8 +125,10 @@ def _broken(scratch: Scratch, hits: DataFrame, source: DataFrame, items: DataFra
     of_item = items.dropDuplicates(["ih"]).select("ih", F.posexplode("words").alias("q", "item_word")).where("item_word < ' '")
     spots = used.select("th", "ih", "line", F.explode(F.sequence(F.col("q"), F.col("q") + WINDOW - 1)).alias("q")).distinct()
     spots = spots.withColumn("p", (F.col("q") + F.col("line")).cast("int"))
-    pairs = spots.join(of_doc, ["th", "p"]).join(of_item, ["ih", "q"]).select("th", "ih", "line", "item_word", "doc_word").distinct()
-    return pairs.groupBy("th", "ih", "line", "item_word").agg(F.count("*").alias("n")).where("n > 1").select("th", "ih", "line").distinct()
+    pairs = scratch.save(spots.join(of_doc, ["th", "p"]).join(of_item, ["ih", "q"]).select("th", "ih", "line", "q", "item_word", "doc_word"), "pairs")
+    lines = pairs.groupBy("th", "ih", "line", "item_word").agg(F.countDistinct("doc_word").alias("n")).where("n > 1").select("th", "ih", "line").distinct()
+    other = pairs.where("substring(item_word, 2) <> doc_word").join(lines, ["th", "ih", "line"], "left_semi")
+    return other.select("th", "ih", "line", F.explode(F.sequence(F.col("q") - (WINDOW - 1), F.col("q"))).alias("q")).distinct()
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:

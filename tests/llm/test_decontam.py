@@ -97,3 +97,10 @@ def test_part_of_a_long_item(spark):
     docs = [(1, text(["before", *item[40:75], "after"])), (2, text(["before", *item[40:53], "after"])), (3, text(["before", *item[40:52], "after"]))]
     docs += [(4, text([*item[40:48], "other", "words", *item[60:68]])), (5, text(["before", *item[:119]]))]
     assert found(spark, docs, [(1, text(item))]) == {(1, 1), (2, 1), (5, 1)}  # 12 words in a row are too few, and so are two runs of 8
+
+
+def test_copy_with_one_value_edited(spark):
+    edited = ITEM.replace("with 12 bags", "with 13 bags")
+    twice = "Here Alice and her friend watch the boats until dawn and then Alice walks home alone"
+    docs = [(1, edited), (2, BROKEN), (3, twice.replace("then Alice", "then Carla"))]
+    assert found(spark, docs, [(10, ITEM), (11, twice)]) == {(1, 10), (3, 11)}
