@@ -416,14 +416,14 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 5, t: i
     waiting = found.where("kind = 1").select("token", "m", "data")
 
     def represented(pairs: DataFrame) -> DataFrame:
-        """Pairs of classes, each once."""
-        of_a, of_b = (rep_of.select(F.col("doc_id").alias(c), F.col("rep").alias(f"r{c}")) for c in "ab")
+        """Pairs of classes, each once; an id with several texts stands for the class of each."""
+        of_a, of_b = (reps.select(F.col("doc_id").alias(c), F.col("rep").alias(f"r{c}")) for c in "ab")
         both = pairs.select("a", "b").distinct().join(of_a, "a").join(of_b, "b").where("ra <> rb")
         return both.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
     members = waiting.mapInArrow(_members, "token long, id long, n long, at long")
     candidates = scratch.save(represented(found.where("kind = 0")), "candidates")
-    waited = members.select("id").distinct().join(rep_of.select(F.col("doc_id").alias("id"), "rep"), "id").select(F.col("rep").alias("id"))
+    waited = members.select("id").distinct().join(reps.select(F.col("doc_id").alias("id"), "rep"), "id").select(F.col("rep").alias("id"))
     needed = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).union(waited)
     table = _total(needed.distinct().mapInArrow(_need(NEED_BITS), "chunk int, task int, counts binary"), NEED_BITS)
     bits = spark.sparkContext.broadcast(np.packbits(table > 0, bitorder="little"))

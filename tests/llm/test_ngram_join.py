@@ -1,4 +1,5 @@
 import random
+import tempfile
 from collections import defaultdict
 
 from emberlog.llm.ngram_join import jaccard_components, keep_one
@@ -88,3 +89,12 @@ def test_whole_table(spark):
 
 def test_empty(spark):
     assert run(spark, []) == [] and run(spark, [(1, None)]) == [(1, 0, 1)]
+
+
+def test_second_text_of_a_repeated_id(spark):
+    a, b = (" ".join(f"{k}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)) for k in "xy")
+    rows = [(1, a), (5, a), (5, b), (9, b + " end")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    table.write.parquet(path := tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/docs")
+    got = {r.doc_id: r.component_id for r in jaccard_components(spark, spark.read.parquet(path)).collect()}
+    assert got == {1: 1, 5: 1, 9: 1}
