@@ -70,6 +70,14 @@ class Scratch:
             p.getFileSystem(conf).delete(p, True)
 
 
+def unused_name(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the tables has, in any case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
