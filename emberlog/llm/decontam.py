@@ -3,22 +3,32 @@
 A text becomes a sequence of lower-cased words in which numbers, units after a number
 and names (capitalised words within a sentence) are typed slots. Windows of five words
 are hashed over this template, so that a question with other numbers or names has the
-same windows, and hash-joined with the windows of the benchmark. White space is collapsed
+same windows, and hash-joined with the windows of the benchmark that hold a plain word
+at least (windows of slots alone are alike in all tables of figures). White space is collapsed
 first, and the windows in which names are plain lower-case words are hashed as well, in one
-space with the others, so that a copy in other case or spacing is found too. The value of a slot
-stays beside its type: within one alignment of a document and an item (document position
-minus item position), each item value must stand for one document value; alignments that
-break this are not re-parameterised questions, and only their windows whose words equal
-the item's, values too, are kept. A document is
-contaminated by an item if consistent windows cover ``min_coverage`` of its words, or if
-one alignment covers a run of ``min_run`` of them, whatever share of the item that is.
-
-The windows of the benchmark are broadcast only if their counted size is under
-``broadcast_bytes``; beyond it the join is a shuffle on the window's hash.
-
-Defined results of edge cases: null and empty texts, and items of fewer words than a
-window (too short to tell a leak), match nothing; a null doc_id or item_id matches like
-any other; repeated rows are reported once; empty tables give an empty table; other
+space with the others, so that a copy in other case or spacing is found too.
+
+The join tells at which *alignments* (document position minus item position) a document
+and an item are to be compared, word by word. Words match if they are equal or slots of
+one type, and a window counts if its five words match. Within an alignment the slots of
+these windows must be consistent in both directions: each item value stands for one document
+value, and each document value for one item value. Alignments that break this are not
+re-parameterised questions, and only their windows whose words equal the item's, values
+too, are kept.
+
+Windows in a row are a *run*. A name of two words or a word left out shifts the alignment,
+so runs of near alignments (at most ``shift`` words apart from one to the next) that
+stand in the same order in the item and in the document form a chain. A document is
+contaminated by an item if the runs of one chain cover ``min_coverage`` of its words, or if
+one run covers ``min_run`` of them, whatever share of the item that is.
+
+The windows of the benchmark and the keys of texts to compare are broadcast only if their
+counted size is under ``broadcast_bytes``; beyond it these joins are shuffles.
+
+Defined results of edge cases: null and empty texts match nothing, and items without
+words neither; items of fewer words than a window, or without a window that holds a plain
+word, match the texts that have just their words, values too; a null doc_id or item_id matches
+like any other; repeated rows are reported once; empty tables give an empty table; other
 columns are not read.
 """
 
@@ -27,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, unused_name
 
 WINDOW = 5
 #: Tags that stand before the value of a name, a number and a unit.
@@ -83,55 +93,112 @@ def _windowed(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
     return rows.select(*keys, F.explode(arrays).alias("hs")).select(*keys, F.posexplode("hs").alias(place, "h")).where("h IS NOT NULL")
 
 
-def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, min_coverage: float = 0.6, broadcast_bytes: int = 32 << 20, min_run: int = 13) -> DataFrame:
+#: Two hashes stand for a text.
+TEXT = ["th", "tg"]
+
+
+def _hashes(text: Column) -> list[Column]:
+    text = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(text).alias("th"), F.xxhash64(F.lit("second"), text).alias("tg")]
+
+
+def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, min_coverage: float = 0.6, broadcast_bytes: int = 32 << 20, min_run: int = 13, shift: int = 10) -> DataFrame:
     """doc_id, item_id, n_windows and coverage of each contaminated document and its item."""
     scratch = Scratch(spark, "decontam")
-    source = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
-    items = scratch.save(benchmark.select("item_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("ih"), tagged(F.col("text")).alias("words")), "items")
-    slotted = F.exists("part", lambda w: w < " ")
-    bench = _windowed(items, ["item_id", "ih", "words"], "q")
-    bench = bench.select("item_id", "ih", F.size("words").alias("n"), "q", "h", F.slice("words", F.col("q") + 1, WINDOW).alias("part"))
-    bench = scratch.save(bench.select("item_id", "ih", "n", "q", "h", slotted.alias("slots")).distinct(), "windows")
-    small = bench.count() * 64 <= broadcast_bytes
-    hits = _windowed(source, ["doc_id", "th"], "p").join(F.broadcast(bench) if small else bench, "h").drop("h")
-    hits = scratch.save(hits, "hits").distinct().withColumn("line", F.col("p") - F.col("q"))
-    if not hits.where("slots").isEmpty():  # without slots there is nothing to be inconsistent
-        hits = hits.join(_broken(scratch, hits, source, items), ["th", "ih", "line", "q"], "left_anti")
-    found = hits.groupBy("doc_id", "th", "item_id", "ih", "line").agg(F.collect_set("q").alias("qs"), F.first("n").alias("n")).withColumn("run", _longest_run(F.col("qs")))
-    found = found.groupBy("doc_id", "th", "item_id", "ih").agg(F.array_distinct(F.flatten(F.collect_list("qs"))).alias("qs"), F.first("n").alias("n"), F.max("run").alias("run"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("qs", lambda q: F.sequence(q, q + WINDOW - 1)))))
-    found = found.select("doc_id", "item_id", F.size("qs").cast("long").alias("n_windows"), (covered / F.col("n")).alias("coverage"), "run")
-    found = found.where((F.col("coverage") >= min_coverage) | (F.col("run") >= min_run))
+
+    def small(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if table.count() * 64 <= broadcast_bytes else table
+
+    source = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), *_hashes(F.col("text")))
+    items = scratch.save(benchmark.select("item_id", F.md5(F.col("text").cast("binary")).alias("ih"), tagged(F.col("text")).alias("words")).where(F.size("words") > 0), "items")
+    texts_of_items = items.dropDuplicates(["ih"]).select("ih", "words")
+    bench = _windowed(texts_of_items, ["ih", "words"], "q")
+    bench = bench.where(F.exists(F.slice("words", F.col("q") + 1, WINDOW), lambda w: w >= " ")).select("ih", "q", "h").distinct()
+    bench = scratch.save(bench, "windows")
+    hits = _windowed(source, ["doc_id", *TEXT], "p").join(small(bench), "h")
+    met = scratch.save(hits.groupBy("doc_id", *TEXT, "ih").agg(F.collect_set(F.col("p") - F.col("q")).alias("lines")), "met")
+    texts = source.select(*TEXT, "text").join(small(scratch.save(met.select(*TEXT).distinct(), "texts")), TEXT, "left_semi").dropDuplicates(TEXT)
+    compared = met.select(*TEXT, "ih", "lines").dropDuplicates([*TEXT, "ih"]).join(texts.select(*TEXT, tagged(F.col("text")).alias("doc")), TEXT)
+    compared = compared.join(texts_of_items.withColumnRenamed("words", "item"), "ih")
+    runs = F.array_sort(F.flatten(F.transform("lines", lambda line: _runs(F.col("item"), F.col("doc"), line))))
+    compared = compared.select(*TEXT, "ih", F.size("item").alias("n"), runs.alias("runs")).where(F.size("runs") > 0)
+    most = F.array_max(F.transform("runs", lambda r: r["e"] - r["s"] + WINDOW))
+    windows_met = F.size(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["s"], r["e"])))))
+    compared = compared.select(*TEXT, "ih", windows_met.cast("long").alias("n_windows"), (_best_chain(F.col("runs"), shift) / F.col("n")).alias("coverage"), most.alias("run"))
+    found = compared.where((F.col("coverage") >= min_coverage) | (F.col("run") >= min_run)).select(*TEXT, "ih", "n_windows", "coverage")
+    found = met.select("doc_id", *TEXT, "ih").join(found, [*TEXT, "ih"]).select("doc_id", "ih", "n_windows", "coverage")
+    whole = scratch.save(texts_of_items.join(bench, "ih", "left_anti"), "whole")
+    if not whole.isEmpty():
+        own = whole.select("ih", F.array_join("words", " ").alias("of"))
+        alike = source.select("doc_id", F.array_join(tagged(F.col("text")), " ").alias("of")).join(small(own), "of")
+        found = found.union(alike.select("doc_id", "ih", F.lit(1).cast("long"), F.lit(1.0)))
+    found = found.join(items.select("ih", "item_id"), "ih")
     return found.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("coverage").alias("coverage"))
 
 
-def _longest_run(qs: Column) -> Column:
-    """The most words in a row that the windows at these positions cover."""
-    start = F.struct(F.lit(0).alias("first"), F.lit(-1).alias("end"), F.lit(0).alias("most"))
+def _held(value: Column, use) -> Column:
+    """use(value), where value is computed once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _runs(item: Column, doc: Column, line: Column) -> Column:
+    """The runs of windows (s and e are the first and the last one's place in the item) of one alignment."""
+
+    def bare(w: Column) -> Column:
+        return F.when(w.startswith(NAME), F.substring(w, 2, 1 << 30)).otherwise(w)
+
+    def spots(words: Column) -> Column:
+        """For each item word: both words, whether they are equal, and whether they match."""
+
+        def spot(w: Column) -> Column:
+            i, d = w["i"], w["d"]
+            equal = F.coalesce(bare(i) == bare(d), F.lit(False))
+            match = equal | F.coalesce((i < " ") & (F.substring(i, 1, 1) == F.substring(d, 1, 1)), F.lit(False))
+            return F.struct(i.alias("i"), d.alias("d"), equal.alias("equal"), match.alias("match"))
+
+        return F.transform(F.transform(words, lambda i, q: F.struct(i.alias("i"), F.get(doc, q + line).alias("d"))), spot)
+
+    def starts(w: Column) -> Column:
+        return F.sequence(F.lit(0), F.size(w) - WINDOW)
+
+    def full(w: Column, what: str) -> Column:
+        """For each place whether a window of such words begins there."""
+        return F.transform(starts(w), lambda q: F.forall(F.slice(w, q + 1, WINDOW), lambda x: x[what]))
+
+    def consistent(w: Column, held: Column) -> Column:
+        in_window = F.filter(w, lambda x, q: (x["i"] < " ") & F.exists(F.slice(held, F.greatest(q - (WINDOW - 2), F.lit(1)), F.least(q, F.lit(WINDOW - 1)) + 1), lambda h: h))
+        values = F.array_distinct(F.transform(in_window, lambda x: F.struct(bare(x["i"]).alias("i"), bare(x["d"]).alias("d"))))
+        one_to_one = lambda v: (F.size(F.array_distinct(v["i"])) == F.size(v)) & (F.size(F.array_distinct(v["d"])) == F.size(v))
+        return _held(values, one_to_one)
+
+    def as_runs(held: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(held) - 1)
+        here = lambda q: F.coalesce(F.get(held, q), F.lit(False))
+        first = F.filter(at, lambda q: here(q) & ~here(q - 1))
+        last = F.filter(at, lambda q: here(q) & ~here(q + 1))
+        return F.zip_with(first, last, lambda s, e: F.struct(s.alias("s"), e.alias("e"), line.cast("int").alias("line")))
+
+    def of(w: Column) -> Column:
+        return _held(_held(full(w, "match"), lambda held: F.when(consistent(w, held), held).otherwise(full(w, "equal"))), as_runs)
+
+    return _held(spots(item), of)
 
-    def step(run: Column, q: Column) -> Column:
-        first = F.when(q <= run["end"], run["first"]).otherwise(q)
-        return F.struct(first.alias("first"), (q + WINDOW).alias("end"), F.greatest(run["most"], q + WINDOW - first).alias("most"))
 
-    return F.aggregate(F.array_sort(qs), start, step, lambda run: run["most"])
+def _best_chain(runs: Column, shift: int) -> Column:
+    """The most words of the item that runs cover which stand in one order in item and document, from one to the next at most ``shift`` words apart."""
+    none = F.array().cast("array<struct<s:int,e:int,line:int,best:int>>")
 
+    def step(before: Column, r: Column) -> Column:
+        follows = lambda b: (b["s"] < r["s"]) & (b["s"] + b["line"] < r["s"] + r["line"]) & (F.abs(b["line"] - r["line"]) <= shift)
+        gains = F.transform(F.filter(before, follows), lambda b: b["best"] - F.greatest(b["e"] + WINDOW - r["s"], F.lit(0)))
+        best = r["e"] - r["s"] + WINDOW + F.greatest(F.coalesce(F.array_max(gains), F.lit(0)), F.lit(0))
+        return F.concat(before, F.array(F.struct(r["s"].alias("s"), r["e"].alias("e"), r["line"].alias("line"), best.cast("int").alias("best"))))
 
-def _broken(scratch: Scratch, hits: DataFrame, source: DataFrame, items: DataFrame) -> DataFrame:
-    """The windows (th, ih, line, q) with other values than the item's, of alignments in which one item value stands for several document values."""
-    used = scratch.save(hits.where("slots").select("th", "ih", "line", "p", "q").distinct(), "slotted")
-    texts = source.join(used.select("th").distinct(), "th", "left_semi").select("th", "text").dropDuplicates(["th"])
-    of_doc = texts.select("th", F.posexplode(tagged(F.col("text"))).alias("p", "doc_word"))
-    of_doc = of_doc.withColumn("doc_word", F.when(F.col("doc_word") < " ", F.expr("substring(doc_word, 2)")).otherwise(F.col("doc_word")))  # a name may be untagged here
-    of_item = items.dropDuplicates(["ih"]).select("ih", F.posexplode("words").alias("q", "item_word")).where("item_word < ' '")
-    spots = used.select("th", "ih", "line", F.explode(F.sequence(F.col("q"), F.col("q") + WINDOW - 1)).alias("q")).distinct()
-    spots = spots.withColumn("p", (F.col("q") + F.col("line")).cast("int"))
-    pairs = scratch.save(spots.join(of_doc, ["th", "p"]).join(of_item, ["ih", "q"]).select("th", "ih", "line", "q", "item_word", "doc_word"), "pairs")
-    lines = pairs.groupBy("th", "ih", "line", "item_word").agg(F.countDistinct("doc_word").alias("n")).where("n > 1").select("th", "ih", "line").distinct()
-    other = pairs.where("substring(item_word, 2) <> doc_word").join(lines, ["th", "ih", "line"], "left_semi")
-    return other.select("th", "ih", "line", F.explode(F.sequence(F.col("q") - (WINDOW - 1), F.col("q"))).alias("q")).distinct()
+    return F.aggregate(runs, none, step, lambda all_runs: F.array_max(F.transform(all_runs, lambda r: r["best"])))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that no item contaminates, with all their columns."""
-    leaked = contaminated(spark, docs, benchmark).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("__leaked")), "left_anti")
+    of = unused_name("leaked", docs)
+    leaked = contaminated(spark, docs, benchmark).select(F.col("doc_id").alias(of)).distinct()
+    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col(of)), "left_anti")
