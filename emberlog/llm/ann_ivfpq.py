@@ -257,7 +257,8 @@ def search(
     rows = rows.where(F.size("embedding") == dimension)
     asked = valid_vectors(queries).where(F.size("embedding") == dimension)
     place = F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(place < F.lit(min(1.0, max_sample / n))).select("embedding").toPandas()["embedding"]
+    sample = rows.where(place < F.lit(min(1.0, max_sample / n))).select("vec_id", "embedding").toPandas()
+    sample = sample.assign(key=sample["embedding"].map(tuple)).sort_values(["vec_id", "key"])["embedding"]  # so that what is fitted doesn't depend on partitions
     x = np.stack(sample.to_list() if len(sample) else [r.embedding for r in rows.limit(1).collect()]).astype(np.float64)
     x = x / np.linalg.norm(x, axis=1)[:, None]
     lists = max(1, min(4096, round(5 * n**0.4), len(x) // 8))

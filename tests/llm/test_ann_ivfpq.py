@@ -21,10 +21,17 @@ def run(spark, rows):
     return search(spark, table, table.where(F.col("vec_id") % 50 == 0)).collect()
 
 
-@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1", "check_s"])
-def test_recall(spark, sf):
-    table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
-    got = search(spark, table, table.where(F.col("vec_id") % 50 == 0)).collect()
+def clustered(n, dimension=64, groups=40, seed=7):
+    """Vectors around centres, of various widths, and some around none."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, dimension))
+    to = rng.integers(0, groups + 4, n)
+    spread = rng.uniform(0.1, 0.8, groups)
+    x = rng.normal(size=(n, dimension))
+    return np.where((to < groups)[:, None], centres[to % groups] + spread[to % groups][:, None] * x, x)
+
+
+def recall_of(table, got):
     rows = table.collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
     x /= np.linalg.norm(x, axis=1)[:, None]
@@ -34,11 +41,34 @@ def test_recall(spark, sf):
         s[k] = -2
         want |= {(int(ids[k]), int(i)) for i in ids[np.lexsort((ids, -s.round(12)))[:5]]}
     assert len(got) == len(want)
-    recall = len(want & {(r.query_id, r.vec_id) for r in got}) / len(want)
+    return len(want & {(r.query_id, r.vec_id) for r in got}) / len(want)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1", "clustered"])
+def test_recall(spark, sf):
+    if sf == "clustered":
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(clustered(12_000))], "vec_id long, embedding array<float>")
+    else:
+        table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    recall = recall_of(table, search(spark, table, table.where(F.col("vec_id") % 50 == 0)).collect())
     print(sf, recall)
     assert recall >= 0.9
 
 
+def test_result_does_not_depend_on_partitions(spark):
+    rows = [(i, v.tolist()) for i, v in enumerate(clustered(6000, 32))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (1, 4, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            dealt = table.repartition(n)
+            got.append(sorted(map(tuple, search(spark, dealt, dealt.where(F.col("vec_id") % 50 == 0)).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1] == got[2]
+
+
 def test_ties_and_a_list_of_many_blocks(spark):
     rng = np.random.default_rng(3)
     same = rng.normal(size=16).tolist()
