@@ -29,6 +29,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 from pyarrow import fs
@@ -92,16 +93,20 @@ def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, by
 
 def inflate(read: Callable[[int], bytes]) -> Iterator[bytes]:
     """The uncompressed pieces of a gzip file of one or more members."""
-    z = zlib.decompressobj(GZIP)
+    z, within = zlib.decompressobj(GZIP), False
     while data := read(PIECE):
         while data:
+            within = True
             if out := z.decompress(data, PIECE):
                 yield out
             data = z.unconsumed_tail
             if z.eof:
-                data, z = z.unused_data, zlib.decompressobj(GZIP)
-    if rest := z.flush():
-        yield rest
+                data, z, within = z.unused_data, zlib.decompressobj(GZIP), False
+    if within:
+        if rest := z.flush():
+            yield rest
+        if not z.eof:
+            raise ValueError("the archive ends within a gzip member")
 
 
 class _Whole:
@@ -149,8 +154,8 @@ def _exists(uri: str) -> bool:
     return system.get_file_info(path).type == fs.FileType.File
 
 
-def normalise(source: str, target: str) -> tuple[str, int]:
-    """Rewrite every record as a member of its own; returns the index's path and the number of records.
+def normalise(source: str, target: str) -> tuple[str, list[int]]:
+    """Rewrite every record as a member of its own; returns the index's path and where the line of each record ends there.
 
     The index is the last to get its name. Then the source goes, so that the disk never
     holds both forms of all archives; a task that is run again finds the index and is done.
@@ -163,7 +168,7 @@ def normalise(source: str, target: str) -> tuple[str, int]:
         system.delete_file(path)
     system, path = open_fs(index_uri)
     with system.open_input_stream(path) as f:
-        return index_uri, f.read().count(b"\n")
+        return index_uri, list(accumulate(map(len, f.read().splitlines(keepends=True))))
 
 
 def _rewrite(source: str, target: str, index_uri: str) -> None:
@@ -180,10 +185,11 @@ def _rewrite(source: str, target: str, index_uri: str) -> None:
     index.close()
 
 
-def read_index(uri: str, first: int, count: int) -> list[dict]:
+def read_index(uri: str, start: int, size: int) -> list[dict]:
+    """The lines in these bytes of an index."""
     system, path = open_fs(uri)
-    with system.open_input_stream(path) as f:
-        return [json.loads(x) for x in f.read().decode().splitlines()[first : first + count]]
+    with system.open_input_file(path) as f:
+        return [json.loads(x) for x in f.read_at(size, start).decode().splitlines()]
 
 
 def read_members(archive: str, entries: list[dict]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -195,26 +201,26 @@ def read_members(archive: str, entries: list[dict]) -> Iterator[tuple[dict[str,
             yield next((h, block) for h, block, _ in records(iter([raw])))
 
 
-def _page_urn(page_id: int | None) -> str:
-    return f"urn:page:{'' if page_id is None else page_id}"
+def _page_urn(page_id: int | None, digest: str, repeat: int = 0) -> str:
+    """A record's own name: the page, its payload, and which of the rows that repeat both."""
+    return f"urn:page:{'' if page_id is None else page_id}:{digest}:{repeat}"
 
 
 def _urn_page(urn: str) -> int | None:
-    text = urn.strip("<>").removeprefix("urn:page:")
+    text = urn.strip("<>").removeprefix("urn:page:").partition(":")[0]
     return int(text) if text else None
 
 
 def _write(root: str, roll_bytes: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        seen = object()
-        before = seen
+        before, repeat = None, 0
         for batch in batches:
             for r in batch.to_pylist():
                 key = (r["page_id"], r["digest"])
-                first, before = key != before, key
-                again = r["shared"] and not (r["refers_to"] == r["page_id"] and first)
+                repeat, before = repeat + 1 if key == before else 0, key
+                again = r["shared"] and not (r["refers_to"] == r["page_id"] and not repeat)
                 payload = (r["html"] or "").encode()
-                yield {"kind": "revisit" if again else "response", "record_id": _page_urn(r["page_id"]), "target": r["url"] or "urn:none", "digest": r["digest"], "payload": payload, "refers_to": _page_urn(r["refers_to"]) if again else None}
+                yield {"kind": "revisit" if again else "response", "record_id": _page_urn(*key, repeat), "target": r["url"] or "urn:none", "digest": r["digest"], "payload": payload, "refers_to": _page_urn(r["refers_to"], r["digest"]) if again else None}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path in write_monolith(root, rows(batches), roll_bytes):
@@ -228,9 +234,11 @@ def _normalise(root: str, slice_rows: int):
         for batch in batches:
             for raw in batch.column("raw").to_pylist():
                 target = f"{root}/members/{raw.rpartition('/')[2]}"
-                index, n = normalise(raw, target)
-                firsts = list(range(0, n, slice_rows))
-                yield pa.RecordBatch.from_pydict({"archive": [target] * len(firsts), "idx": [index] * len(firsts), "first": firsts, "n": [slice_rows] * len(firsts)}, schema=pa.schema([("archive", pa.string()), ("idx", pa.string()), ("first", pa.int64()), ("n", pa.int64())]))
+                index, ends = normalise(raw, target)
+                cuts = [0, *ends[slice_rows - 1 :: slice_rows]]
+                cuts += ends[-1:] if ends and ends[-1] > cuts[-1] else []
+                slices = {"archive": [target] * (len(cuts) - 1), "idx": [index] * (len(cuts) - 1), "start": cuts[:-1], "size": [b - a for a, b in pairwise(cuts)]}
+                yield pa.RecordBatch.from_pydict(slices, schema=pa.schema([("archive", pa.string()), ("idx", pa.string()), ("start", pa.int64()), ("size", pa.int64())]))
 
     return run
 
@@ -243,7 +251,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for s in batch.to_pylist():
             out: list[tuple] = []
-            for headers, block in read_members(s["archive"], read_index(s["idx"], s["first"], s["n"])):
+            for headers, block in read_members(s["archive"], read_index(s["idx"], s["start"], s["size"])):
                 http, _, payload = block.partition(b"\r\n\r\n")
                 page, digest = _urn_page(headers["warc-record-id"]), headers["warc-payload-digest"].removeprefix("sha256:")
                 if headers["warc-type"] == "response":
@@ -275,7 +283,7 @@ def normalise_archives(spark: SparkSession, files: DataFrame, root: str, slice_r
     """Rewrite monolithic archives record by record; returns slices of the sidecar indexes."""
     scratch = Scratch(spark, "warc-index")
     spread = files.repartition(shuffle_partitions(spark))
-    return scratch.save(spread.mapInArrow(_normalise(root, slice_rows), "archive string, idx string, first long, n long"), "slices")
+    return scratch.save(spread.mapInArrow(_normalise(root, slice_rows), "archive string, idx string, start long, size long"), "slices")
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
