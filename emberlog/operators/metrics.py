@@ -83,9 +83,15 @@ def drift_report(scored: DataFrame, order: Sequence[str], bins: int = 4, target_
         F.min("bin_start").alias("start"), F.count("*").alias("n"), F.avg("label").alias("anomaly_rate"), F.sum("label").alias("positives"),
         (_positives(flag, 1) / F.greatest(F.sum("label"), F.lit(1))).alias("recall_at_thr"), (_positives(flag, 0) / F.first("bin_days")).alias("fa_per_day"),
     )
-    run = W.partitionBy("bin").orderBy(F.desc("score"))
-    groups = by_score(binned, ["bin"]).withColumns({"cum_n": F.sum("n").over(run), "cum_tp": F.sum("tp").over(run)})
-    ap = groups.groupBy("bin").agg(F.sum(F.col("tp") * F.col("cum_tp") / F.col("cum_n")).alias("raw"))
+    keys = ["bin", "down"]
+    groups = in_ranges(by_score(binned, ["bin"]).withColumn("down", -F.col("score")), keys)
+    sums = groups.groupBy("bin").agg(F.sum("n").alias("bin_n"), F.sum("tp").alias("bin_tp"))
+    earlier = W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    # one row for each bin: what stands before it in the order of all
+    before = F.broadcast(sums.select("bin", *[F.coalesce(F.sum(f"bin_{c}").over(earlier), F.lit(0)).alias(f"before_{c}") for c in ("n", "tp")]))
+    ran = with_running_sum(with_running_sum(groups, keys, F.col("n"), "all_n"), keys, F.col("tp"), "all_tp").join(before, "bin")
+    ran = ran.withColumns({f"cum_{c}": F.col(f"all_{c}") - F.col(f"before_{c}") for c in ("n", "tp")})
+    ap = ran.groupBy("bin").agg(F.sum(F.col("tp") * F.col("cum_tp") / F.col("cum_n")).alias("raw"))
     out = base.join(ap, "bin")
     auc = F.when((F.col("positives") > 0) & (F.col("positives") < F.col("n")), F.try_divide("raw", "positives"))
     return out.select("bin", "start", "n", "anomaly_rate", auc.alias("pr_auc"), "recall_at_thr", "fa_per_day")

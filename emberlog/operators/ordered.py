@@ -8,7 +8,7 @@ which is bounded by the number of partitions.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -40,6 +40,18 @@ def with_position(ranged: DataFrame, order: Sequence[str], name: str = "pos") ->
     return ranged.withColumn(name, own).join(_before(base), PART).withColumn(name, (F.col(name) + F.col("base") - 1).cast("long")).drop("base")
 
 
+def quantile(df: DataFrame, column: str, p: float, name: str) -> DataFrame:
+    """One row with the quantile at p, linear between the two rows around it; equal values are spread over ranges, NULLs left out."""
+    values = written(df.select(column).where(F.col(column).isNotNull()).withColumn("tie", F.xxhash64(F.monotonically_increasing_id())), "values")
+    n = values.count()
+    at = p * max(n - 1, 0)
+    low, high = int(np.floor(at)), int(np.ceil(at))
+    placed = with_position(in_ranges(values, [column, "tie"]), [column, "tie"]).where(F.col("pos").isin(low, high))
+    # one or two rows
+    weight = F.lit(1.0) if low == high else F.when(F.col("pos") == low, high - at).otherwise(at - low)
+    return placed.agg(F.sum(F.col(column) * weight).alias(name))
+
+
 def with_running_sum(ranged: DataFrame, order: Sequence[str], value: Column, name: str) -> DataFrame:
     """The sum of value up to and with each row."""
     sums = ranged.groupBy(PART).agg(F.sum(value).alias("part_sum"))
@@ -58,14 +70,14 @@ def with_previous(ranged: DataFrame, order: Sequence[str], columns: dict[str, st
     return out.withColumns({k: F.when(F.col("is_first"), F.col(f"edge.{k}")).otherwise(F.col(k)) for k in columns}).drop("edge", "is_first")
 
 
-def decayed_counts(t: np.ndarray, beta: float) -> np.ndarray:
-    """For each time the sum of exp(-beta (t - s)) over the times s before it, in one pass over blocks.
+def decayed_counts(t: np.ndarray, beta: float, carried: float = 0.0) -> np.ndarray:
+    """For each time the sum of exp(-beta (t - s)) over the times s before it, in one pass over blocks; ``carried`` is the sum at the first time.
 
     A block spans so little time that the exponentials can be summed directly; what went
     before it is one decayed number.
     """
     out = np.zeros(len(t))
-    carried, a = 0.0, 0
+    a = 0
     while a < len(t):
         b = max(a + 1, int(np.searchsorted(t, t[a] + 300.0 / beta, "right")))
         x = np.exp(beta * (t[a:b] - t[a]))
@@ -80,16 +92,24 @@ def decayed_counts(t: np.ndarray, beta: float) -> np.ndarray:
 def with_excitation(ranged: DataFrame, time: str, order: Sequence[str], betas: dict[str, float]) -> DataFrame:
     """Adds, for each name, the decayed count of all earlier rows; ``time`` in seconds.
 
-    The recursion A' = exp(-beta d) (1 + A) composes, so ranges are computed apart and a
-    range's last state decays into the ranges after it.
+    The recursion A' = exp(-beta d) (1 + A) composes, so ranges are computed apart, batch
+    by batch with a carried state, and a range's last state decays into the ranges after it.
     """
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranged.schema) + "".join(f", {k} double" for k in betas)
 
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable")
-        return pdf.assign(**{k: decayed_counts(pdf[time].to_numpy(float), b) for k, b in betas.items()})
-
-    own = written(ranged.groupBy(PART).applyInPandas(local, fields), "excitation")
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, last, state = None, 0.0, {}
+        for batch in batches:
+            for number, pdf in batch.groupby(PART, sort=True):  # batches hold ranges in order
+                t = pdf[time].to_numpy(float)
+                if number != of:
+                    of, last, state = number, t[0], dict.fromkeys(betas, 0.0)
+                counts = {k: decayed_counts(t, b, state[k] * np.exp(-b * (t[0] - last))) for k, b in betas.items()}
+                last, state = t[-1], {k: c[-1] + 1.0 for k, c in counts.items()}
+                yield pdf.assign(**counts)
+
+    n = int(ranged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = written(ranged.repartition(n, PART).sortWithinPartitions(PART, *order).mapInPandas(local, fields), "excitation")
     ends = own.groupBy(PART).agg(F.min(time).alias("first"), F.max(time).alias("last"), *[F.max_by(k, F.struct(*order)).alias(k) for k in betas]).orderBy(PART).collect()
     state, rows, before = dict.fromkeys(betas, 0.0), [], None
     for r in ends:  # one row for each partition

@@ -13,10 +13,12 @@ _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, or one under /tmp where the session names none."""
+    """The cluster's shared folder; a local master may do without, and gets one under /tmp."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="emberlog-ops-", dir="/tmp"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import in_ranges, with_position
+from .ordered import in_ranges, quantile, with_position
 
 
 def log_floor(raw: Column) -> Column:
@@ -15,7 +15,7 @@ def log_floor(raw: Column) -> Column:
 
 
 def fixed_threshold(scores: DataFrame, q: float) -> DataFrame:
-    return scores.agg(F.expr(f"percentile(score, {1.0 - q!r})").alias("z"))
+    return quantile(scores, "score", 1.0 - q, "z")
 
 
 def tail(n: Column, mean: Column, var: Column) -> tuple[Column, Column]:
@@ -36,7 +36,10 @@ def level(t: Column, gamma: Column, sigma: Column, peaks: Column, n: Column, q:
 
 def pot_by(scores: DataFrame, parts: Sequence[str], q: float, init_level: float) -> DataFrame:
     """z, t, gamma, sigma and n_peaks for each group."""
-    base = scores.groupBy(*parts).agg(F.expr(f"percentile(score, {init_level!r})").alias("t"), F.count("*").alias("n"))
+    if parts:  # groups of a stated size
+        base = scores.groupBy(*parts).agg(F.expr(f"percentile(score, {init_level!r})").alias("t"), F.count("*").alias("n"))
+    else:  # all rows, in ranges
+        base = quantile(scores, "score", init_level, "t").crossJoin(scores.agg(F.count("*").alias("n")))
     with_t = scores.join(base.select(*parts, "t"), list(parts)) if parts else scores.crossJoin(F.broadcast(base.select("t")))
     over = with_t.where(F.col("score") > F.col("t")).withColumn("x", F.col("score") - F.col("t")).groupBy(*parts)
     over = over.agg(F.count("*").alias("n_peaks"), F.avg("x").alias("m"), F.var_pop("x").alias("v"))

@@ -54,13 +54,17 @@ def top_flagged(scored: DataFrame, key: str, top: int = 200) -> DataFrame:
 
 
 def with_context(flagged: DataFrame, lines: DataFrame, key: str, order: Sequence[str], most_templates: int = 8, most_lines: int = 4) -> DataFrame:
-    """Adds the first distinct templates and the first lines of each flagged key. The flagged rows are a top list."""
-    wanted = F.broadcast(flagged.select(key))
-    own = lines.join(wanted, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, "template", "content"))).alias("rows"))
-    templates = F.slice(F.array_distinct(F.transform("rows", lambda r: r["template"])), 1, most_templates)
-    content = F.slice(F.transform("rows", lambda r: r["content"]), 1, most_lines)
+    """Adds the first distinct templates and the first lines of each flagged key; rows are ranked and cut before they are collected."""
+    own = lines.join(flagged.select(key), key).select(key, F.struct(*order, "template", "content").alias("row"))
     none = F.array().cast("array<string>")
-    joined = flagged.join(own.select(key, templates.alias("templates"), content.alias("context")), key, "left")
+
+    def first(rows: DataFrame, most: int, field: str, name: str) -> DataFrame:
+        place = F.row_number().over(W.partitionBy(key).orderBy("row"))
+        kept = rows.withColumn("place", place).where(F.col("place") <= most).groupBy(key).agg(F.array_sort(F.collect_list("row")).alias("rows"))
+        return kept.select(key, F.transform("rows", lambda r: r[field]).alias(name))
+
+    firsts = own.groupBy(key, F.col("row.template").alias("template")).agg(F.min("row").alias("row"))
+    joined = flagged.join(first(firsts, most_templates, "template", "templates"), key, "left").join(first(own, most_lines, "content", "context"), key, "left")
     return joined.withColumns({"templates": F.coalesce("templates", none), "context": F.coalesce("context", none)})
 
 

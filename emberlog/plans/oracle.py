@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators.triage import KEYWORDS, UNKNOWN
+from ..operators.triage import ACTIONS, KEYWORDS, UNKNOWN
 
 E = """e AS (SELECT event_id AS seq, ts AS "timestamp", event_type AS event_id, CAST(user_id AS VARCHAR) AS node,
   CAST(event_type = 'error' AS INTEGER) AS label, value AS score, props AS content FROM events)"""
@@ -92,6 +92,12 @@ def shown(c: str) -> str:
 RECORDS = INCIDENTS + f""", rec AS (SELECT inc.*, CASE WHEN peak >= 0.8 OR n_anomalies >= 20 THEN 'P1' WHEN peak >= 0.5 OR n_anomalies >= 5 THEN 'P2' WHEN peak >= 0.2 THEN 'P3' ELSE 'P4' END AS priority,
   {category("lower(templates)")} AS category, round_even(peak, 4) AS max_score FROM inc JOIN tp USING (incident_no))"""
 
+RANKED = RECORDS + """, ranked AS (SELECT rec.* REPLACE (CAST(dedup_count AS BIGINT) AS dedup_count), row_number() OVER (ORDER BY priority, max_score DESC, incident_no) - 1 AS rank FROM rec)"""
+TEXTS = RANKED + """, lists AS (SELECT incident_no, list(template ORDER BY f) AS all_templates FROM seen GROUP BY incident_no),
+who AS (SELECT incident_no, list_sort(list(DISTINCT entity) FILTER (WHERE length(entity) > 0)) AS entities FROM co GROUP BY incident_no),
+texts AS (SELECT *, coalesce(len(entities), 0) AS n_entities, (epoch_us("end") - epoch_us("start")) / 1e6 AS span FROM ranked JOIN lists USING (incident_no) JOIN who USING (incident_no))"""
+ACTION = "CASE category " + " ".join(f"WHEN '{kind}' THEN '{text.replace(chr(39), chr(39) * 2)}'" for kind, text in ACTIONS.items()) + " END"
+
 WINDOW = """w AS (SELECT win, min("timestamp") AS "start", count(*) AS n_events, max(label) AS label, {} FROM t GROUP BY win)"""
 COUNTS = ", ".join(f"count(*) FILTER (WHERE event_id = '{v}') AS {v}" for v in ("click", "error", "purchase", "signup", "view"))
 QUALITY = E + """, gp AS (SELECT (epoch_us("timestamp") - lag(epoch_us("timestamp")) OVER (ORDER BY seq)) / 1e6 AS gap FROM e),
@@ -112,6 +118,7 @@ SQL = {
     "dq_report": f"WITH {QUALITY} SELECT * REPLACE (round(span_seconds, 6) AS span_seconds) FROM rep",
     "dq_flags": f"""WITH {QUALITY} SELECT 'single_event_keys' AS "check", fraction_single_event_keys AS value, coalesce(fraction_single_event_keys > 0.5, FALSE) AS flag FROM rep UNION ALL SELECT 'coarse_time', tie_fraction, seconds_only AND coalesce(tie_fraction > 0, FALSE) FROM rep
 UNION ALL SELECT 'unsorted', CAST(times_going_backwards AS DOUBLE), times_going_backwards > 0 FROM rep UNION ALL SELECT 'null_cells', CAST(null_cells AS DOUBLE), null_cells > 0 FROM rep UNION ALL SELECT 'duplicate_rows', CAST(exact_duplicate_rows AS DOUBLE), exact_duplicate_rows > 0 FROM rep""",
+    "level_counts": "SELECT 'INFO' AS level, count(*) AS n FROM events",
     "value_counts": f"WITH {E} SELECT event_id, count(*) AS n FROM e GROUP BY event_id",
     "topk_vocab": f"WITH {E} SELECT event_id, count(*) AS n FROM e GROUP BY event_id ORDER BY n DESC, event_id LIMIT 3",
     "per_minute_fill": f"""WITH {E}, c AS (SELECT date_trunc('minute', "timestamp") AS m, count(*) AS n FROM e GROUP BY m), a AS (SELECT unnest(generate_series(min(m), max(m), INTERVAL 1 MINUTE)) AS m FROM c), f AS (SELECT coalesce(n, 0) AS n FROM a LEFT JOIN c USING (m)) SELECT n, count(*) AS minutes FROM f GROUP BY n""",
@@ -128,10 +135,15 @@ SELECT n_train, n_test, boundary, round(tr, 6) AS train_rate, round(te, 6) AS te
     "window_content": f"WITH {T}, {WINDOW.format(COUNTS)} SELECT * FROM w ORDER BY win",
     "window_timing": f"""WITH {T}, x AS (SELECT a.win, a.seq, coalesce(sum(exp(-(a.t_sec - b.t_sec) / 600)), 0) AS f, coalesce(sum(exp(-(a.t_sec - b.t_sec) / 3600)), 0) AS s FROM t a LEFT JOIN t b ON (b.t_sec, b.seq) < (a.t_sec, a.seq) AND b.t_sec > a.t_sec - 150000 GROUP BY ALL)
 SELECT win, round(avg(f), 6) AS exc_mean_fast, round(max(f), 6) AS exc_max_fast, round(avg(s), 6) AS exc_mean_slow, round(max(s), 6) AS exc_max_slow, count(*) AS n_events FROM x GROUP BY win""",
+    "window_features": f"""WITH {T.replace("3600.0", "21600.0")}, v AS (SELECT event_id, row_number() OVER (ORDER BY count(*) DESC, event_id) AS k FROM t GROUP BY event_id),
+w AS (SELECT win, min("timestamp") AS "start", count(*) AS n_events, max(label) AS label, {", ".join(f"count(*) FILTER (WHERE v.k = {k}) AS top_{k}" for k in (1, 2, 3))} FROM t JOIN v USING (event_id) GROUP BY win),
+x AS (SELECT a.win, a.seq, coalesce(sum(exp(-(a.t_sec - b.t_sec))), 0) AS f, coalesce(sum(exp(-(a.t_sec - b.t_sec) / 30)), 0) AS s FROM t a LEFT JOIN t b ON (b.t_sec, b.seq) < (a.t_sec, a.seq) AND b.t_sec > a.t_sec - 3000 GROUP BY ALL),
+m AS (SELECT win, round(avg(f), 6) AS exc_mean_fast, round(max(f), 6) AS exc_max_fast, round(avg(s), 6) AS exc_mean_slow, round(max(s), 6) AS exc_max_slow FROM x GROUP BY win) SELECT * FROM w JOIN m USING (win)""",
     "excitation": f"WITH {RATED} SELECT seq, round(a, 6) AS excitation, round({MU} + {ALPHA} * a, 6) AS intensity, round(comp, 6) AS compensator FROM c",
     "rescaled_gaps": f"WITH {RATED} SELECT seq, round(gap, 6) AS gap FROM gaps",
     "ks_test": f"""WITH {RATED}, r AS (SELECT gap, row_number() OVER (ORDER BY gap, seq) AS k, count(*) OVER () AS n FROM gaps), s AS (SELECT max(greatest(k / n - (1 - exp(-gap)), (1 - exp(-gap)) - (k - 1) / n)) AS d, avg(gap) AS m, max(n) AS n FROM r), v AS (SELECT *, (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * d AS x FROM s)
-SELECT round(d, 6) AS ks_stat, round(m, 6) AS mean_gap, n, CASE WHEN x < 0.2 THEN TRUE ELSE (SELECT sum(2 * CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0 * j * j * x * x)) FROM (SELECT unnest(range(1, 101)) AS j)) > 0.05 END AS accepted FROM v""",
+SELECT round(d, 6) AS ks_stat, round(p, 6) AS ks_pvalue, round(m, 6) AS mean_gap, n, p > 0.05 AS accepted
+FROM (SELECT *, CASE WHEN x < 0.2 THEN 1.0 ELSE least(greatest((SELECT sum(2 * CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0 * j * j * x * x)) FROM (SELECT unnest(range(1, 101)) AS j)), 0.0), 1.0) END AS p FROM v)""",
     "qq_points": f"WITH {RATED}, r AS (SELECT gap, row_number() OVER (ORDER BY gap, seq) AS k, count(*) OVER () AS n FROM gaps) SELECT k, round(-ln(1 - (k - 0.5) / n), 6) AS theoretical, round(gap, 6) AS observed FROM r",
     "intensity_grid": f"""WITH {T}, gr AS (SELECT i * 2592.0 AS g FROM (SELECT unnest(range(1001)) AS i)) SELECT round(g, 6) AS g, round({MU} + {ALPHA} * coalesce(sum(exp(-{BETA} * (g - t_sec))), 0), 6) AS intensity FROM gr LEFT JOIN t ON t_sec < g AND t_sec > g - 100000 GROUP BY g""",
     "hawkes_window": f"""WITH {E}, k AS (SELECT epoch_us("timestamp") AS u FROM e WHERE label = 1 AND "timestamp" >= TIMESTAMP '2024-01-05' AND "timestamp" < TIMESTAMP '2024-01-08') SELECT count(*) AS n, round((max(u) - min(u)) / 1e6, 6) AS span FROM k""",
@@ -148,6 +160,7 @@ a AS (SELECT unnest(['threshold', 'recall', 'precision', 'tp', 'fp', 'fn']) AS m
 SELECT metric, round(a.v, 6) AS "new", round(b.v, 6) AS "old", round(a.v - b.v, 6) AS change FROM a FULL JOIN b USING (metric)""",
     "invariant_check": f"WITH {L}, n AS (SELECT count(*) FILTER (WHERE event_id = 'NO') AS n_events FROM l), o AS (SELECT count(*) AS n_labels FROM orders) SELECT n_events, n_labels, n_events = n_labels AS equal FROM n, o",
     "fixed_threshold": f"WITH {EVENT_SCORES} SELECT round(quantile_cont(score, 0.98), 6) AS z FROM es",
+    "log_floor_threshold": f"WITH {EVENT_SCORES} SELECT round(quantile_cont(ln(greatest(score, 1e-12)), 0.98), 6) AS z FROM es",
     "pot_threshold": f"WITH {EVENT_SCORES}, one AS (SELECT 0 AS k, score FROM es), {pot('one', '0.001', '0.98')} SELECT round(z, 6) AS z, round(t, 6) AS t, round(gamma, 6) AS gamma, round(sigma, 6) AS sigma, np AS n_peaks FROM fits",
     "rolling_quantile": f"WITH {ROLLED} {TRAIL} SELECT seq, i, flag, round(thr, 6) AS thr FROM tr",
     "adaptive_pot": f"WITH {FED}, {pot('fed', '0.01', '0.9', 'kk')} {TRAIL} SELECT seq, i, flag, round(thr, 6) AS thr FROM tr",
@@ -159,6 +172,11 @@ SELECT metric, round(a.v, 6) AS "new", round(b.v, 6) AS "old", round(a.v - b.v,
     "correlate_same_entity": f"WITH {correlated(7200.0, True)} SELECT id, incident_no FROM co",
     "incidents": f"""WITH {INCIDENTS} SELECT id, n_anomalies, CAST(dedup_count AS BIGINT) AS dedup_count, "start", "end", round(peak, 6) AS peak, entities, templates FROM inc JOIN tp USING (incident_no) JOIN ent USING (incident_no)""",
     "triage_records": f"""WITH {RECORDS} SELECT row_number() OVER (ORDER BY priority, max_score DESC, incident_no) - 1 AS rank, id, priority, category, n_anomalies, CAST(dedup_count AS BIGINT) AS dedup_count, {shown('"start"')} AS "start", {shown('"end"')} AS "end", max_score FROM rec""",
+    "triage_texts": f"""WITH {TEXTS} SELECT rank, id, priority, category, n_anomalies || CASE WHEN n_anomalies = 1 THEN ' anomaly' ELSE ' anomalies' END || ' within ' || printf('%.0f', round_even(span, 0)) || ' s'
+  || CASE WHEN n_entities = 1 THEN ' at ' || entities[1] WHEN n_entities > 1 THEN ' at ' || n_entities || ' entities' ELSE '' END || ', mostly ' || category AS summary, {ACTION} AS recommended_action,
+  'Stands for ' || dedup_count || ' flagged rows from ' || {shown('"start"')} || ' to ' || {shown('"end"')} || '; highest score ' || printf('%.3f', round_even(peak, 3)) || '; templates: ' || array_to_string(all_templates[1:5], '; ') || CASE WHEN len(all_templates) > 5 THEN '; and more' ELSE '' END AS explanation,
+  n_anomalies, dedup_count, {shown('"start"')} AS "start", {shown('"end"')} AS "end", max_score, array_to_string(entities[1:10], ' ') AS entities FROM texts""",
+    "incident_drilldown": f"""WITH {RANKED} SELECT rank, id, priority, category, n_anomalies, dedup_count, {shown('"start"')} AS "start", {shown('"end"')} AS "end", max_score FROM ranked WHERE id = 'INC-0001'""",
     "triage_p1": f"WITH {RECORDS} SELECT id, max_score FROM rec WHERE priority = 'P1'",
     "triage_totals": f"WITH {RECORDS} SELECT priority, count(*) AS incidents, CAST(sum(dedup_count) AS BIGINT) AS flags FROM rec GROUP BY priority",
     "categories": f"SELECT {category('lower(text)')} AS category, count(*) AS n FROM documents GROUP BY category",
@@ -171,4 +189,6 @@ SELECT block_id, any_value(score) AS score, any_value(templates) AS templates, s
 SELECT min("timestamp") AS "start", max("timestamp") AS "end", count(*) AS n_anomalies, round(max(coalesce(score, 0.0)), 6) AS peak FROM c GROUP BY g""",
     "stream_threshold": f"WITH {ROLLED} {TRAIL} SELECT seq, i, flag, round(thr, 6) AS thr FROM tr",
     "stream_decay": f"""WITH {T} SELECT a.node, a.seq, round(coalesce(sum(exp(-(a.t_sec - b.t_sec) / 3600.0)), 0), 6) AS excitation FROM t a LEFT JOIN t b ON a.node = b.node AND (b.t_sec, b.seq) < (a.t_sec, a.seq) GROUP BY ALL""",
+    "stream_dedup": f"""WITH {E}, d AS (SELECT *, date_trunc('day', "timestamp") AS "start", coalesce(score, 0.0) AS sc FROM e), r AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY "start", node, event_id) AS dedup_n FROM d WINDOW w AS (PARTITION BY "start", node, event_id ORDER BY sc DESC, seq))
+SELECT "start", node, event_id, seq, round(sc, 6) AS score, dedup_n FROM r WHERE rn = 1""",
 }

@@ -89,6 +89,10 @@ def dq_flags(spark, d):
     return r6(quality.quality_flags(_quality(spark, d)))
 
 
+def level_counts(spark, d):
+    return quality.value_counts(parsed_lines(spark, d), "level")
+
+
 def value_counts(spark, d):
     return quality.value_counts(events(spark, d), "event_id")
 
@@ -120,13 +124,9 @@ def key_sessions(spark, d):
     return _sessions(spark, d).withColumn("event_seq", F.array_join("event_seq", " "))
 
 
-VOCAB = ["AF", "AO", "NF", "NO", "RF", "RO"]
-
-
 def count_matrix(spark, d):
     l = lines(spark, d)
-    wide = sessions.count_matrix(l, "block_id", sessions.vocabulary(l))
-    return wide.select("block_id", *[F.col(v) if v in wide.columns else F.lit(0).cast("long").alias(v) for v in VOCAB])
+    return sessions.count_matrix(l, "block_id", sessions.vocabulary(l))
 
 
 def _labeled(spark, d):
@@ -155,7 +155,7 @@ def rate_by_size(spark, d):
 def window_content(spark, d):
     e = events(spark, d)
     w = windows.with_window(e, HOUR)
-    vocab = ["click", "error", "purchase", "signup", "view"]
+    vocab = windows.vocabulary_of(e, 50)
     return windows.window_meta(w).join(windows.content_features(w, vocab), "win").orderBy("win")
 
 
@@ -167,8 +167,11 @@ def window_timing(spark, d):
 
 
 def window_features(spark, d):
-    out = windows.window_features(events(spark, d), ["t_sec", "seq"], 6 * HOUR, 3)
-    return out.select([F.col(f"`{c}`").alias(c.replace(".", "_")) for c in out.columns])
+    e = events(spark, d)
+    vocab = windows.vocabulary_of(e, 3)
+    out = windows.window_features(e, ["t_sec", "seq"], 6 * HOUR, vocab=vocab)
+    names = {c: f"top_{vocab.index(c) + 1}" if c in vocab else c.replace(f"{1 / 30:.4g}", "slow").replace("_1", "_fast") for c in out.columns}
+    return r6(out.select([F.col(f"`{c}`").alias(n) for c, n in names.items()]))
 
 
 # --- point process ---
@@ -195,7 +198,7 @@ def rescaled_gaps(spark, d):
 
 
 def ks_test(spark, d):
-    return r6(hawkes.ks_test(written(_gaps(spark, d), "gaps"), ["seq"])).select("ks_stat", "mean_gap", "n", "accepted")
+    return r6(hawkes.ks_test(written(_gaps(spark, d), "gaps"), ["seq"])).select("ks_stat", "ks_pvalue", "mean_gap", "n", "accepted")
 
 
 def qq_points(spark, d):
@@ -271,6 +274,12 @@ def fixed_threshold(spark, d):
     return r6(thresholds.fixed_threshold(_event_scores(spark, d), 0.02))
 
 
+def log_floor_threshold(spark, d):
+    """The fixed quantile of the logs of scores, floored."""
+    logs_ = _event_scores(spark, d).withColumn("score", thresholds.log_floor(F.col("score")))
+    return r6(thresholds.fixed_threshold(logs_, 0.02))
+
+
 def pot_threshold(spark, d):
     return r6(thresholds.pot_threshold(_event_scores(spark, d), 0.001, 0.98))
 
@@ -333,6 +342,11 @@ def triage_texts(spark, d):
     return triage.triage(anomalies(spark, d, 1000), 1800.0).withColumn("entities", F.array_join("entities", " "))
 
 
+def incident_drilldown(spark, d):
+    """One record of the list."""
+    return triage.one_incident(triage_records(spark, d), "INC-0001")
+
+
 def triage_p1(spark, d):
     return triage.with_priorities(triage_records(spark, d), ["P1"]).select("id", "max_score")
 
@@ -355,17 +369,16 @@ def context_lookup(spark, d):
 
 # --- detectors ---
 
-WINDOW_VOCAB = ["click", "purchase", "signup", "view"]
-
-
 def _features(spark, d):
     w = windows.with_window(events(spark, d), HOUR)
-    meta = windows.window_meta(w)
-    return written(meta.join(sessions.count_vectors(w.where("label = 0"), "win", WINDOW_VOCAB), "win", "left").withColumn("features", F.coalesce("features", F.array(*[F.lit(0.0)] * 4))), "features")
+    meta, normal = windows.window_meta(w), w.where("label = 0")
+    vocab = sessions.vocabulary(normal)
+    none = F.array(*[F.lit(0.0)] * len(vocab)).cast("array<double>")
+    return written(meta.join(sessions.count_vectors(normal, "win", vocab), "win", "left").withColumn("features", F.coalesce("features", none)), "features")
 
 
 def scaler(spark, d):
-    return r6(detectors.scaler(_features(spark, d), 4))
+    return r6(detectors.scaler(_features(spark, d), 10_000))
 
 
 def iforest_scores(spark, d):
@@ -382,9 +395,11 @@ def ae_scores(spark, d):
 
 def timing_ablation(spark, d):
     """Average precision of content, timing and both, and what timing adds."""
-    out = windows.window_features(events(spark, d), ["t_sec", "seq"], HOUR, 4, vocab=WINDOW_VOCAB)
+    e = events(spark, d)
+    vocab = windows.train_vocabulary(e.where("label = 0"), ["timestamp", "seq"], 50)  # of the training side only
+    out = windows.window_features(e, ["t_sec", "seq"], HOUR, vocab=vocab)
     timing = [c for c in out.columns if c.startswith("exc_")] + ["n_events"]
-    sets = {"content": WINDOW_VOCAB, "timing": timing, "content_timing": WINDOW_VOCAB + timing}
+    sets = {"content": vocab, "timing": timing, "content_timing": vocab + timing}
     rows = written(out, "ablation")
     split = written(sessions.temporal_split(rows.select("win", "start", "label"), "win", 0.7).select("win", "split"), "split")
     parts = []
@@ -436,10 +451,14 @@ def stream_decay(spark, d):
     return r6(streams.run_to_table(streams.decay_by_node(streams.read_events(spark, d), 1 / 3600), "append"))
 
 
+def stream_dedup(spark, d):
+    return r6(streams.run_to_table(streams.best_by_signature(streams.read_events(spark, d)), "complete"))
+
+
 NAMES = (
-    "canonical_events parsed_lines explode_keys dq_report dq_flags value_counts topk_vocab per_minute_fill fano gap_histogram key_sessions count_matrix sessions_labeled temporal_split split_summary rate_by_size"
+    "canonical_events parsed_lines explode_keys dq_report dq_flags level_counts value_counts topk_vocab per_minute_fill fano gap_histogram key_sessions count_matrix sessions_labeled temporal_split split_summary rate_by_size"
     " window_content window_timing window_features excitation rescaled_gaps ks_test qq_points intensity_grid hawkes_fit hawkes_window hawkes_simulate pr_auc pr_curve operating_point fa_per_day drift_report score_atom metric_comparison invariant_check"
-    " fixed_threshold pot_threshold rolling_quantile adaptive_pot threshold_stability threshold_swing severity_rank dedup correlate correlate_same_entity incidents triage_records triage_texts triage_p1 triage_totals"
-    " categories context_lookup scaler iforest_scores ae_scores timing_ablation masked_templates drain_templates stream_windows stream_sessions stream_threshold stream_decay"
+    " fixed_threshold log_floor_threshold pot_threshold rolling_quantile adaptive_pot threshold_stability threshold_swing severity_rank dedup correlate correlate_same_entity incidents triage_records triage_texts incident_drilldown triage_p1 triage_totals"
+    " categories context_lookup scaler iforest_scores ae_scores timing_ablation masked_templates drain_templates stream_windows stream_sessions stream_threshold stream_decay stream_dedup"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}

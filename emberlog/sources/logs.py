@@ -95,5 +95,23 @@ def write_records(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path, ignoreNullFields=False)
 
 
+def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records as write_records() leaves them."""
+    return spark.read.schema(schema).json(path)
+
+
+def parsed_table(spark: SparkSession, path: str, name: str, out: str) -> dict[str, int]:
+    """A raw file to its canonical table with mined templates, written as Parquet; the numbers of lines read, parsed, and kept."""
+    from ..operators.scratch import written
+    from ..operators.templates import mine_templates
+
+    form = log_format(name)
+    raw = read_lines(spark, path)
+    rows = written(parse_lines(raw, form).withColumn("line_no", F.monotonically_increasing_id()), "parsed")
+    mined = mine_templates(rows, "line_no", form.masks, form.depth, form.similarity, "Content")
+    write_events(form.canonical(mined.withColumnsRenamed({"event_id": "EventId", "template": "EventTemplate"})), out)
+    return {"lines": raw.count(), "parsed": rows.count(), "kept": spark.read.parquet(out).count()}
+
+
 def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("record"))

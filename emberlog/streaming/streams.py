@@ -87,7 +87,8 @@ def decay_by_node(stream: DataFrame, beta: float) -> DataFrame:
 def best_by_signature(stream: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
     """Stream dedup: the highest score of each (node, template) and day, with the number of rows."""
     grouped = stream.withWatermark("timestamp", late).groupBy(F.window("timestamp", width).alias("w"), "node", "event_id")
-    return grouped.agg(F.max_by("seq", "score").alias("seq"), F.max("score").alias("score"), F.count("*").alias("dedup_n"))
+    best = grouped.agg(F.max(F.struct("score", (-F.col("seq")).alias("s"))).alias("best"), F.count("*").alias("dedup_n"))
+    return best.select(F.col("w.start").alias("start"), "node", "event_id", (-F.col("best.s")).alias("seq"), F.col("best.score").alias("score"), "dedup_n")
 
 
 def run_to_table(out: DataFrame, mode: str) -> DataFrame:
