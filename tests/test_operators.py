@@ -260,3 +260,27 @@ def test_templates(spark):
     text = ["Receiving block blk_1 src 10.0.0.1:50", "Receiving block blk_2 src 10.0.0.2:51", "user alice logged in from home", "user bob logged in from work", "user eve logged in from home", "done"]
     out = templates.mine_templates(frame(spark, list(enumerate(text)), "n long, content string"), "n", S.BLOCK_MASKS).orderBy("n").collect()
     assert out[0].template == out[1].template == "Receiving block <*> src <*>" and out[0].event_id == out[1].event_id and out[5].template == "done"
+
+
+def test_parse_stage_in_one_call(spark, tmp_path):
+    lines = [
+        "081109 203615 148 INFO dfs.DataNode$PacketResponder: PacketResponder 1 for block blk_38865049064139660 terminating",
+        "081109 203807 222 INFO dfs.DataNode$PacketResponder: PacketResponder 0 for block blk_-6952295868487656571 terminating",
+        "no line of this form",
+        "081109 204005 35 INFO dfs.FSNamesystem: Starting thread",
+    ]
+    with open(tmp_path / "raw.log", "w") as f:
+        f.write("\n".join(lines))
+    counts = logs.parsed_table(spark, str(tmp_path / "raw.log"), "HDFS", str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("timestamp").collect()
+    assert counts == {"lines": 4, "parsed": 3, "kept": 3}
+    assert [r.block_ids for r in got] == [["blk_38865049064139660"], ["blk_-6952295868487656571"], []]
+    assert got[0].event_id == got[1].event_id != got[2].event_id
+
+
+def test_records_are_read_as_written(spark, tmp_path):
+    rows = frame(spark, [("INC-0001", None, 2.5), ("INC-0002", "P1", 1.0)], "id string, priority string, max_score double")
+    logs.write_records(rows, str(tmp_path / "r"))
+    back = logs.read_records(spark, str(tmp_path / "r"), "id string, priority string, max_score double")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    assert [r.priority for r in triage.one_incident(back, "INC-0002").collect()] == ["P1"]
