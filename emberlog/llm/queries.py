@@ -67,6 +67,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+OP1_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
+),
+parts AS (
+  SELECT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] END) AS g FROM words
+),
+sets AS (SELECT DISTINCT doc_id, g FROM parts),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * k >= 80 * (x.n + y.n - k)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS v, a AS r FROM edges UNION SELECT e.b AS v, r.r FROM reach r JOIN edges e ON e.a = r.v)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(m, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN (SELECT v, min(r) AS m FROM reach GROUP BY v) c ON c.v = d.doc_id
+"""
+
 OP3_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
@@ -91,4 +108,4 @@ FROM marked GROUP BY doc_id
 """
 
 QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_ann": op2_ann, "op3_warc": op3_warc, "op4_secrets": op4_secrets, "op5_bpe": op5_bpe, "op6_langid": op6_langid, "op7_toxicity": op7_toxicity, "op8_decontamination": op8_decontamination, "op9_sharding": op9_sharding, "op10_line_dedup": op10_line_dedup}
-SQL = {"op3_warc": OP3_SQL, "op10_line_dedup": OP10_SQL}
+SQL = {"op1_ngram_join": OP1_SQL, "op3_warc": OP3_SQL, "op10_line_dedup": OP10_SQL}
