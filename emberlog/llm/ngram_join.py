@@ -34,6 +34,7 @@ empty table gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -150,7 +151,8 @@ def _combine(size: int, kind: str):
 def _total(chunks: DataFrame, length: int, kind: str) -> np.ndarray:
     """The combined table, whose length is bounded; tasks are combined in groups before these meet."""
     size = min(CHUNK, length)
-    some = chunks.groupBy("chunk", (F.col("task") % 32).alias("part")).applyInArrow(_combine(size, kind), CHUNKS_SQL)
+    groups = max(1, math.isqrt((chunks.agg(F.max("task")).first()[0] or 0) + 1))
+    some = chunks.groupBy("chunk", (F.col("task") % groups).alias("part")).applyInArrow(_combine(size, kind), CHUNKS_SQL)
     out = np.zeros(length, kind)
     for r in some.groupBy("chunk").applyInArrow(_combine(size, kind), CHUNKS_SQL).toLocalIterator():
         out[r.chunk * CHUNK : r.chunk * CHUNK + size] = _chunk_of(r.data, size, kind)
@@ -435,7 +437,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 5, t: i
     scratch = Scratch(spark, "ngram-join")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = (source.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
-    sketch_bits = _bits_for(words // 8, SKETCH_BITS)
+    sketch_bits = _bits_for(words // 32, SKETCH_BITS)
     signed = scratch.save(source.mapInArrow(_sign(size, sketch_bits), SIGNED_SQL), "signed", "kind")
     signs = signed.where("kind = 0").select("doc_id", "n", "f1", "f2")
     counts = _total(signed.where("kind = 1").select("chunk", "task", "data"), 1 << sketch_bits, "<u4")
