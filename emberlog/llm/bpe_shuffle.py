@@ -37,6 +37,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import release_memory
+
 #: Characters for which the JVM's classes and the tokenizer's are the same.
 PLAIN = r"^[\x00-ɏ‐-‧‰-⁞]*$"
 #: White space among them, and all that the tokenizer's \s stands for.
@@ -114,16 +116,18 @@ def _blocks(pattern: str):
                 sizes = np.concatenate([sizes, np.array([len(x) for x in lists], np.int32)])
                 docs += doc_ids.filter(texts.is_valid()).to_pylist()
             coded = flat.cast(pa.string()).dictionary_encode()
+            del flat, words, texts
             codes = coded.indices.to_numpy(zero_copy_only=False)
             # frequent words get small codes, which pack better
             order = np.argsort(-np.bincount(codes, minlength=len(coded.dictionary)), kind="stable") if len(codes) else np.zeros(0, np.int64)
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
             dictionary = coded.dictionary.take(pa.array(order))
             digest = hashlib.blake2b(str(docs).encode(), digest_size=16)
             for buffer in dictionary.buffers()[1:]:
                 digest.update(buffer or b"")
             yield (task << 32) + k, digest.hexdigest(), docs, sizes, dictionary, place[codes] if len(codes) else codes
+        release_memory()
 
     return run
 

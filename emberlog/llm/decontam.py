@@ -200,5 +200,6 @@ def _best_chain(runs: Column, shift: int) -> Column:
 def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that no item contaminates, with all their columns."""
     of = unused_name("leaked", docs)
-    leaked = contaminated(spark, docs, benchmark).select(F.col("doc_id").alias(of)).distinct()
+    # written, so that the join knows how small it is
+    leaked = Scratch(spark, "leaked").save(contaminated(spark, docs, benchmark).select(F.col("doc_id").alias(of)).distinct(), "ids")
     return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col(of)), "left_anti")

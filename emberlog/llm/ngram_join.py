@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_partitions, unused_name
+from .common import Scratch, release_memory, shuffle_partitions, unused_name
 
 #: Least and most bits of a slot's number in the token sketch and in the table of needed documents.
 SKETCH_BITS, NEED_BITS = (16, 24), (16, 28)
@@ -53,6 +53,8 @@ ORDERS = 3
 SHORT, WHOLE = 12, 4
 #: Postings of a bucket, and of a part of a frequent token's list.
 POSTINGS, PART = 400_000, 1 << 16
+#: Documents whose postings are packed together.
+POST_ROWS = 5000
 #: Bits of a token's identity in a posting; a part's number stands above them.
 TOKEN_BITS = 48
 #: Pairs of a bucket in verification.
@@ -73,7 +75,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -194,6 +196,7 @@ def _sign(size: int, bits: int):
             yield pa.RecordBatch.from_pydict(cols | {f.name: pa.nulls(k, f.type) for f in CHUNKS}, schema=SIGNED)
         for row in _chunk_rows(sketch, TaskContext.get().partitionId()):
             yield pa.RecordBatch.from_pylist([{"kind": 1} | row], schema=SIGNED)
+        release_memory()
 
     return run
 
@@ -221,7 +224,7 @@ def _post(levels, parts: np.ndarray, size: int, t: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, identity = WordHashes(), np.uint64((1 << TOKEN_BITS) - 1)
-        for batch in batches:
+        for batch in (whole.slice(a, POST_ROWS) for whole in batches for a in range(0, whole.num_rows, POST_ROWS)):
             seen: set[bytes] = set()
             ids, sizes, tokens = [], [], [[] for _ in range(ORDERS)]
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
@@ -255,6 +258,7 @@ def _post(levels, parts: np.ndarray, size: int, t: int, buckets: int):
                     rows.append((o, int(to[a]), int(b - a), _packed([own[0], _steps(own[1]), _steps(own[2]), own[3]])))
             kinds = {"o": pa.int32(), "bucket": pa.int32(), "n": pa.int32(), "data": pa.binary()}
             yield pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in rows], kind) for i, (c, kind) in enumerate(kinds.items())})
+        release_memory()
 
     return run
 
@@ -337,6 +341,7 @@ def _lists(t: int):
             out = [_found(2, o, a=marked, token=bits)]
         a, b = np.concatenate(a), np.concatenate(b)
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
+        release_memory()
         return pa.Table.from_batches([_found(0, o, a=both[:, 0].copy(), b=both[:, 1].copy()), *out], schema=FOUND)
 
     return run

@@ -8,7 +8,7 @@ more, or less, together than their sum: an insult next to the mention of a group
 cost no more than a pass over the terms: ((sum v)^2 - sum v^2) / 2.
 
 It is fitted on a sample of at most ``max_rows`` labelled training rows, chosen by a hash
-of the text, with Adagrad on the driver; the features of the sample are made in parallel
+of the doc_id, with Adagrad on the driver; the features of the sample are made in parallel
 and each row brings only hashed terms. Every whole text of the table is then scored.
 
 Defined results of edge cases: null and empty texts have no terms and get the base rate;
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import is_train
+from .common import is_train, release_memory
 
 BUCKETS = 1 << 20
 PREFIXES = (4, 5)
@@ -167,11 +167,12 @@ def _scorer(shared):
                             nothing.add(w)
                     hits.update(got)
                 rows.append(np.array(sorted(hits), np.int64))
-            if len(nothing) > 300_000 or len(known) > 300_000:  # the memory of a task stays bounded
+            if len(nothing) > 150_000 or len(known) > 150_000:  # the memory of a task stays bounded
                 nothing.clear()
                 known.clear()
             scores = model.score(rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        release_memory()
 
     return run
 
