@@ -43,6 +43,8 @@ from .common import release_memory
 PLAIN = r"^[\x00-ɏ‐-‧‰-⁞]*$"
 #: White space among them, and all that the tokenizer's \s stands for.
 JVM_SPACE = r"\x09-\x0D\x20\x85\xA0"
+#: Pre-tokens that are packed or reassembled at a time.
+STEP = 1_000_000
 
 
 def jvm_pattern(pattern: str) -> str:
@@ -75,10 +77,14 @@ def id_type(vocabulary: str) -> str:
     return "<u2" if max(ranks(vocabulary).values(), default=0) < 1 << 16 else "<u4"
 
 
-def _pack(codes: np.ndarray) -> bytes:
-    """Codes byte by byte: the high bytes hardly differ, so that they pack to nothing."""
-    planes = np.ascontiguousarray(codes.astype("<u4").view("u1").reshape(-1, 4).T)
-    return pa.Codec("zstd", compression_level=9).compress(planes, asbytes=True) if len(codes) else b""
+def _pack(codes: np.ndarray, place: np.ndarray) -> bytes:
+    """Places of the codes byte by byte: the high bytes hardly differ, so that they pack to nothing."""
+    if not len(codes):
+        return b""
+    planes = np.empty((4, len(codes)), "u1")
+    for a in range(0, len(codes), STEP):  # in steps, as a worker holds a whole block besides
+        planes[:, a : a + STEP] = place[codes[a : a + STEP]].astype("<u4").view("u1").reshape(-1, 4).T
+    return pa.Codec("zstd", compression_level=9).compress(planes, asbytes=True)
 
 
 def _unpack(data: bytes, n: int) -> np.ndarray:
@@ -119,14 +125,19 @@ def _blocks(pattern: str):
             del flat, words, texts
             codes = coded.indices.to_numpy(zero_copy_only=False)
             # frequent words get small codes, which pack better
-            order = np.argsort(-np.bincount(codes, minlength=len(coded.dictionary)), kind="stable") if len(codes) else np.zeros(0, np.int64)
+            counts = np.zeros(len(coded.dictionary), np.int64)
+            for a in range(0, len(codes), STEP):
+                counts += np.bincount(codes[a : a + STEP], minlength=len(counts))
+            order = np.argsort(-counts, kind="stable")
             place = np.empty(len(order), np.int32)
             place[order] = np.arange(len(order), dtype=np.int32)
             dictionary = coded.dictionary.take(pa.array(order))
             digest = hashlib.blake2b(str(docs).encode(), digest_size=16)
             for buffer in dictionary.buffers()[1:]:
                 digest.update(buffer or b"")
-            yield (task << 32) + k, digest.hexdigest(), docs, sizes, dictionary, place[codes] if len(codes) else codes
+            del coded
+            yield (task << 32) + k, digest.hexdigest(), docs, sizes, dictionary, codes, place
+            release_memory()
         release_memory()
 
     return run
@@ -136,7 +147,7 @@ def _words(pattern: str):
     blocks = _blocks(pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, digest, _, _, dictionary, _ in blocks(batches):
+        for block, digest, _, _, dictionary, *_ in blocks(batches):
             yield pa.RecordBatch.from_pydict({"word": [digest], "block": [block], "code": [-1]}, schema=WORDS)
             order = pc.sort_indices(dictionary).cast(pa.int32())  # neighbours share their beginnings, which pack
             for a in range(0, len(dictionary), 50_000):
@@ -150,8 +161,8 @@ def _codes(pattern: str):
     blocks = _blocks(pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, digest, docs, sizes, _, codes in blocks(batches):
-            yield pa.RecordBatch.from_pydict({"block": [block], "digest": [digest], "docs": [docs], "sizes": [sizes], "codes": [_pack(codes)]}, schema=CODES)
+        for block, digest, docs, sizes, _, codes, place in blocks(batches):
+            yield pa.RecordBatch.from_pydict({"block": [block], "digest": [digest], "docs": [docs], "sizes": [sizes], "codes": [_pack(codes, place)]}, schema=CODES)
 
     return run
 
@@ -182,10 +193,6 @@ def _slices(offsets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(offsets - (ends - sizes), sizes)
 
 
-#: Pre-tokens that are reassembled at a time.
-STEP = 1_000_000
-
-
 def block_ids(docs: pa.Table, words: pa.Table, kind: str) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """doc ids, tokens of each and all their ids, in steps of a bounded number of pre-tokens."""
     order = np.argsort(words.column("code").to_numpy(), kind="stable")
