@@ -12,8 +12,8 @@ masks that would match by chance, count' = (count - f n) / (1 - f). The largest
 count wins, ties go to the first language by name.
 
 Learning reads text and non-null lang of the training rows only, by language a sample of
-at most ``max_rows`` documents chosen by a hash of the text, and counts n-grams of their
-whole texts in parallel.
+about ``max_rows`` documents chosen by a hash of doc_id and text, so that copies of a
+text are dealt one by one, and counts n-grams of their whole texts in parallel.
 
 Defined results of edge cases: a text that is null or has no letter is "und" with score
 0; with nothing to learn from every text is "und"; repeated rows are scored like any
@@ -130,14 +130,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(spark: SparkSession, docs: DataFrame, max_rows: int = 2000, grams_per_language: int = 4000, bits: int = 18) -> LanguageFilters:
     """Filters of the languages of the training rows of docs (doc_id, text, lang)."""
-    train = docs.where(is_train(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    train = docs.where(is_train(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     sizes = {r.lang: r.n for r in docs.where(is_train(F.col("doc_id")) & F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, max_rows / n))).otherwise(share)
-    # the hash spreads texts evenly over [0, 1)
-    place = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = train.where(place < share)
+    # the hash spreads rows evenly over [0, 1), copies of one text too
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = train.where(place < share).select("lang", "text")
     counted = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counted.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= grams_per_language)
     rows = top.select("lang", "gram").toPandas()  # languages x grams_per_language rows at most

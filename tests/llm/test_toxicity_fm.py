@@ -1,3 +1,7 @@
+import math
+import zlib
+from itertools import combinations
+
 import numpy as np
 
 from emberlog.llm.toxicity_fm import bucket, fit, keep_clean, learn, score_documents
@@ -28,6 +32,33 @@ def test_held_out(spark):
     assert kept.columns == docs.columns and 0 < kept.count() < 500
 
 
+def brute(text, model):
+    """The score by the plain rule: distinct features, and a loop over all their pairs."""
+    words = set("".join(c if c.isalnum() and not c.isdecimal() else " " for c in (text or "").lower()).split())
+    terms = {f"w:{w}" for w in words} | {f"p:{w[:n]}" for w in words for n in (4, 5) if len(w) > n}
+    place = {int(b): k for k, b in enumerate(model.features)}
+    xs = sorted({place[b] for b in (zlib.crc32(t.encode()) % (1 << 20) for t in terms) if b in place})
+    raw = model.bias + sum(float(model.weights[x]) for x in xs)
+    vectors = model.factors.tolist()
+    raw += sum(math.sumprod(vectors[a], vectors[b]) for a, b in combinations(xs, 2))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, raw))))
+
+
+def test_whole_table_against_all_pairs(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    more = spark.createDataFrame([(-1, " ".join(f"word{k} idiot" for k in range(150_000))), (-2, None), (-3, ""), (-4, "ÉTÉ x_y z9 4you ²nd")], "doc_id long, text string")
+    table = docs.select("doc_id", "text").union(more)
+    model = learn(spark, docs, labels)
+    assert len(model.features) and np.abs(model.factors).max() > 0
+    got = {r.doc_id: r for r in score_documents(spark, table, model).collect()}
+    rows = table.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        score = brute(r.text, model)
+        assert abs(got[r.doc_id].score - score) < 1e-9 and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.3)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, 0.5), (2, "", 0.5), (2, "", 0.5), (None, "x y", 0.5)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
