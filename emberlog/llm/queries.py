@@ -32,7 +32,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return secret_digests(secret_scan(spark, docs, repository="doc_id", owner="source"))
+    found = secret_digests(secret_scan(spark, docs, repository="doc_id", owner="source"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
