@@ -24,8 +24,9 @@ def compact_timestamp(date: Column, time: Column) -> Column:
 
 
 def micro_timestamp(c: Column) -> Column:
-    """Dotted time with up to six digits of a second; NULL where it is none."""
-    return F.try_to_timestamp(c, F.lit("yyyy-MM-dd-HH.mm.ss.SSSSSS"))
+    """Dotted time with up to six digits of a second, without a zone as in compact_timestamp(); NULL where it is none."""
+    shape = r"^(\d{4}-\d{2}-\d{2})-(\d{2})\.(\d{2})\.(\d{2})\.(\d{1,6})$"
+    return F.when(c.rlike(shape), F.regexp_replace(c, shape, "$1 $2:$3:$4.$5").try_cast("timestamp_ntz"))
 
 
 def keys_in(content: Column, pattern: str = BLOCK_KEY) -> Column:

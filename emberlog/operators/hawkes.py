@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ordered import decayed_counts, in_ranges, with_excitation, with_position, with_previous
+from .ordered import in_ranges, with_excitation, with_position, with_previous
 
 
 @dataclass(frozen=True)
@@ -37,15 +37,27 @@ class HawkesFit:
 
 
 def _states(t: np.ndarray, beta: float) -> tuple[np.ndarray, np.ndarray]:
-    """The decayed counts A and their derivative by beta, -B; B = sum of (t - s) exp(-beta (t - s))."""
-    a, b = decayed_counts(t, beta), np.zeros(len(t))
-    step = np.diff(t)
-    decay = np.exp(-beta * step)
-    grow = step * decay * (1 + a[:-1])
-    held = 0.0
-    for i, (d, g) in enumerate(zip(decay, grow, strict=True)):
-        held = d * held + g
-        b[i + 1] = held
+    """The decayed counts A and their derivative by beta, -B; B = sum of (t - s) exp(-beta (t - s)).
+
+    In blocks, as decayed_counts(): a block's exponentials can be summed directly, and what
+    went before it is one decayed number for A and one for B.
+    """
+    a, b = np.zeros(len(t)), np.zeros(len(t))
+    first, held_a, held_b = 0, 0.0, 0.0
+    while first < len(t):
+        end = max(first + 1, int(np.searchsorted(t, t[first] + 300.0 / beta, "right")))
+        since = t[first:end] - t[first]
+        x = np.exp(beta * since)
+        weights = held_a + np.concatenate([[0.0], np.cumsum(x)[:-1]])
+        moments = np.concatenate([[0.0], np.cumsum(since * x)[:-1]])
+        a[first:end] = weights / x
+        b[first:end] = (held_b + since * weights - moments) / x
+        if end < len(t):
+            step = t[end] - t[end - 1]
+            faded = np.exp(-beta * step)
+            held_b = faded * (b[end - 1] + step * (1 + a[end - 1]))
+            held_a = faded * (1 + a[end - 1])
+        first = end
     return a, b
 
 
@@ -107,16 +119,18 @@ FIT_SCHEMA = "mu double, alpha double, beta double, loglik double, n_events long
 
 
 def fit_groups(events: DataFrame, parts: Sequence[str], time: str = "t_sec", min_events: int = 100) -> DataFrame:
-    """One fit for each group of at least min_events events; groups are fitted in parallel."""
+    """One fit for each group of at least min_events events; groups are fitted in parallel, rows of smaller ones never reach Python."""
     kinds = {f.name: f.dataType.simpleString() for f in events.schema}
-    big = events.withColumn("group_size", F.count("*").over(W.partitionBy(*parts))).where(F.col("group_size") >= min_events)
+    sizes = events.groupBy(*parts).agg(F.count("*").alias("group_size")).where(F.col("group_size") >= min_events).alias("sizes")
+    same = [F.col(f"events.{p}").eqNullSafe(F.col(f"sizes.{p}")) for p in parts]
+    big = events.select(*parts, time).alias("events").join(sizes, same, "left_semi")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         f = fit(pdf[time].to_numpy())
         return pd.DataFrame([[*key, f.mu, f.alpha, f.beta, f.loglik, f.n_events, f.span, f.converged, f.branching_ratio]])
 
     schema = ", ".join(f"{p} {kinds[p]}" for p in parts) + ", " + FIT_SCHEMA
-    return big.select(*parts, time).groupBy(*parts).applyInPandas(run, schema)
+    return big.groupBy(*parts).applyInPandas(run, schema)
 
 
 def window_seconds(events: DataFrame, start: str, hours: float, alerts_only: bool = False, ts: str = "timestamp") -> DataFrame:

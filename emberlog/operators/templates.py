@@ -1,16 +1,24 @@
 """Template mining: masked lines are routed by length and first tokens, then clustered by equal tokens.
 
 Lines of another length or other first tokens never meet, so each route is mined by
-itself, in the order of first appearance, over its distinct masked lines only.
+itself, in the order of first appearance, over its distinct masked lines only. A task
+holds the templates of one route, never its lines.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import masked
+from .scratch import written
+
+WILDCARD = "<*>"
+MINED_COLUMNS = ["route", "cluster", "masked_line", "template"]
 
 
 def masked_templates(lines: DataFrame, masks, column: str = "content") -> DataFrame:
@@ -19,38 +27,72 @@ def masked_templates(lines: DataFrame, masks, column: str = "content") -> DataFr
     return lines.select(template.alias("template")).groupBy("template").agg(F.count("*").alias("n")).withColumn("event_id", F.left(F.md5("template"), F.lit(8)))
 
 
-def mine_route(lines: list[list[str]], similarity: float) -> list[int]:
-    """The cluster of each token list, in order; clusters keep a template in which unequal tokens are wildcards."""
-    templates: list[list[str]] = []
-    out = []
-    for tokens in lines:
-        best, best_key = -1, (-1.0, -1)
-        for k, t in enumerate(templates):
-            same = sum(a == b and a != "<*>" for a, b in zip(t, tokens, strict=True))
-            key = (same / len(tokens) if tokens else 1.0, t.count("<*>"))
-            if key > best_key:
-                best, best_key = k, key
-        if best >= 0 and best_key[0] >= similarity:
-            templates[best] = [a if a == b else "<*>" for a, b in zip(templates[best], tokens, strict=True)]
-        else:
-            templates.append(list(tokens))
-            best = len(templates) - 1
-        out.append(best)
-    return [" ".join(templates[k]) for k in out]
+class Clusters:
+    """The templates of one route, as rows of token numbers; unequal tokens become wildcards. Memory is that of the templates, not of the lines."""
+
+    def __init__(self, similarity: float) -> None:
+        self.similarity = similarity
+        self.words: list[str] = []
+        self.numbers: dict[str, int] = {}
+        self.rows = np.empty((0, 0), np.int64)
+        self.size = 0
+
+    def add(self, tokens: list[str]) -> int:
+        """The cluster of a line: the template with most equal tokens, then with most wildcards, then the oldest; or a new one."""
+        own = np.array([-1 if w == WILDCARD else self.numbers.get(w, -2) for w in tokens])
+        if self.size:
+            held = self.rows[: self.size]
+            same = ((held == own) & (held >= 0)).sum(1)
+            best = int(np.argmax(same * (len(tokens) + 1) + (held == -1).sum(1)))
+            if same[best] / len(tokens) >= self.similarity:
+                held[best, held[best] != own] = -1
+                return best
+        return self._new(tokens)
+
+    def _new(self, tokens: list[str]) -> int:
+        for w in tokens:
+            if w != WILDCARD and w not in self.numbers:
+                self.numbers[w] = len(self.words)
+                self.words.append(w)
+        if self.size == len(self.rows):
+            grown = np.full((max(8, 2 * self.size), len(tokens)), -1, np.int64)
+            grown[: self.size] = self.rows[: self.size] if self.size else 0
+            self.rows = grown
+        self.rows[self.size] = [-1 if w == WILDCARD else self.numbers[w] for w in tokens]
+        self.size += 1
+        return self.size - 1
+
+    def templates(self) -> list[str]:
+        return [" ".join(WILDCARD if n < 0 else self.words[n] for n in row) for row in self.rows[: self.size]]
+
+
+def _mined(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
+    """Rows in order of route and first line to the cluster of each line; a route's templates follow its lines."""
+    route, clusters = None, Clusters(similarity)
+
+    def finished() -> list[tuple]:
+        return [(route, k, None, t) for k, t in enumerate(clusters.templates())]
+
+    for batch in batches:
+        out = []
+        for own, line in zip(batch["route"], batch["masked_line"], strict=True):
+            if own != route:
+                out += finished()
+                route, clusters = own, Clusters(similarity)
+            out.append((route, clusters.add(line.split(" ")), line, None))
+        yield pd.DataFrame(out, columns=MINED_COLUMNS)
+    yield pd.DataFrame(finished(), columns=MINED_COLUMNS)
 
 
 def mine_templates(lines: DataFrame, order: str, masks, depth: int = 4, similarity: float = 0.5, column: str = "content") -> DataFrame:
-    """lines with template and event_id (the first 8 hex digits of the template's MD5)."""
+    """lines with template and event_id (the first 8 hex digits of the template's MD5). Sorted routes stream through their tasks."""
     tidy = F.trim(F.regexp_replace(masked(F.col(column), masks), r"\s+", " "))
     rows = lines.withColumn("masked_line", tidy)
-    distinct = rows.groupBy("masked_line").agg(F.min(order).alias("first_line")).withColumn("tokens", F.split("masked_line", " "))
-    heads = [F.when(F.get("tokens", F.lit(k)).rlike(r"\d"), "<*>").otherwise(F.coalesce(F.get("tokens", F.lit(k)), F.lit(""))) for k in range(depth - 2)]
-    routed = distinct.withColumn("route", F.concat_ws("\x1f", F.size("tokens"), *heads))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["first_line", "masked_line"])
-        return pd.DataFrame({"masked_line": pdf["masked_line"], "template": mine_route([m.split(" ") for m in pdf["masked_line"]], similarity)})
-
-    found = routed.select("route", "masked_line", "first_line").groupBy("route").applyInPandas(run, "masked_line string, template string")
-    out = rows.join(found, "masked_line").drop("masked_line")
-    return out.withColumn("event_id", F.left(F.md5("template"), F.lit(8)))
+    distinct = rows.where("masked_line IS NOT NULL").groupBy("masked_line").agg(F.min(order).alias("first_line")).withColumn("tokens", F.split("masked_line", " "))
+    heads = [F.when(F.get("tokens", F.lit(k)).rlike(r"\d"), WILDCARD).otherwise(F.coalesce(F.get("tokens", F.lit(k)), F.lit(""))) for k in range(depth - 2)]
+    routed = distinct.select(F.concat_ws("\x1f", F.size("tokens"), *heads).alias("route"), "masked_line", "first_line")
+    sorted_ = routed.repartition("route").sortWithinPartitions("route", "first_line", "masked_line").select("route", "masked_line")
+    found = written(sorted_.mapInPandas(lambda batches: _mined(batches, similarity), "route string, cluster long, masked_line string, template string"), "mined")
+    named = found.where("template IS NOT NULL").select("route", "cluster", "template")
+    of_line = found.where("template IS NULL").drop("template").join(named, ["route", "cluster"]).select("masked_line", "template")
+    return rows.join(of_line, "masked_line").drop("masked_line").withColumn("event_id", F.left(F.md5("template"), F.lit(8)))

@@ -30,10 +30,10 @@ def canonical_blocks(rows: DataFrame) -> DataFrame:
 
 
 def canonical_nodes(rows: DataFrame, dropped: Observation | None = None) -> DataFrame:
-    """Microsecond lines with an alert tag; lines without a time are dropped, and counted where an observation is given."""
+    """Microsecond lines with an alert tag, which any label but "-" is, a missing one too; lines without a time are dropped, and counted where an observation is given."""
     out = rows.select(
         S.micro_timestamp(F.col("Time")).alias("timestamp"), F.col("EventId").alias("event_id"), F.col("EventTemplate").alias("template"),
-        (F.col("Label") != "-").cast("int").alias("label"), F.col("Node").alias("node"), F.col("Component").alias("component"), F.col("Level").alias("level"), F.col("Content").alias("content"),
+        (~F.col("Label").eqNullSafe("-")).cast("int").alias("label"), F.col("Node").alias("node"), F.col("Component").alias("component"), F.col("Level").alias("level"), F.col("Content").alias("content"),
     )
     if dropped is not None:
         out = out.observe(dropped, F.count_if(F.col("timestamp").isNull()).alias("dropped"))

@@ -48,20 +48,25 @@ def rolling_threshold(stream: DataFrame, calib: int, window: int, stride: int, q
     """Flags by the trailing quantile of one stream: the state is the last ``window`` scores, the threshold and the row count."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, z, i = state.get if state.exists else ([], float("nan"), 0)
-        held = list(held)
-        out = []
+        held, z, seen = state.get if state.exists else ([], float("nan"), 0)
         rows = pd.concat(list(batches)).sort_values(["timestamp", "seq"])
-        for r in rows.itertuples():
-            flagged = i >= calib and r.score > z
-            held = [*held, float(r.score)][-window:] if i < calib or len(held) < window else held[1:] + [float(r.score)]
-            i += 1
-            if i >= calib and (i - calib) % stride == 0:
-                z = float(np.quantile(held, 1 - q))
-            if i > calib:
-                out.append((r.seq, i - calib - 1, bool(flagged), z))
-        state.update((held, z, i))
-        yield pd.DataFrame(out, columns=["seq", "i", "flag", "thr"])
+        n, before = len(rows), len(held)
+        scores = np.concatenate([np.asarray(held, float), rows["score"].to_numpy(float)])
+        limits, shown = np.empty(n), np.empty(n)
+        start = 0
+        while start < n:  # one step for each threshold
+            done = seen + start
+            refit = calib if done < calib else calib + ((done - calib) // stride + 1) * stride
+            end = min(n, refit - seen)
+            limits[start:end] = shown[start:end] = z
+            if seen + end == refit:
+                z = float(np.quantile(scores[max(0, before + end - window) : before + end], 1 - q))
+                shown[end - 1] = z
+            start = end
+        place = seen + np.arange(n) - calib
+        out = pd.DataFrame({"seq": rows["seq"].to_numpy(), "i": place, "flag": scores[before:] > limits, "thr": shown})
+        state.update((scores[-window:].tolist(), z, seen + n))
+        yield out[place >= 0]
 
     keyed = stream.withColumn("stream", F.lit("all")).select("stream", "seq", "timestamp", "score")
     return keyed.groupBy("stream").applyInPandasWithState(run, "seq long, i long, flag boolean, thr double", "held array<double>, z double, i long", "append", GroupStateTimeout.NoTimeout)

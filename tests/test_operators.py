@@ -3,6 +3,7 @@
 from datetime import datetime as D
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -284,3 +285,58 @@ def test_records_are_read_as_written(spark, tmp_path):
     back = logs.read_records(spark, str(tmp_path / "r"), "id string, priority string, max_score double")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
     assert [r.priority for r in triage.one_incident(back, "INC-0002").collect()] == ["P1"]
+
+
+def test_clusters_follow_the_plain_rule():
+    def plain(lines, similarity):
+        held, out = [], []
+        for tokens in lines:
+            keys = [(sum(a == b != "<*>" for a, b in zip(t, tokens)) / len(tokens), t.count("<*>")) for t in held]
+            best = max(range(len(keys)), key=lambda k: (keys[k], -k), default=None)
+            if best is not None and keys[best][0] >= similarity:
+                held[best] = [a if a == b else "<*>" for a, b in zip(held[best], tokens)]
+            else:
+                held.append(list(tokens))
+                best = len(held) - 1
+            out.append(best)
+        return out, [" ".join(t) for t in held]
+
+    rng = np.random.default_rng(3)
+    for length in (1, 4, 7):
+        lines = [[("<*>" if w == 0 else f"w{w}") for w in rng.integers(0, 5, length)] for _ in range(300)]
+        c = templates.Clusters(0.5)
+        assert ([c.add(x) for x in lines], c.templates()) == plain(lines, 0.5)
+
+
+def test_routes_stream_through_batches():
+    lines = [("r1", "a b"), ("r1", "a c"), ("r1", "x y"), ("r2", "p"), ("r3", "q")]
+    batches = [pd.DataFrame(lines[a:b], columns=["route", "masked_line"]) for a, b in ((0, 1), (1, 2), (2, 5))]
+    got = pd.concat(list(templates._mined(iter(batches), 0.5)))
+    named = {(r.route, r.cluster): r.template for r in got.itertuples() if r.masked_line is None}
+    assert [(r.masked_line, named[r.route, r.cluster]) for r in got.itertuples() if r.masked_line is not None] == [("a b", "a <*>"), ("a c", "a <*>"), ("x y", "x y"), ("p", "p"), ("q", "q")]
+
+
+def test_decayed_states_are_plain_sums():
+    rng = np.random.default_rng(4)
+    t = np.sort(np.round(rng.uniform(0, 2000, 150), 1))
+    for beta in (0.01, 1.0, 30.0):
+        a, b = hawkes._states(t, beta)
+        lag = t[:, None] - t[None, :]
+        before = np.tri(len(t), k=-1) > 0
+        weight = np.where(before, np.exp(-beta * np.where(before, lag, 0)), 0)
+        assert np.allclose(a, weight.sum(1), rtol=1e-9, atol=1e-12)
+        assert np.allclose(b, (weight * np.where(before, lag, 0)).sum(1), rtol=1e-9, atol=1e-9)
+
+
+def test_small_groups_are_not_fitted(spark):
+    rows = [(1, float(k * k % 977)) for k in range(120)] + [(2, 1.0)] * 5 + [(None, float(k)) for k in range(110)]
+    got = hawkes.fit_groups(frame(spark, rows, "g long, t_sec double"), ["g"]).collect()
+    assert sorted((r.g is None, r.n_events) for r in got) == [(False, 120), (True, 110)]
+
+
+def test_missing_label_is_an_alert_and_times_have_no_zone(spark):
+    rows = [(None, "2005-03-27-02.30.00.5"), ("-", "2005-06-03-15.42.50.363779"), ("-", "2005-13-03-15.42.50.363779"), ("-", "yesterday"), ("-", None)]
+    t = frame(spark, rows, "Label string, Time string").withColumns({c: F.lit("x") for c in ("EventId", "EventTemplate", "Node", "Component", "Level", "Content")})
+    out = logs.canonical_nodes(t)
+    assert dict(out.dtypes)["timestamp"] == "timestamp_ntz"
+    assert [(str(r.timestamp), r.label) for r in out.orderBy("timestamp").collect()] == [("2005-03-27 02:30:00.500000", 1), ("2005-06-03 15:42:50.363779", 0)]

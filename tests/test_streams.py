@@ -56,3 +56,21 @@ def test_decay_is_that_of_the_whole_stream(spark, tmp_path):
         own = sorted((r for r in rows if r[3] == node), key=lambda r: (r[1], r[0]))
         want = decayed_counts(np.array([r[1].timestamp() for r in own]), 0.001)
         assert np.allclose([got[r[0]] for r in own], want)
+
+
+def test_thresholds_are_those_of_the_plain_rule_in_any_batches(spark, tmp_path):
+    import numpy as np
+
+    rows = [row(k, k, score=float(k * 37 % 101)) for k in range(60)]
+    cuts = [0, 7, 23, 24, 60]
+    stream = stream_of(spark, tmp_path, [rows[a:b] for a, b in zip(cuts, cuts[1:])])
+    out = streams.run_to_table(streams.rolling_threshold(stream, 10, 8, 5, 0.2), "append").orderBy("seq").collect()
+    scores, z, want = [], float("nan"), []
+    for k, r in enumerate(rows):
+        flag = k >= 10 and r[5] > z
+        scores.append(r[5])
+        if k + 1 >= 10 and (k + 1 - 10) % 5 == 0:
+            z = float(np.quantile(scores[-8:], 0.8))
+        if k >= 10:
+            want.append((r[0], k - 10, flag, z))
+    assert [tuple(r) for r in out] == want
