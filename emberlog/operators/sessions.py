@@ -53,12 +53,13 @@ def labeled(sessions: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     return sessions.join(labels, key, "left").where("label IS NOT NULL")
 
 
-def temporal_split(meta: DataFrame, key: str, train_frac: float = 0.7) -> DataFrame:
-    """split = train for the first round(n * train_frac) sessions by start, then key; round is half to even."""
+def temporal_split(meta: DataFrame, key: str, train_frac: float = 0.7, rounded: bool = True) -> DataFrame:
+    """split = train for the first n * train_frac sessions by start, then key; that number is rounded half to even, or cut."""
     if not 0 < train_frac < 1:
         raise ValueError("train_frac must lie between 0 and 1")
     ranged = in_ranges(meta, ["start", key])
-    n_train = round(ranged.count() * train_frac)
+    share = ranged.count() * train_frac
+    n_train = round(share) if rounded else int(share)
     placed = with_position(ranged, ["start", key])
     return placed.withColumn("split", F.when(F.col("pos") < n_train, "train").otherwise("test")).drop("pos", "range_no")
 

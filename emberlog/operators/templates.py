@@ -85,7 +85,7 @@ def _mined(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.Da
 
 
 def mine_templates(lines: DataFrame, order: str, masks, depth: int = 4, similarity: float = 0.5, column: str = "content") -> DataFrame:
-    """lines with template and event_id (the first 8 hex digits of the template's MD5). Sorted routes stream through their tasks."""
+    """lines with template and event_id (the first 8 hex digits of the template's MD5), NULL for NULL lines. Sorted routes stream through their tasks."""
     tidy = F.trim(F.regexp_replace(masked(F.col(column), masks), r"\s+", " "))
     rows = lines.withColumn("masked_line", tidy)
     distinct = rows.where("masked_line IS NOT NULL").groupBy("masked_line").agg(F.min(order).alias("first_line")).withColumn("tokens", F.split("masked_line", " "))
@@ -95,4 +95,4 @@ def mine_templates(lines: DataFrame, order: str, masks, depth: int = 4, similari
     found = written(sorted_.mapInPandas(lambda batches: _mined(batches, similarity), "route string, cluster long, masked_line string, template string"), "mined")
     named = found.where("template IS NOT NULL").select("route", "cluster", "template")
     of_line = found.where("template IS NULL").drop("template").join(named, ["route", "cluster"]).select("masked_line", "template")
-    return rows.join(of_line, "masked_line").drop("masked_line").withColumn("event_id", F.left(F.md5("template"), F.lit(8)))
+    return rows.join(of_line, "masked_line", "left").drop("masked_line").withColumn("event_id", F.left(F.md5("template"), F.lit(8)))

@@ -182,13 +182,18 @@ SELECT metric, round(a.v, 6) AS "new", round(b.v, 6) AS "old", round(a.v - b.v,
     "categories": f"SELECT {category('lower(text)')} AS category, count(*) AS n FROM documents GROUP BY category",
     "context_lookup": f"""WITH {L}, z AS (SELECT block_id, count(*) AS score FROM l GROUP BY block_id ORDER BY score DESC, block_id LIMIT 50), x AS (SELECT l.*, z.score, row_number() OVER (PARTITION BY block_id ORDER BY line_no, part, event_id, CAST(part AS VARCHAR)) AS r FROM l JOIN z USING (block_id)), f AS (SELECT block_id, event_id, min(r) AS r FROM x GROUP BY ALL), f8 AS (SELECT block_id, string_agg(event_id, ' ' ORDER BY r) AS templates FROM f GROUP BY block_id)
 SELECT block_id, any_value(score) AS score, any_value(templates) AS templates, string_agg(CAST(part AS VARCHAR), ' ' ORDER BY r) FILTER (WHERE r <= 4) AS context FROM x JOIN f8 USING (block_id) GROUP BY block_id""",
-    "scaler": f"""WITH {T}, {WINDOW.format(COUNTS)}, f AS (SELECT unnest([0, 1, 2, 3]) AS i, unnest([ln(1 + click), ln(1 + purchase), ln(1 + signup), ln(1 + "view")]) AS z FROM w) SELECT i, round(avg(z), 6) AS mean, round(stddev_pop(z), 6) AS std FROM f GROUP BY i""",
+    "scaler": f"""WITH {T}, w AS (SELECT win, count(*) FILTER (event_id = 'click') AS click, count(*) FILTER (event_id = 'error') AS error, count(*) FILTER (event_id = 'purchase') AS purchase,
+  count(*) FILTER (event_id = 'signup') AS signup, count(*) FILTER (event_id = 'view') AS views FROM t GROUP BY win),
+f AS (SELECT unnest([0, 1, 2, 3, 4]) AS i, unnest([ln(1 + click), ln(1 + error), ln(1 + purchase), ln(1 + signup), ln(1 + views)]) AS z FROM w) SELECT i, round(avg(z), 6) AS mean, round(stddev_pop(z), 6) AS std FROM f GROUP BY i""",
     "masked_templates": r"""WITH x AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), t AS (SELECT trim(regexp_replace(regexp_replace(line, '[0-9]+', '<*>', 'g'), '\s+', ' ', 'g')) AS template FROM x) SELECT template, count(*) AS n, left(md5(template), 8) AS event_id FROM t GROUP BY template""",
     "stream_windows": f"""WITH {E} SELECT date_trunc('hour', "timestamp") AS "start", count(*) AS n_events, CAST(sum(label) AS BIGINT) AS n_alerts FROM e GROUP BY 1""",
     "stream_sessions": f"""WITH {E}, p AS (SELECT *, lag("timestamp") OVER (ORDER BY "timestamp", seq) AS tb FROM e WHERE label = 1), c AS (SELECT *, sum(CASE WHEN tb IS NULL OR epoch_us("timestamp") - epoch_us(tb) > 1800 * 1000000 THEN 1 ELSE 0 END) OVER (ORDER BY "timestamp", seq ROWS UNBOUNDED PRECEDING) AS g FROM p)
 SELECT min("timestamp") AS "start", max("timestamp") AS "end", count(*) AS n_anomalies, round(max(coalesce(score, 0.0)), 6) AS peak FROM c GROUP BY g""",
     "stream_threshold": f"WITH {ROLLED} {TRAIL} SELECT seq, i, flag, round(thr, 6) AS thr FROM tr",
     "stream_decay": f"""WITH {T} SELECT a.node, a.seq, round(coalesce(sum(exp(-(a.t_sec - b.t_sec) / 3600.0)), 0), 6) AS excitation FROM t a LEFT JOIN t b ON a.node = b.node AND (b.t_sec, b.seq) < (a.t_sec, a.seq) GROUP BY ALL""",
+    "stream_incidents": f"""WITH {E}, p AS (SELECT *, lag("timestamp") OVER w AS tb, lag(node) OVER w AS nb FROM e WHERE label = 1 WINDOW w AS (ORDER BY "timestamp", seq)),
+c AS (SELECT *, sum(CASE WHEN tb IS NULL OR nb <> node OR epoch_us("timestamp") - epoch_us(tb) > 7200000000 THEN 1 ELSE 0 END) OVER (ORDER BY "timestamp", seq ROWS UNBOUNDED PRECEDING) AS g FROM p)
+SELECT CAST(g AS BIGINT) AS incident_no, min("timestamp") AS "start", max("timestamp") AS "end", min(node) AS entity, count(*) AS n_anomalies, round(max(coalesce(score, 0.0)), 6) AS peak, arg_min(seq, ("timestamp", seq)) AS first_seq FROM c GROUP BY g""",
     "stream_dedup": f"""WITH {E}, d AS (SELECT *, date_trunc('day', "timestamp") AS "start", coalesce(score, 0.0) AS sc FROM e), r AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY "start", node, event_id) AS dedup_n FROM d WINDOW w AS (PARTITION BY "start", node, event_id ORDER BY sc DESC, seq))
 SELECT "start", node, event_id, seq, round(sc, 6) AS score, dedup_n FROM r WHERE rn = 1""",
 }

@@ -14,7 +14,7 @@ from ..functions import scalars as S
 from ..operators import detectors, hawkes, metrics, quality, sessions, templates, thresholds, triage, windows
 from ..operators.scratch import written
 from ..sources import logs
-from ..streaming import streams
+from ..streaming import ordered_streams, streams
 
 MU, ALPHA, BETA = 0.002, 0.0002, 1 / 1800
 HOUR = 3600.0
@@ -370,11 +370,10 @@ def context_lookup(spark, d):
 # --- detectors ---
 
 def _features(spark, d):
+    """Counts of all of a window's events, whatever their labels; labels choose training windows only."""
     w = windows.with_window(events(spark, d), HOUR)
-    meta, normal = windows.window_meta(w), w.where("label = 0")
-    vocab = sessions.vocabulary(normal)
-    none = F.array(*[F.lit(0.0)] * len(vocab)).cast("array<double>")
-    return written(meta.join(sessions.count_vectors(normal, "win", vocab), "win", "left").withColumn("features", F.coalesce("features", none)), "features")
+    counts = sessions.count_vectors(w, "win", sessions.vocabulary(w))
+    return written(windows.window_meta(w).join(counts, "win"), "features")
 
 
 def scaler(spark, d):
@@ -396,12 +395,12 @@ def ae_scores(spark, d):
 def timing_ablation(spark, d):
     """Average precision of content, timing and both, and what timing adds."""
     e = events(spark, d)
-    vocab = windows.train_vocabulary(e.where("label = 0"), ["timestamp", "seq"], 50)  # of the training side only
+    vocab = windows.train_vocabulary(e, ["timestamp", "seq"], 50)  # of the training side only
     out = windows.window_features(e, ["t_sec", "seq"], HOUR, vocab=vocab)
     timing = [c for c in out.columns if c.startswith("exc_")] + ["n_events"]
     sets = {"content": vocab, "timing": timing, "content_timing": vocab + timing}
     rows = written(out, "ablation")
-    split = written(sessions.temporal_split(rows.select("win", "start", "label"), "win", 0.7).select("win", "split"), "split")
+    split = written(sessions.temporal_split(rows.select("win", "start", "label"), "win", 0.7, rounded=False).select("win", "split"), "split")
     parts = []
     for name, columns in sets.items():
         own = rows.join(split, "win").select("win", "start", "label", "split", F.array(*[F.col(f"`{c}`").cast("double") for c in columns]).alias("features"))
@@ -444,11 +443,16 @@ def stream_sessions(spark, d):
 
 
 def stream_threshold(spark, d):
-    return r6(streams.run_to_table(streams.rolling_threshold(streams.read_events(spark, d), 500, 400, 100, 0.02), "append"))
+    return r6(ordered_streams.run_to_end(streams.read_events(spark, d), lambda s: ordered_streams.rolling_threshold(s, 500, 400, 100, 0.02)))
 
 
 def stream_decay(spark, d):
-    return r6(streams.run_to_table(streams.decay_by_node(streams.read_events(spark, d), 1 / 3600), "append"))
+    return r6(ordered_streams.run_to_end(streams.read_events(spark, d), lambda s: ordered_streams.decay_by_node(s, 1 / 3600)))
+
+
+def stream_incidents(spark, d):
+    alerts = streams.read_events(spark, d).where("label = 1")
+    return r6(ordered_streams.run_to_end(alerts, lambda s: ordered_streams.incident_stream(s, 7200.0, same_entity=True)))
 
 
 def stream_dedup(spark, d):
@@ -459,6 +463,6 @@ NAMES = (
     "canonical_events parsed_lines explode_keys dq_report dq_flags level_counts value_counts topk_vocab per_minute_fill fano gap_histogram key_sessions count_matrix sessions_labeled temporal_split split_summary rate_by_size"
     " window_content window_timing window_features excitation rescaled_gaps ks_test qq_points intensity_grid hawkes_fit hawkes_window hawkes_simulate pr_auc pr_curve operating_point fa_per_day drift_report score_atom metric_comparison invariant_check"
     " fixed_threshold log_floor_threshold pot_threshold rolling_quantile adaptive_pot threshold_stability threshold_swing severity_rank dedup correlate correlate_same_entity incidents triage_records triage_texts incident_drilldown triage_p1 triage_totals"
-    " categories context_lookup scaler iforest_scores ae_scores timing_ablation masked_templates drain_templates stream_windows stream_sessions stream_threshold stream_decay stream_dedup"
+    " categories context_lookup scaler iforest_scores ae_scores timing_ablation masked_templates drain_templates stream_windows stream_sessions stream_threshold stream_decay stream_incidents stream_dedup"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}

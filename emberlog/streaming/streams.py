@@ -1,20 +1,16 @@
 """The log operators on unbounded input, with Structured Streaming.
 
-Order is that of event time within the watermark; later rows are dropped, which the batch
-operators don't do. Stateful operators keep one state for each key.
+Windows and sessions by event time; rows later than the watermark are dropped, which the
+batch operators don't do. Operators that depend on the rows' order are in ordered_streams.
 """
 
 from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.scratch import remove_local, shared_folder
 
@@ -44,51 +40,6 @@ def session_incidents(stream: DataFrame, gap: str, late: str = "1 hour") -> Data
     return found.select(F.col("w.start").alias("start"), "end", "n_anomalies", F.round("peak", 6).alias("peak"))
 
 
-def rolling_threshold(stream: DataFrame, calib: int, window: int, stride: int, q: float) -> DataFrame:
-    """Flags by the trailing quantile of one stream: the state is the last ``window`` scores, the threshold and the row count."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, z, seen = state.get if state.exists else ([], float("nan"), 0)
-        rows = pd.concat(list(batches)).sort_values(["timestamp", "seq"])
-        n, before = len(rows), len(held)
-        scores = np.concatenate([np.asarray(held, float), rows["score"].to_numpy(float)])
-        limits, shown = np.empty(n), np.empty(n)
-        start = 0
-        while start < n:  # one step for each threshold
-            done = seen + start
-            refit = calib if done < calib else calib + ((done - calib) // stride + 1) * stride
-            end = min(n, refit - seen)
-            limits[start:end] = shown[start:end] = z
-            if seen + end == refit:
-                z = float(np.quantile(scores[max(0, before + end - window) : before + end], 1 - q))
-                shown[end - 1] = z
-            start = end
-        place = seen + np.arange(n) - calib
-        out = pd.DataFrame({"seq": rows["seq"].to_numpy(), "i": place, "flag": scores[before:] > limits, "thr": shown})
-        state.update((scores[-window:].tolist(), z, seen + n))
-        yield out[place >= 0]
-
-    keyed = stream.withColumn("stream", F.lit("all")).select("stream", "seq", "timestamp", "score")
-    return keyed.groupBy("stream").applyInPandasWithState(run, "seq long, i long, flag boolean, thr double", "held array<double>, z double, i long", "append", GroupStateTimeout.NoTimeout)
-
-
-def decay_by_node(stream: DataFrame, beta: float) -> DataFrame:
-    """Each node's decayed count of its earlier events: the state is the last time and count."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, a = state.get if state.exists else (float("nan"), 0.0)
-        out = []
-        rows = pd.concat(list(batches)).sort_values(["timestamp", "seq"])
-        for seq, t in zip(rows["seq"], rows["timestamp"].astype("datetime64[us]").astype("int64") / 1e6, strict=True):
-            a = (a + 1.0) * float(np.exp(-beta * (t - last))) if last == last else 0.0
-            last = float(t)
-            out.append((key[0], seq, a))
-        state.update((last, a))
-        yield pd.DataFrame(out, columns=["node", "seq", "excitation"])
-
-    return stream.select("node", "seq", "timestamp").groupBy("node").applyInPandasWithState(run, "node string, seq long, excitation double", "last double, a double", "append", GroupStateTimeout.NoTimeout)
-
-
 def best_by_signature(stream: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
     """Stream dedup: the highest score of each (node, template) and day, with the number of rows."""
     grouped = stream.withWatermark("timestamp", late).groupBy(F.window("timestamp", width).alias("w"), "node", "event_id")

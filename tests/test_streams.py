@@ -1,10 +1,17 @@
 """Streams against their rules, with rows that come too late."""
 
 import os
+import random
 from datetime import datetime as D
 from datetime import timedelta
 
-from emberlog.streaming import streams
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from emberlog.operators import triage
+from emberlog.operators.ordered import decayed_counts
+from emberlog.streaming import ordered_streams, streams
 
 SCHEMA = "seq long, timestamp timestamp, event_id string, node string, label int, score double"
 
@@ -44,33 +51,86 @@ def test_session_gap_of_the_limit_merges(spark, tmp_path):
     assert sum(got) == 3 and len(got) == 2
 
 
-def test_decay_is_that_of_the_whole_stream(spark, tmp_path):
-    import numpy as np
+def shuffled(rows, seed, most):
+    """Rows dealt to batches out of order, none by more than ``most`` minutes behind the largest time before its batch."""
+    rnd, left, out, top = random.Random(seed), sorted(rows, key=lambda r: r[1]), [], None
+    while left:
+        batch = []
+        for _ in range(rnd.randint(5, 14)):
+            ahead = [r for r in left if r[1] - left[0][1] <= timedelta(minutes=most / 2)]
+            if left:
+                batch.append(left.pop(left.index(rnd.choice(ahead))))
+        rnd.shuffle(batch)
+        out.append(batch)
+        top = max([r[1] for r in batch] + ([top] if top else []))
+    return out
 
-    from emberlog.operators.ordered import decayed_counts
 
+def test_decay_out_of_order_is_that_of_batch(spark, tmp_path):
     rows = [row(k, k * (k % 3 + 1), "ab"[k % 2]) for k in range(40)]
-    out = streams.run_to_table(streams.decay_by_node(stream_of(spark, tmp_path, [rows]), 0.001), "append").collect()
+    batches = shuffled(rows, 3, 60)
+    assert [r for b in batches for r in b] != sorted(rows, key=lambda r: r[1])
+    out = ordered_streams.run_to_end(stream_of(spark, tmp_path, batches), lambda s: ordered_streams.decay_by_node(s, 0.001, "1 hour")).collect()
     got = {r.seq: r.excitation for r in out}
+    assert len(out) == 40
     for node in "ab":
         own = sorted((r for r in rows if r[3] == node), key=lambda r: (r[1], r[0]))
         want = decayed_counts(np.array([r[1].timestamp() for r in own]), 0.001)
         assert np.allclose([got[r[0]] for r in own], want)
 
 
-def test_thresholds_are_those_of_the_plain_rule_in_any_batches(spark, tmp_path):
-    import numpy as np
+def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+    batches = [[row(1, 0), row(2, 10)], [row(3, 500)], [row(4, 505)], [row(5, 20), row(6, 510)], [row(7, 600)]]
+    progress = []
+    out = ordered_streams.run_to_end(stream_of(spark, tmp_path, batches), lambda s: ordered_streams.decay_by_node(s, 0.01, "30 minutes"), progress).collect()
+    assert sorted(r.seq for r in out) == [1, 2, 3, 4, 6, 7]
+    assert sum(op.numRowsDroppedByWatermark for p in progress for op in p.stateOperators) == 1
 
-    rows = [row(k, k, score=float(k * 37 % 101)) for k in range(60)]
-    cuts = [0, 7, 23, 24, 60]
-    stream = stream_of(spark, tmp_path, [rows[a:b] for a, b in zip(cuts, cuts[1:])])
-    out = streams.run_to_table(streams.rolling_threshold(stream, 10, 8, 5, 0.2), "append").orderBy("seq").collect()
+
+def plain_thresholds(rows, calib, window, stride, q):
     scores, z, want = [], float("nan"), []
     for k, r in enumerate(rows):
-        flag = k >= 10 and r[5] > z
+        flag = k >= calib and r[5] > z
         scores.append(r[5])
-        if k + 1 >= 10 and (k + 1 - 10) % 5 == 0:
-            z = float(np.quantile(scores[-8:], 0.8))
-        if k >= 10:
-            want.append((r[0], k - 10, flag, z))
-    assert [tuple(r) for r in out] == want
+        if k + 1 >= calib and (k + 1 - calib) % stride == 0:
+            z = float(np.quantile(scores[-window:], 1 - q))
+        if k >= calib:
+            want.append((r[0], k - calib, flag, z))
+    return want
+
+
+def test_thresholds_are_those_of_the_plain_rule_in_any_batches(spark, tmp_path):
+    rows = [row(k, k, score=float(k * 37 % 101)) for k in range(60)]
+    out = ordered_streams.run_to_end(stream_of(spark, tmp_path, shuffled(rows, 5, 30)), lambda s: ordered_streams.rolling_threshold(s, 10, 8, 5, 0.2, "30 minutes"))
+    assert [tuple(r) for r in out.orderBy("seq").collect()] == plain_thresholds(rows, 10, 8, 5, 0.2)
+
+
+def plain_incidents(rows, gap, same):
+    out = []
+    for r in sorted(rows, key=lambda r: (r[1], r[0])):
+        if out and (r[1] - out[-1][2]).total_seconds() <= gap and (not same or r[3] == out[-1][3]):
+            no, start, _, entity, n, peak, first = out[-1]
+            out[-1] = (no, start, r[1], entity, n + 1, max(peak, r[5]), first)
+        else:
+            out.append((len(out) + 1, r[1], r[1], r[3], 1, r[5], r[0]))
+    return out
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_incidents_close_by_gap_or_change_of_entity(spark, tmp_path, same):
+    rnd, at, rows = random.Random(4), 0, []
+    for k in range(50):
+        at += rnd.choice([0, 1, 2, 5, 6])
+        rows.append(row(k, at, rnd.choice("aab") if k % 7 else None, score=rnd.random()))
+    build = lambda s: ordered_streams.incident_stream(s, 300.0, same, "30 minutes")
+    out = ordered_streams.run_to_end(stream_of(spark, tmp_path, shuffled(rows, 6, 30)), build)
+    assert [tuple(r) for r in out.orderBy("incident_no").collect()] == plain_incidents(rows, 300, same)
+
+
+def test_closed_incidents_equal_those_of_batch(spark, tmp_path):
+    """The online operator against correlate() over the same rows."""
+    rows = [row(k, k * k % 97 + k, "ab"[k % 5 == 0], score=float(k)) for k in range(40)]
+    out = ordered_streams.run_to_end(stream_of(spark, tmp_path, [rows]), lambda s: ordered_streams.incident_stream(s, 120.0, True, "1 hour"))
+    batch = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("node", "entity")
+    want = triage.correlate(batch, 120.0, True).groupBy("incident_no").agg(F.count("*").alias("n"), F.min("timestamp").alias("start"), F.max("timestamp").alias("end"))
+    assert sorted((r.incident_no, r.n_anomalies, r.start, r.end) for r in out.collect()) == sorted((r.incident_no, r.n, r.start, r.end) for r in want.collect())
