@@ -236,12 +236,20 @@ def _search(shared, neighbours: int, rerank: int, kind: str):
     return run
 
 
+def fit_sample(rows: DataFrame, n: int, max_sample: int) -> DataFrame:
+    """At most max_sample of the n rows, those with the smallest hashes of id and vector; few others are sorted."""
+    place = F.pmod(F.xxhash64("vec_id", "embedding", F.lit("sample")), F.lit(1 << 30))
+    near = (max_sample + 8 * math.sqrt(max_sample) + 16) / max(n, 1)
+    some = rows.select("vec_id", "embedding", place.alias("place")).where(F.col("place") < F.lit(int(min(1.0, near) * (1 << 30))))
+    return some.orderBy("place", "vec_id", "embedding").limit(max_sample).drop("place")
+
+
 def search(
     spark: SparkSession, vectors: DataFrame, queries: DataFrame, neighbours: int = 5, rerank: int = 200, max_sample: int = 20_000, sub_spaces: int = 16, recall: float = 0.96
 ) -> DataFrame:
     """The nearest rows of vectors for each row of queries: query_id, rank, vec_id and score.
 
-    max_sample bounds what is fitted on; lists are about 5 rows^0.4 (up to 4096). A query
+    max_sample bounds what is fitted on; lists are about 5 rows^0.4, at most an eighth of the sample and 4096. A query
     probes as many as the sample needs for the given recall, 8 at least.
     """
     scratch = Scratch(spark, "ivfpq")
@@ -256,8 +264,7 @@ def search(
     dimension, n = sizes[0].d, sizes[0].n
     rows = rows.where(F.size("embedding") == dimension)
     asked = valid_vectors(queries).where(F.size("embedding") == dimension)
-    place = F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(place < F.lit(min(1.0, max_sample / n))).select("vec_id", "embedding").toPandas()
+    sample = fit_sample(rows, n, max_sample).toPandas()
     sample = sample.assign(key=sample["embedding"].map(tuple)).sort_values(["vec_id", "key"])["embedding"]  # so that what is fitted doesn't depend on partitions
     x = np.stack(sample.to_list() if len(sample) else [r.embedding for r in rows.limit(1).collect()]).astype(np.float64)
     x = x / np.linalg.norm(x, axis=1)[:, None]

@@ -124,7 +124,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, min
     compared = compared.select(*TEXT, "ih", F.size("item").alias("n"), runs.alias("runs")).where(F.size("runs") > 0)
     most = F.array_max(F.transform("runs", lambda r: r["e"] - r["s"] + WINDOW))
     windows_met = F.size(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["s"], r["e"])))))
-    compared = compared.select(*TEXT, "ih", windows_met.cast("long").alias("n_windows"), (_best_chain(F.col("runs"), shift) / F.col("n")).alias("coverage"), most.alias("run"))
+    compared = compared.select(*TEXT, "ih", windows_met.cast("long").alias("n_windows"), (_best_chain(F.col("runs"), shift, F.col("n")) / F.col("n")).alias("coverage"), most.alias("run"))
     found = compared.where((F.col("coverage") >= min_coverage) | (F.col("run") >= min_run)).select(*TEXT, "ih", "n_windows", "coverage")
     found = met.select("doc_id", *TEXT, "ih").join(found, [*TEXT, "ih"]).select("doc_id", "ih", "n_windows", "coverage")
     whole = scratch.save(texts_of_items.join(bench, "ih", "left_anti"), "whole")
@@ -184,17 +184,26 @@ def _runs(item: Column, doc: Column, line: Column) -> Column:
     return _held(spots(item), of)
 
 
-def _best_chain(runs: Column, shift: int) -> Column:
-    """The most words of the item that runs cover which stand in one order in item and document, from one to the next at most ``shift`` words apart."""
-    none = F.array().cast("array<struct<s:int,e:int,line:int,best:int>>")
+def _best_chain(runs: Column, shift: int, n: Column) -> Column:
+    """The most words of the item, which has n, that runs cover which stand in one order in item and document, from one to the next at most ``shift`` words apart.
 
-    def step(before: Column, r: Column) -> Column:
-        follows = lambda b: (b["s"] < r["s"]) & (b["s"] + b["line"] < r["s"] + r["line"]) & (F.abs(b["line"] - r["line"]) <= shift)
-        gains = F.transform(F.filter(before, follows), lambda b: b["best"] - F.greatest(b["e"] + WINDOW - r["s"], F.lit(0)))
-        best = r["e"] - r["s"] + WINDOW + F.greatest(F.coalesce(F.array_max(gains), F.lit(0)), F.lit(0))
-        return F.concat(before, F.array(F.struct(r["s"].alias("s"), r["e"].alias("e"), r["line"].alias("line"), best.cast("int").alias("best"))))
+    Runs are taken by their place in the document. A run's predecessor lies at most n + shift
+    words before it, so chains that end further back are let go, and the work grows with the
+    number of runs, not with its square.
+    """
+    kind = "struct<best:int,recent:array<struct<p:int,s:int,e:int,line:int,best:int>>>"
+    none = F.struct(F.lit(0).alias("best"), F.array().alias("recent")).cast(kind)
+    placed = F.array_sort(F.transform(runs, lambda r: F.struct((r["s"] + r["line"]).alias("p"), r["s"].alias("s"), r["e"].alias("e"), r["line"].alias("line"))))
 
-    return F.aggregate(runs, none, step, lambda all_runs: F.array_max(F.transform(all_runs, lambda r: r["best"])))
+    def step(held: Column, r: Column) -> Column:
+        recent = F.filter(held["recent"], lambda b: b["p"] >= r["p"] - n - shift)
+        follows = lambda b: (b["s"] < r["s"]) & (b["p"] < r["p"]) & (F.abs(b["line"] - r["line"]) <= shift)
+        gains = F.transform(F.filter(recent, follows), lambda b: b["best"] - F.greatest(b["e"] + WINDOW - r["s"], F.lit(0)))
+        best = (r["e"] - r["s"] + WINDOW + F.greatest(F.coalesce(F.array_max(gains), F.lit(0)), F.lit(0))).cast("int")
+        end = lambda x: F.struct(r["p"].alias("p"), r["s"].alias("s"), r["e"].alias("e"), r["line"].alias("line"), x.alias("best"))
+        return _held(best, lambda x: F.struct(F.greatest(held["best"], x).alias("best"), F.concat(recent, F.array(end(x))).alias("recent")).cast(kind))
+
+    return F.aggregate(placed, none, step, lambda held: held["best"])
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -131,69 +131,78 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, terms: int = 4096, rank: int
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [np.unique(np.array([b for w in words_of(t) for b in word_buckets(w)], np.int32)).tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("toxic")], names=["terms", "toxic"])
+        yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(found, pa.binary()), batch.column("toxic")], names=["h", "terms", "toxic"])
 
 
-def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> FactorizationMachine:
-    """docs: doc_id, text; labels: doc_id, toxic. Only training rows are read."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
+    """h, terms and toxic of at most max_rows labelled training rows, those with the smallest hashes: first of ids, then of rows."""
     known = labels.where(is_train(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    n = known.count()
-    # which labelled rows are in the sample is decided by their ids' hash before any text is moved
-    place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = known.where(place < F.lit(min(1.0, max_rows / max(n, 1))))
-    sample = docs.where(is_train(F.col("doc_id"))).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    rows = sample.mapInArrow(_terms, "terms binary, toxic int").collect()  # about max_rows rows, four bytes a term
+    # which ids are in the sample is decided before any text is moved; an id may have many rows, so rows are cut as well
+    chosen = known.orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(max_rows)
+    sample = docs.where(is_train(F.col("doc_id"))).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = sample.select(F.xxhash64("doc_id", "text").alias("h"), "text", "toxic").mapInArrow(_terms, "h long, terms binary, toxic int")
+    return rows.orderBy("h", "toxic").limit(max_rows)
+
+
+def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> FactorizationMachine:
+    """docs: doc_id, text; labels: doc_id, toxic. Only training rows are read; at most max_rows, four bytes a term, reach the driver."""
+    rows = training_rows(docs, labels, max_rows).collect()
     rows.sort(key=lambda r: (r.toxic, r.terms))
     return fit([np.frombuffer(r.terms, np.int32) for r in rows], np.array([r.toxic for r in rows], float))
 
 
-def _scorer(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        place = {int(b): k for k, b in enumerate(model.features)}
-        known: dict[str, tuple[int, ...]] = {}
-        nothing: set[str] = set()
-        for batch in batches:
-            rows = []
-            for text in batch.column("text").to_pylist():
-                hits: set[int] = set()
-                for w in words_of(text) - nothing:
-                    got = known.get(w)
-                    if got is None:
-                        got = tuple(place[b] for b in word_buckets(w) if b in place)
-                        if got:
-                            known[w] = got
-                        else:
-                            nothing.add(w)
-                    hits.update(got)
-                rows.append(np.array(sorted(hits), np.int64))
-            if len(nothing) > 150_000 or len(known) > 150_000:  # the memory of a task stays bounded
-                nothing.clear()
-                known.clear()
-            scores = model.score(rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
-        release_memory()
-
-    return run
+class Scorer:
+    """Scores texts with a model; what it knows of words stays for the batches to come, in a bounded memory."""
+
+    def __init__(self, model: FactorizationMachine) -> None:
+        self.model = model
+        self.place = {int(b): k for k, b in enumerate(model.features)}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.nothing: set[str] = set()
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        rows, known, nothing = [], self.known, self.nothing
+        for text in texts:
+            hits: set[int] = set()
+            for w in words_of(text.as_py()) - nothing:
+                got = known.get(w)
+                if got is None:
+                    got = tuple(self.place[b] for b in word_buckets(w) if b in self.place)
+                    if got:
+                        known[w] = got
+                    else:
+                        nothing.add(w)
+                hits.update(got)
+            rows.append(np.array(sorted(hits), np.int64))
+        if len(nothing) > 150_000 or len(known) > 150_000:
+            nothing.clear()
+            known.clear()
+        return self.model.score(rows)
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     """doc_id, held_out, score and predicted of every whole text."""
     shared = spark.sparkContext.broadcast(model)  # bounded by the number of features
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~is_train(F.col("doc_id"))).alias("held_out"), "text")
-    return source.mapInArrow(_scorer(shared), "doc_id long, held_out boolean, score double, predicted int")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(shared.value)
+        for batch in batches:
+            scores = score(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        release_memory()
+
+    return source.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, model: FactorizationMachine) -> DataFrame:
-    """The rows whose text isn't predicted toxic, with all their columns."""
+    """The rows whose text isn't predicted toxic, with all their columns; each row is decided by itself."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("int")
-    def predicted(texts):
-        import pandas as pd
-
-        n = len(texts)
-        batch = pa.RecordBatch.from_pydict({"doc_id": pa.nulls(n, pa.int64()), "held_out": pa.nulls(n, pa.bool_()), "text": pa.Array.from_pandas(texts, type=pa.string())})
-        return pd.Series(next(_scorer(shared)(iter([batch]))).column("predicted").to_numpy(zero_copy_only=False))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(score(batch.column("text")) < THRESHOLD))
+        release_memory()
 
-    return docs.where(predicted(F.col("text")) == 0)
+    return docs.mapInArrow(run, docs.schema)

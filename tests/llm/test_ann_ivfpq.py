@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.llm.ann_ivfpq import BLOCK_ROWS, search
+from emberlog.llm.ann_ivfpq import BLOCK_ROWS, fit_sample, search
 
 
 def brute(rows, neighbours=5):
@@ -98,3 +98,13 @@ def test_edges(spark):
     want = brute([(i, v) for i, v in rows if i is None or i < 60])
     assert [g[:3] for g in sorted(got)] == [w[:3] for w in sorted(want)] and np.allclose([g[3] for g in sorted(got)], [w[3] for w in sorted(want)], atol=1e-12)
     assert run(spark, []) == [] and run(spark, [(0, [1.0, 2.0])]) == []
+
+
+def test_sample_is_bounded_in_rows(spark):
+    """One id repeats, with one vector and with many."""
+    rows = spark.range(6000).select(F.when(F.col("id") < 4000, 7).otherwise(F.col("id")).alias("vec_id"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    rows = rows.union(spark.range(3000).select(F.lit(9).cast("long"), F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>")))
+    for most in (1, 500, 8999):
+        assert fit_sample(rows, 9000, most).count() <= most
+    assert fit_sample(rows, 9000, 8999).count() == 8999
+    assert fit_sample(rows, 9000, 20_000).count() == 9000

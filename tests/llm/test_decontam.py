@@ -182,3 +182,19 @@ def test_very_long_text_and_clashing_columns(spark):
     items = spark.createDataFrame([(1, ITEM, 5)], "item_id long, text string, words int")
     kept = keep_clean(spark, table, items)
     assert kept.columns == table.columns and [r.doc_id for r in kept.collect()] == [2, 2]
+
+
+def test_many_repeats_take_no_square_of_time(spark):
+    """A passage of ten words of an item, and a whole short item, again and again in one text."""
+    import time
+
+    item = " ".join(f"w{chr(97 + k)}x" for k in range(20))
+    ten = " ".join(item.split()[:10])
+    short = "one two three four five six seven eight nine ten"
+    took = []
+    for k in (1000, 16_000):
+        docs = [(1, " ".join([ten] * k)), (2, " ".join([short] * k)), (3, " ".join([ten] * 30 + [item] + [ten] * 30))]
+        began = time.monotonic()
+        assert found(spark, docs, [(1, item), (2, short)]) == {(2, 2), (3, 1)}
+        took.append(time.monotonic() - began)
+    assert took[1] < 6 * took[0] + 10

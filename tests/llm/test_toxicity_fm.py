@@ -4,7 +4,9 @@ from itertools import combinations
 
 import numpy as np
 
-from emberlog.llm.toxicity_fm import bucket, fit, keep_clean, learn, score_documents
+from pyspark.sql import functions as F
+
+from emberlog.llm.toxicity_fm import bucket, fit, keep_clean, learn, score_documents, training_rows
 
 
 def test_pair_counts_beyond_its_terms():
@@ -65,3 +67,14 @@ def test_edges(spark):
     out = score_documents(spark, docs, learn(spark, docs, labels)).collect()
     assert len(out) == 4 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in out)
     assert score_documents(spark, docs.limit(0), learn(spark, docs.limit(0), labels.limit(0))).collect() == []
+
+
+def test_sample_is_bounded_in_rows(spark):
+    """One labelled id repeats, with one text and with many."""
+    docs = spark.range(3000).select(F.when(F.col("id") < 2000, 4).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 700).alias("text"))
+    docs = docs.union(spark.range(2000).select(F.lit(5).cast("long"), F.lit("one text")))
+    labels = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    assert 0 < training_rows(docs, labels, 500).count() <= 500
+    assert training_rows(docs, labels.where("doc_id IN (4, 5)"), 500).count() == 500
+    every = training_rows(docs, labels, 8000).count()
+    assert every == docs.where("pmod(crc32(cast(doc_id AS string)), 4) <> 2").count()
