@@ -21,9 +21,10 @@ from .scratch import written
 PART = "range_no"
 
 
-def in_ranges(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """df with the number of each row's range; ``order`` must be unique to be repeatable."""
+def in_ranges(df: DataFrame, order: Sequence[str], rows: int | None = None) -> DataFrame:
+    """df with the number of each row's range; ``order`` must be unique to be repeatable. rows: the most, about, of a range."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(n, -(-df.count() // rows)) if rows else n
     return written(df.repartitionByRange(n, *order).withColumn(PART, F.spark_partition_id()), "ranges")
 
 

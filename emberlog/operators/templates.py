@@ -2,14 +2,14 @@
 
 Lines of another length or other first tokens never meet, so each route is mined by
 itself, in the order of first appearance, over its distinct masked lines only. A task
-holds the templates of one route, never its lines.
+holds the templates of one route, never its lines; a route of very many lines is mined in
+parts, whose templates are merged by the same rule.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,42 +28,48 @@ def masked_templates(lines: DataFrame, masks, column: str = "content") -> DataFr
 
 
 class Clusters:
-    """The templates of one route, as rows of token numbers; unequal tokens become wildcards. Memory is that of the templates, not of the lines."""
+    """The templates of one route; unequal tokens become wildcards. Memory is that of the templates, not of the lines.
+
+    An index tells for each token and place which templates have it there, so that a line is
+    compared with those only that share a token with it.
+    """
 
     def __init__(self, similarity: float) -> None:
         self.similarity = similarity
-        self.words: list[str] = []
-        self.numbers: dict[str, int] = {}
-        self.rows = np.empty((0, 0), np.int64)
-        self.size = 0
+        self.rows: list[list[str]] = []
+        self.wild: list[int] = []
+        self.index: dict[tuple[int, str], set[int]] = {}
 
     def add(self, tokens: list[str]) -> int:
         """The cluster of a line: the template with most equal tokens, then with most wildcards, then the oldest; or a new one."""
-        own = np.array([-1 if w == WILDCARD else self.numbers.get(w, -2) for w in tokens])
-        if self.size:
-            held = self.rows[: self.size]
-            same = ((held == own) & (held >= 0)).sum(1)
-            best = int(np.argmax(same * (len(tokens) + 1) + (held == -1).sum(1)))
-            if same[best] / len(tokens) >= self.similarity:
-                held[best, held[best] != own] = -1
-                return best
-        return self._new(tokens)
-
-    def _new(self, tokens: list[str]) -> int:
-        for w in tokens:
-            if w != WILDCARD and w not in self.numbers:
-                self.numbers[w] = len(self.words)
-                self.words.append(w)
-        if self.size == len(self.rows):
-            grown = np.full((max(8, 2 * self.size), len(tokens)), -1, np.int64)
-            grown[: self.size] = self.rows[: self.size] if self.size else 0
-            self.rows = grown
-        self.rows[self.size] = [-1 if w == WILDCARD else self.numbers[w] for w in tokens]
-        self.size += 1
-        return self.size - 1
+        same: dict[int, int] = {}
+        for place, w in enumerate(tokens):
+            for k in self.index.get((place, w), ()):
+                same[k] = same.get(k, 0) + 1
+        if self.similarity <= 0:  # then templates without an equal token will do, too
+            same = dict.fromkeys(range(len(self.rows)), 0) | same
+        best = max(same, key=lambda k: (same[k], self.wild[k], -k), default=None)
+        if best is None or same[best] / len(tokens) < self.similarity:
+            best = len(self.rows)
+            self.rows.append(list(tokens))
+            self.wild.append(tokens.count(WILDCARD))
+            for place, w in enumerate(tokens):
+                if w != WILDCARD:
+                    self.index.setdefault((place, w), set()).add(best)
+            return best
+        row = self.rows[best]
+        for place, w in enumerate(tokens):
+            if row[place] != w and row[place] != WILDCARD:
+                held = self.index[place, row[place]]
+                held.discard(best)
+                if not held:
+                    del self.index[place, row[place]]
+                row[place] = WILDCARD
+                self.wild[best] += 1
+        return best
 
     def templates(self) -> list[str]:
-        return [" ".join(WILDCARD if n < 0 else self.words[n] for n in row) for row in self.rows[: self.size]]
+        return [" ".join(row) for row in self.rows]
 
 
 def _mined(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
@@ -84,15 +90,40 @@ def _mined(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.Da
     yield pd.DataFrame(finished(), columns=MINED_COLUMNS)
 
 
-def mine_templates(lines: DataFrame, order: str, masks, depth: int = 4, similarity: float = 0.5, column: str = "content") -> DataFrame:
-    """lines with template and event_id (the first 8 hex digits of the template's MD5), NULL for NULL lines. Sorted routes stream through their tasks."""
+def _clustered(lines: DataFrame, similarity: float, name: str) -> DataFrame:
+    """(route, masked_line, first_line) to (route, masked_line, template): each route in the order of its lines, one task for a route."""
+    sorted_ = lines.repartition("route").sortWithinPartitions("route", "first_line", "masked_line").select("route", "masked_line")
+    found = written(sorted_.mapInPandas(lambda batches: _mined(batches, similarity), "route string, cluster long, masked_line string, template string"), name)
+    named = found.where("template IS NOT NULL").select("route", "cluster", "template")
+    return found.where("template IS NULL").drop("template").join(named, ["route", "cluster"]).select("route", "masked_line", "template")
+
+
+def mine_templates(lines: DataFrame, order: str, masks, depth: int = 4, similarity: float = 0.5, column: str = "content", part_lines: int = 50_000) -> DataFrame:
+    """lines with template and event_id (the first 8 hex digits of the template's MD5), NULL for NULL lines.
+
+    A route of more than ``part_lines`` distinct lines is dealt to parts by the hash of the
+    line. Parts are mined apart, and then their templates, as lines with wildcards and in the
+    order of their first lines, by the same rule: a line has the template that its part's
+    template falls into. Routes of fewer lines have one part, whose templates are final.
+    """
     tidy = F.trim(F.regexp_replace(masked(F.col(column), masks), r"\s+", " "))
     rows = lines.withColumn("masked_line", tidy)
     distinct = rows.where("masked_line IS NOT NULL").groupBy("masked_line").agg(F.min(order).alias("first_line")).withColumn("tokens", F.split("masked_line", " "))
     heads = [F.when(F.get("tokens", F.lit(k)).rlike(r"\d"), WILDCARD).otherwise(F.coalesce(F.get("tokens", F.lit(k)), F.lit(""))) for k in range(depth - 2)]
-    routed = distinct.select(F.concat_ws("\x1f", F.size("tokens"), *heads).alias("route"), "masked_line", "first_line")
-    sorted_ = routed.repartition("route").sortWithinPartitions("route", "first_line", "masked_line").select("route", "masked_line")
-    found = written(sorted_.mapInPandas(lambda batches: _mined(batches, similarity), "route string, cluster long, masked_line string, template string"), "mined")
-    named = found.where("template IS NOT NULL").select("route", "cluster", "template")
-    of_line = found.where("template IS NULL").drop("template").join(named, ["route", "cluster"]).select("masked_line", "template")
+    routed = written(distinct.select(F.concat_ws("\x1f", F.size("tokens"), *heads).alias("route"), "masked_line", "first_line"), "routed")
+    parts = routed.groupBy("route").agg(F.ceil(F.count("*") / F.lit(part_lines)).alias("parts"))
+    large = written(parts.where("parts > 1"), "large")
+    if large.isEmpty():
+        of_line = _clustered(routed, similarity, "mined").select("masked_line", "template")
+    else:
+        dealt = routed.join(large, "route", "left")
+        part = F.coalesce(F.pmod(F.xxhash64("masked_line"), F.col("parts")), F.lit(0))
+        dealt = dealt.select(F.concat_ws("\x1e", part.cast("string"), "route").alias("route"), "masked_line", "first_line")
+        own = written(_clustered(dealt, similarity, "mined").join(dealt, ["route", "masked_line"]), "parts")
+        whole_route = F.substring_index("route", "\x1e", -1)
+        heard = own.withColumn("whole", whole_route)
+        again = heard.join(large.select(F.col("route").alias("whole")), "whole", "left_semi")
+        again = again.groupBy(F.col("whole").alias("route"), F.col("template").alias("masked_line")).agg(F.min("first_line").alias("first_line"))
+        merged = _clustered(again, similarity, "merged").select(F.col("route").alias("whole"), F.col("masked_line").alias("template"), F.col("template").alias("final"))
+        of_line = heard.join(merged, ["whole", "template"], "left").select("masked_line", F.coalesce("final", "template").alias("template"))
     return rows.join(of_line, "masked_line", "left").drop("masked_line").withColumn("event_id", F.left(F.md5("template"), F.lit(8)))

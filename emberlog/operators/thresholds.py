@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ordered import in_ranges, quantile, with_position
+from .scratch import written
 
 
 def log_floor(raw: Column) -> Column:
@@ -55,28 +59,163 @@ def pot_threshold(scores: DataFrame, q: float, init_level: float = 0.98) -> Data
     return pot_by(scores, [], q, init_level)
 
 
-def trailing(scores: DataFrame, order: Sequence[str], calib: int, window: int, stride: int, kind: str, q: float, init_level: float = 0.95) -> DataFrame:
+class SortedWindow:
+    """The scores of a count window, kept sorted while rows enter and leave."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.values = np.sort(values)
+
+    def move(self, new: np.ndarray, old: np.ndarray) -> None:
+        """old: values that are in the window, each as often as it leaves."""
+        old, new = np.sort(old), np.sort(new)
+        same_before = np.arange(len(old)) - np.searchsorted(old, old)
+        kept = np.delete(self.values, np.searchsorted(self.values, old) + same_before)
+        self.values = np.insert(kept, np.searchsorted(kept, new), new)
+
+    def quantile(self, p: float) -> float:
+        """Linear between the two values around it."""
+        if not len(self.values):
+            return np.nan
+        at = p * (len(self.values) - 1)
+        low, high = self.values[int(np.floor(at))], self.values[int(np.ceil(at))]
+        return float(low + (high - low) * (at - np.floor(at))) if low != high else float(low)
+
+    def peaks(self, q: float, init_level: float) -> float:
+        """The level that is exceeded with probability q, by the tail over the initial level."""
+        t = self.quantile(init_level)
+        over = self.values[np.searchsorted(self.values, t, "right") :] - t
+        if not len(over):
+            return t
+        mean, var = float(over.mean()), float(over.var())
+        gamma, sigma = 0.0, max(mean, 1e-12)
+        if len(over) >= 10 and var > 0 and mean > 0 and (bent := mean * (1 - 0.5 * (1 - mean * mean / var))) > 0:
+            gamma, sigma = 0.5 * (1 - mean * mean / var), bent
+        r = q * len(self.values) / len(over)
+        if r <= 0:
+            return np.inf
+        return t + sigma * np.log(1 / r) if abs(gamma) < 1e-8 else t + sigma / gamma * (r**-gamma - 1)
+
+
+def _block(calib: int, window: int, stride: int, kind: str, q: float, init_level: float, rows: int, own_from: int, fields: list[str]):
+    """The rows of a block of the order, after those that its first windows hold, to thresholds and flags of its own rows."""
+
+    def fitted(held: SortedWindow) -> float:
+        return held.quantile(1.0 - q) if kind == "quantile" else held.peaks(q, init_level)
+
+    def run(key, table):
+        table = table.sort_by("pos")
+        pos = table.column("pos").to_numpy()
+        x = table.column("score").cast(pa.float64()).to_numpy()
+        base, first = int(pos[0]), max(key[0].as_py() * rows, own_from, calib)
+        own = table.slice(min(max(first - base, 0), len(pos)))
+        at = own.column("pos").to_numpy() - calib
+        z = np.zeros(0)
+        k0 = 0
+        if len(at):
+            k0, k1 = int(at[0]) // stride, (int(at[-1]) + 1) // stride
+            z, held, a, b = np.empty(k1 - k0 + 1), None, 0, 0
+            for k in range(k0, k1 + 1):
+                end = calib + k * stride - base
+                start = max(0, end - window)
+                if held is None or start > b:
+                    held = SortedWindow(x[start:end][~np.isnan(x[start:end])])
+                else:
+                    new, old = x[b:end], x[a:start]
+                    held.move(new[~np.isnan(new)], old[~np.isnan(old)])
+                a, b = start, end
+                z[k - k0] = fitted(held)
+        score = own.column("score").cast(pa.float64()).to_numpy()
+        limit, after = z[at // stride - k0], z[(at + 1) // stride - k0]
+        unknown = np.isnan(limit) | np.isnan(score)
+        out = own.select(fields)
+        for name, column in (("i", pa.array(at, pa.int64())), ("flag", pa.array(score > limit, pa.bool_(), mask=unknown)), ("thr", pa.array(after, pa.float64(), mask=np.isnan(after)))):
+            out = out.append_column(name, column)
+        return out
+
+    return run
+
+
+def _trailing(placed: DataFrame, own_from: int, fields: list[str], calib: int, window: int, stride: int, kind: str, q: float, init_level: float, block_rows: int | None) -> DataFrame:
+    """placed: rows with ``pos``; those from own_from on come out."""
+    before = window + stride  # rows that a block's first threshold may see
+    rows = max(block_rows or 8 * before, before)
+    own = F.expr(f"pos div {rows}")
+    blocks = F.when(F.col("pos") >= (own + 1) * rows - before, F.array(own, own + 1)).otherwise(F.array(own))
+    kinds = {f.name: f.dataType.simpleString() for f in placed.schema}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in fields) + ", i long, flag boolean, thr double"
+    name = "block_no"
+    while name in placed.columns:
+        name += "_"
+    return placed.withColumn(name, F.explode(blocks)).groupBy(name).applyInArrow(_block(calib, window, stride, kind, q, init_level, rows, own_from, fields), schema)
+
+
+def trailing(
+    scores: DataFrame, order: Sequence[str], calib: int, window: int, stride: int, kind: str, q: float, init_level: float = 0.95, block_rows: int | None = None
+) -> DataFrame:
     """Rows after the first ``calib`` with the threshold that decides them (flag) and the one after them (thr).
 
     The threshold number k is fitted on the ``window`` scores before row k * stride, the
-    calibration rows among them. Each row feeds window / stride thresholds, so the fit is
-    an equi-group over exploded threshold numbers, not a range join.
+    calibration rows among them; NULL scores have a place but no value. The order is cut into
+    blocks of ``block_rows`` rows, and a block also gets the rows that its first windows hold,
+    so that each row moves about once. In a block the window is a sorted array in which
+    rows are inserted and deleted, a stride at a time.
     """
-    placed = with_position(in_ranges(scores, order), order).drop("range_no").withColumn("i", F.col("pos") - calib)
-    n = placed.count()
-    last = max(0, (n - calib) // stride)
-    # row i feeds k with k * stride - window <= i < k * stride; the calibration rows feed k = 0 too
-    first_k = F.greatest(F.floor(F.col("i") / stride) + 1, F.lit(0))
-    last_k = F.least(F.floor((F.col("i") + window) / stride), F.lit(last))
-    fed = placed.where(first_k <= last_k).select("score", F.explode(F.sequence(first_k, last_k)).alias("k"))
-    if kind == "quantile":
-        fits = fed.groupBy("k").agg(F.expr(f"percentile(score, {1.0 - q!r})").alias("z"))
-    else:
-        fits = pot_by(fed, ["k"], q, init_level).select("k", "z")
-    rest = placed.where("i >= 0").withColumns({"k": F.floor(F.col("i") / stride), "k_after": F.floor((F.col("i") + 1) / stride)})
-    # one threshold for each stride of the stream
-    out = rest.join(fits, "k", "left").join(fits.select(F.col("k").alias("k_after"), F.col("z").alias("thr")), "k_after", "left")
-    return out.withColumn("flag", F.col("score") > F.col("z")).drop("k", "k_after", "pos", "z")
+    placed = with_position(in_ranges(scores, order), order).drop("range_no")
+    return _trailing(placed, 0, scores.columns, calib, window, stride, kind, q, init_level, block_rows)
+
+
+STATE = "run string, seen long, pos long, score double"
+
+
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(path)]
+    return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
+
+
+def trailing_run(
+    scores: DataFrame, order: Sequence[str], folder: str, run: str, calib: int, window: int, stride: int, kind: str, q: float, init_level: float = 0.95, block_rows: int | None = None
+) -> DataFrame:
+    """trailing() of a stream that comes in runs: the rows of this run, as if all runs were one.
+
+    The state is a versioned table below ``folder``: the rows that later windows can see, of
+    which there are window + stride at most, and the number of rows so far. A version is written
+    aside and renamed, so that it is there as a whole or not at all. It names its run: a run
+    that is repeated starts from the version before its own and leaves the table as it is.
+    The last two versions are kept.
+    """
+    spark = scores.sparkSession
+    versions = _versions(spark, folder)
+    read = lambda v: spark.read.schema(STATE).parquet(f"{folder}/v{v}")
+    repeated = bool(versions) and read(versions[-1]).first().run == run
+    base = versions[:-1] if repeated else versions
+    seen, held = 0, None
+    if base:
+        state = read(base[-1])
+        seen, held = state.first().seen, state.where("pos IS NOT NULL").select("pos", "score")
+    fields = scores.columns
+    placed = with_position(in_ranges(scores, order), order).drop("range_no").withColumn("pos", F.col("pos") + seen)
+    if held is not None:
+        placed = placed.unionByName(held, allowMissingColumns=True)
+    placed = written(placed, "placed")
+    if not repeated:
+        total = placed.agg(F.max("pos")).first()[0]
+        total = seen if total is None else total + 1
+        tail = placed.where(F.col("pos") >= total - window - stride).select("pos", F.col("score").cast("double").alias("score"))
+        rows = spark.range(1).select(F.lit(None).cast("long").alias("pos"), F.lit(None).cast("double").alias("score")).union(tail)
+        number = (versions[-1] if versions else 0) + 1
+        aside = f"{folder}/.v{number}-{uuid.uuid4().hex[:8]}"
+        rows.select(F.lit(run).alias("run"), F.lit(total).cast("long").alias("seen"), "pos", "score").write.parquet(aside)
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(path(f"{folder}/v{number}")) or not fs.rename(path(aside), path(f"{folder}/v{number}")):
+            raise RuntimeError(f"another run has written version {number} of {folder}")
+        for old in versions[:-1]:
+            fs.delete(path(f"{folder}/v{old}"), True)
+    return _trailing(placed, seen, fields, calib, window, stride, kind, q, init_level, block_rows)
 
 
 def rolling_quantile(scores: DataFrame, order: Sequence[str], calib: int = 20_000, window: int = 20_000, stride: int = 500, q: float = 0.02) -> DataFrame:

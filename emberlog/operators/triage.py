@@ -6,7 +6,9 @@ seq is the input's order and decides ties.
 
 from __future__ import annotations
 
+import atexit
 import json
+import uuid
 from collections.abc import Iterator, Sequence
 from typing import Protocol
 
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import fixed_point, shown_timestamp
 from .ordered import in_ranges, with_position, with_previous, with_running_sum
+from .scratch import remove_local, shared_folder, written
 
 #: Priorities, and the words of each category in the order in which they are tried.
 PRIORITIES = ("P1", "P2", "P3", "P4")
@@ -162,23 +165,67 @@ def valid_answer(text: str) -> dict | None:
     return data if ok and data["priority"] in PRIORITIES and data["category"] in (*KEYWORDS, UNKNOWN) else None
 
 
-def asked(found: DataFrame, backend: Backend) -> DataFrame:
-    """explained(), with the backend's fields wherever it gives a valid answer."""
-    rows = explained(found).withColumn("prompt", prompt(found))
+class Answers:
+    """A backend's answers, one file for each prompt, named by the prompt's hash, in a folder that all tasks share.
+
+    An answer is kept as soon as it is there, before the next prompt is asked: a task that
+    fails and is run again, or a later run, asks only what has no answer yet. A failure
+    of the backend isn't kept.
+    """
+
+    def __init__(self, folder: str) -> None:
+        self.folder = folder
+
+    def _place(self, name: str):
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(self.folder if ":" in self.folder.split("/")[0] else f"file://{self.folder}")
+        store.create_dir(path, recursive=True)
+        return store, f"{path}/{name}.json"
+
+    def of(self, name: str, text: str, backend: Backend) -> str | None:
+        from pyarrow import fs
+
+        store, path = self._place(name)
+        if store.get_file_info(path).type == fs.FileType.File:
+            with store.open_input_stream(path) as f:
+                return f.read().decode()
+        try:
+            answer = backend(text)
+        except Exception:  # noqa: BLE001  any failure of the backend falls back on the rules
+            return None
+        if not isinstance(answer, str):
+            return None
+        aside = f"{path}.{uuid.uuid4().hex[:8]}"  # so that no one reads half an answer
+        with store.open_output_stream(aside) as f:
+            f.write(answer.encode())
+        store.move(aside, path)
+        return answer
+
+
+def asked(found: DataFrame, backend: Backend, answers: str | None = None) -> DataFrame:
+    """explained(), with the backend's fields wherever it gives a valid answer.
+
+    answers: a folder for the answers; without one they go to a folder of this call.
+    Each distinct prompt is asked once.
+    """
+    rows = explained(found).withColumn("prompt", prompt(found)).withColumn("prompt_hash", F.sha2("prompt", 256))
+    spark = found.sparkSession
+    if answers is None:
+        answers = f"{shared_folder(spark)}/answers-{uuid.uuid4().hex[:12]}"
+        atexit.register(remove_local, answers)
+    held = Answers(answers)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i, text in zip(pdf.index, pdf["prompt"], strict=True):
-                try:
-                    data = valid_answer(backend(text))
-                except Exception:  # noqa: BLE001  any failure of the backend falls back on the rules
-                    data = None
-                if data:
-                    pdf.loc[i, list(FIELDS)] = [data[f] for f in FIELDS]
-            yield pdf
+            valid = [valid_answer(held.of(name, text, backend)) or {} for name, text in zip(pdf["prompt_hash"], pdf["prompt"], strict=True)]
+            yield pd.DataFrame({"prompt_hash": pdf["prompt_hash"], **{f"said_{f}": [v.get(f) for v in valid] for f in FIELDS}})
 
-    fields = rows.select("incident_no", "prompt", *FIELDS)
-    return rows.drop("prompt", *FIELDS).join(fields.mapInPandas(run, fields.schema).drop("prompt"), "incident_no")
+    prompts = rows.select("prompt_hash", "prompt").dropDuplicates(["prompt_hash"])
+    # written: a plan that is run twice doesn't ask twice
+    said = written(prompts.mapInPandas(run, "prompt_hash string, " + ", ".join(f"said_{f} string" for f in FIELDS)), "said")
+    joined = rows.join(said, "prompt_hash", "left")
+    return joined.withColumns({f: F.coalesce(f"said_{f}", f) for f in FIELDS}).drop("prompt", "prompt_hash", *[f"said_{f}" for f in FIELDS])
 
 
 def ranked(fields: DataFrame) -> DataFrame:
@@ -193,9 +240,9 @@ def ranked(fields: DataFrame) -> DataFrame:
     )
 
 
-def triage(anomalies: DataFrame, gap_seconds: float = 30.0, same_entity: bool = False, backend: Backend | None = None) -> DataFrame:
+def triage(anomalies: DataFrame, gap_seconds: float = 30.0, same_entity: bool = False, backend: Backend | None = None, answers: str | None = None) -> DataFrame:
     found = incidents(correlate(dedup(anomalies), gap_seconds, same_entity))
-    return ranked(explained(found) if backend is None else asked(found, backend))
+    return ranked(explained(found) if backend is None else asked(found, backend, answers))
 
 
 def with_priorities(records: DataFrame, priorities: Sequence[str]) -> DataFrame:

@@ -214,13 +214,20 @@ def hawkes_fit(spark, d):
     return hawkes.fit_groups(_timed(spark, d).withColumn("week", week), ["week"])
 
 
+def hawkes_fit_stream(spark, d):
+    """One fit over all events, by ranges."""
+    f = hawkes.fit_stream(_timed(spark, d), ["t_sec", "seq"])
+    return spark.createDataFrame([(f.mu, f.alpha, f.beta, f.loglik, f.n_events, f.span, f.converged, f.branching_ratio)], hawkes.FIT_SCHEMA)
+
+
 def hawkes_window(spark, d):
     kept = hawkes.window_seconds(events(spark, d), "2024-01-05 00:00:00", 72.0, alerts_only=True)
     return kept.agg(F.count("*").alias("n"), F.round(F.max("t_sec"), 6).alias("span"))
 
 
 def hawkes_simulate(spark, d):
-    params = spark.createDataFrame([(s, 0.8, 1.2, 2.0, 500.0) for s in range(4)], "seed long, mu double, alpha double, beta double, span double")
+    """A path of each week's fitted process."""
+    params = hawkes_fit(spark, d).where("branching_ratio < 1").select(F.col("week").cast("long").alias("seed"), "mu", "alpha", "beta", "span")
     return hawkes.simulate(spark, params)
 
 
@@ -382,13 +389,14 @@ def scaler(spark, d):
 
 def iforest_scores(spark, d):
     rows = _features(spark, d)
-    model = detectors.IsolationForest().fit(detectors.feature_sample(rows, "win", 20_000))
-    return r6(detectors.with_score(rows, model).select("win", "label", "score"))
+    return r6(detectors.with_score(rows, detectors.IsolationForest().fit_rows(rows)).select("win", "label", "score"))
 
 
 def ae_scores(spark, d):
+    """Learnt from the normal windows, or from all where there are none."""
     rows = _features(spark, d)
-    model = detectors.Autoencoder(epochs=15).fit(detectors.feature_sample(rows.where("label = 0"), "win", 20_000)) if rows.where("label = 0").count() > 1 else detectors.Autoencoder(epochs=15).fit(detectors.feature_sample(rows, "win", 20_000))
+    normal = rows.where("label = 0")
+    model = detectors.Autoencoder(epochs=15).fit_rows(normal if normal.limit(2).count() > 1 else rows)
     return r6(detectors.with_score(rows, model).select("win", "label", "score"))
 
 
@@ -405,8 +413,8 @@ def timing_ablation(spark, d):
     for name, columns in sets.items():
         own = rows.join(split, "win").select("win", "start", "label", "split", F.array(*[F.col(f"`{c}`").cast("double") for c in columns]).alias("features"))
         normal = own.where("split = 'train' AND label = 0")
-        train = detectors.feature_sample(normal if not normal.isEmpty() else own.where("split = 'train'"), "win", 20_000)
-        test = detectors.with_score(own.where("split = 'test'"), detectors.IsolationForest().fit(train)).select("win", "label", "score")
+        train = normal if not normal.isEmpty() else own.where("split = 'train'")
+        test = detectors.with_score(own.where("split = 'test'"), detectors.IsolationForest().fit_rows(train)).select("win", "label", "score")
         parts.append(metrics.average_precision(written(test, "test")).select(F.lit(name).alias("features"), "pr_auc"))
     table_ = parts[0].union(parts[1]).union(parts[2])
     base = F.broadcast(parts[0].select(F.col("pr_auc").alias("base")))
@@ -461,7 +469,7 @@ def stream_dedup(spark, d):
 
 NAMES = (
     "canonical_events parsed_lines explode_keys dq_report dq_flags level_counts value_counts topk_vocab per_minute_fill fano gap_histogram key_sessions count_matrix sessions_labeled temporal_split split_summary rate_by_size"
-    " window_content window_timing window_features excitation rescaled_gaps ks_test qq_points intensity_grid hawkes_fit hawkes_window hawkes_simulate pr_auc pr_curve operating_point fa_per_day drift_report score_atom metric_comparison invariant_check"
+    " window_content window_timing window_features excitation rescaled_gaps ks_test qq_points intensity_grid hawkes_fit hawkes_fit_stream hawkes_window hawkes_simulate pr_auc pr_curve operating_point fa_per_day drift_report score_atom metric_comparison invariant_check"
     " fixed_threshold log_floor_threshold pot_threshold rolling_quantile adaptive_pot threshold_stability threshold_swing severity_rank dedup correlate correlate_same_entity incidents triage_records triage_texts incident_drilldown triage_p1 triage_totals"
     " categories context_lookup scaler iforest_scores ae_scores timing_ablation masked_templates drain_templates stream_windows stream_sessions stream_threshold stream_decay stream_incidents stream_dedup"
 ).split()
