@@ -41,16 +41,37 @@ def with_position(ranged: DataFrame, order: Sequence[str], name: str = "pos") ->
     return ranged.withColumn(name, own).join(_before(base), PART).withColumn(name, (F.col(name) + F.col("base") - 1).cast("long")).drop("base")
 
 
+#: Accuracy of the approximate quantiles that bracket an exact one: their ranks are off by a part in so many of the rows.
+BRACKET = 10_000
+
+
 def quantile(df: DataFrame, column: str, p: float, name: str) -> DataFrame:
-    """One row with the quantile at p, linear between the two rows around it; equal values are spread over ranges, NULLs left out."""
-    values = written(df.select(column).where(F.col(column).isNotNull()).withColumn("tie", F.xxhash64(F.monotonically_increasing_id())), "values")
-    n = values.count()
+    """One row with the quantile at p, linear between the two rows around it; NULLs are left out.
+
+    Two approximate quantiles bracket it; the rows below the bracket are counted and those in
+    it sorted. Equal values are spread over ranges, and a bracket of one value needs no order.
+    """
+    values = written(df.select(F.col(column).alias("v")).where(F.col(column).isNotNull()), "values")
+    around = [max(p - 2 / BRACKET, 0.0), min(p + 2 / BRACKET, 1.0)]
+    n, ends = values.agg(F.count("*"), F.percentile_approx("v", around, BRACKET)).first()
     at = p * max(n - 1, 0)
     low, high = int(np.floor(at)), int(np.ceil(at))
-    placed = with_position(in_ranges(values, [column, "tie"]), [column, "tie"]).where(F.col("pos").isin(low, high))
+    below, some = 0, values
+    if n:
+        first, last = (F.lit(e).cast(values.schema["v"].dataType) for e in ends)
+        inside = values.where((F.col("v") >= first) & (F.col("v") <= last))
+        below, met = values.agg(F.count_if(F.col("v") < first), F.count_if((F.col("v") >= first) & (F.col("v") <= last))).first()
+        if below <= low and high < below + met:
+            if ends[0] == ends[1]:
+                return values.sparkSession.range(1).select(first.cast("double").alias(name))
+            some = inside
+        else:  # the bracket doesn't hold it
+            below = 0
+    some = some.withColumn("tie", F.xxhash64(F.monotonically_increasing_id()))
+    placed = with_position(in_ranges(some, ["v", "tie"]), ["v", "tie"]).where(F.col("pos").isin(low - below, high - below))
     # one or two rows
-    weight = F.lit(1.0) if low == high else F.when(F.col("pos") == low, high - at).otherwise(at - low)
-    return placed.agg(F.sum(F.col(column) * weight).alias(name))
+    weight = F.lit(1.0) if low == high else F.when(F.col("pos") == low - below, high - at).otherwise(at - low)
+    return placed.agg(F.sum(F.col("v") * weight).alias(name))
 
 
 def with_running_sum(ranged: DataFrame, order: Sequence[str], value: Column, name: str) -> DataFrame:

@@ -57,11 +57,26 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
+#: Mark of a line that fits, and what stands between its fields.
+FITS, BETWEEN = "\x1e", "\x1f"
+
+
 def parse_lines(lines: DataFrame, form: LogFormat, column: str = "line") -> DataFrame:
-    """Adds a column for each field of the format's head; lines of another form are left out."""
+    """Adds a column for each field of the format's head; lines of another form are left out.
+
+    The pattern runs once for a line: it puts marks between the fields, at which they are split.
+    """
     pattern, names = S.header_pattern(form.log_format)
-    fits = lines.where(F.col(column).rlike(pattern))
-    return fits.withColumns({n: F.regexp_extract(column, pattern, k + 1) for k, n in enumerate(names)})
+    marked = F.regexp_replace(column, pattern + r"[\r\n\u0085\u2028\u2029]*", FITS + BETWEEN.join(f"${k + 1}" for k in range(len(names))))
+    slow = F.array(F.concat(F.lit(FITS), F.regexp_extract(column, pattern, 1)), *[F.regexp_extract(column, pattern, k + 1) for k in range(1, len(names))])
+    fields = F.when(~F.col(column).rlike(f"[{FITS}{BETWEEN}]"), F.split(marked, BETWEEN)).when(F.col(column).rlike(pattern), slow)
+    held = "fields"
+    while held in lines.columns or held in names:
+        held += "_"
+    # a generator's result isn't computed again where it is used
+    out = lines.withColumn(held, F.explode(F.filter(F.array(fields), lambda f: F.get(f, F.lit(0)).startswith(FITS))))
+    values = {n: F.get(held, F.lit(k)) for k, n in enumerate(names)}
+    return out.withColumns(values | {names[0]: F.substring(values[names[0]], 2, 1 << 30)}).drop(held)
 
 
 def read_structured(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:

@@ -248,3 +248,31 @@ def test_each_incident_is_asked_once(spark, tmp_path):
         assert len(os.listdir(asked_dir)) == 6
     texts = {open(f"{asked_dir}/{n}").read() for n in os.listdir(asked_dir)}
     assert len(texts) == 6
+
+
+def test_lines_are_split_as_by_the_pattern(spark):
+    """Each line is matched once; marks in the line, line ends and lines of another form make no difference."""
+    import re
+
+    from emberlog.functions.scalars import header_pattern
+    from emberlog.sources import logs
+
+    form = logs.log_format("BGL")
+    pattern, names = header_pattern(form.log_format)
+    good = "- 1 2005.06.03 R02 2005-06-03-15.42.50.675872 R02 RAS KERNEL INFO text of $1 and \\2"
+    lines = [good, "no such line", "", None, good + " with \x1e and \x1f in it", "x\x1fy", good.replace(" RAS", "  RAS"), good + "\r"]
+    got = logs.parse_lines(spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k long, line string").withColumn("fields", F.lit(1)), form)
+    assert got.columns == ["k", "line", "fields", *names]
+    want = [(k, *m.groups()) for k, x in enumerate(lines) if x is not None and (m := re.match(pattern, x.removesuffix("\r")))]
+    assert sorted(tuple(r) for r in got.select("k", *names).collect()) == want and len(want) == 4
+
+
+def test_bracketed_quantiles(spark):
+    """Ties within and around the bracket, and sizes beyond its accuracy."""
+    from emberlog.operators.ordered import quantile
+
+    rng = np.random.default_rng(8)
+    for values in (rng.normal(size=30_000), rng.integers(0, 3, 30_000).astype(float), np.concatenate([np.zeros(29_000), rng.normal(size=1000)])):
+        table = spark.createDataFrame([(float(v),) for v in values], "x double").repartition(3)
+        for p in (0.02, 0.98):
+            assert abs(quantile(table, "x", p, "z").first().z - np.quantile(values, p)) < 1e-9
