@@ -41,6 +41,24 @@ def with_position(ranged: DataFrame, order: Sequence[str], name: str = "pos") ->
     return ranged.withColumn(name, own).join(_before(base), PART).withColumn(name, (F.col(name) + F.col("base") - 1).cast("long")).drop("base")
 
 
+def with_place_in(df: DataFrame, key: str, order: Sequence[str], name: str = "place") -> DataFrame:
+    """The 0-based position of each row among the rows of its key, without one task for a key.
+
+    Rows are in ranges by key and order, so only the keys at the borders of ranges are in
+    several of them; how many of their rows earlier ranges hold is one row for each border.
+    """
+    ranged = in_ranges(df, [key, *order])
+    sizes = ranged.groupBy(PART, key).agg(F.count("*").alias("size"))
+    ends = ranged.groupBy(PART).agg(F.min(F.struct(key)).alias("first"), F.max(F.struct(key)).alias("last"))
+    at_border = sizes.join(_before(ends), PART).where(F.struct(key).eqNullSafe(F.col("first")) | F.struct(key).eqNullSafe(F.col("last")))
+    base = F.sum("size").over(W.partitionBy(key).orderBy(PART)) - F.col("size")
+    borders = at_border.select(F.struct(F.col(PART).alias("range"), F.col(key).alias("key"), base.alias("base")).alias(border := f"{name}_border")).where(f"{border}.base > 0")
+    own = F.row_number().over(W.partitionBy(PART, key).orderBy(*order))
+    here = (F.col(PART) == F.col(f"{border}.range")) & F.col(key).eqNullSafe(F.col(f"{border}.key"))
+    out = ranged.withColumn(name, own).join(_before(borders), here, "left")
+    return out.withColumn(name, (F.col(name) + F.coalesce(f"{border}.base", F.lit(0)) - 1).cast("long")).drop(border, PART)
+
+
 #: Accuracy of the approximate quantiles that bracket an exact one: their ranks are off by a part in so many of the rows.
 BRACKET = 10_000
 

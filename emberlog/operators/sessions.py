@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import in_ranges, with_position
+from .ordered import in_ranges, with_place_in, with_position
 
 
 def explode_keys(events: DataFrame, keys: str, key: str = "block_id") -> DataFrame:
@@ -23,6 +23,15 @@ def key_sessions(lines: DataFrame, key: str, order: Sequence[str], ts: str = "ti
     )
 
 
+def key_segments(lines: DataFrame, key: str, order: Sequence[str], most: int = 10_000, ts: str = "timestamp") -> DataFrame:
+    """key_sessions() for keys of any size: a key's events in segments of ``most``, numbered from 0 in order."""
+    placed = with_place_in(lines, key, order).withColumn("segment_no", F.expr(f"place div {most}"))
+    ordered = F.array_sort(F.collect_list(F.struct("place", F.col("event_id").alias("session_event"))))
+    return placed.groupBy(key, "segment_no").agg(
+        F.transform(ordered, lambda x: x["session_event"]).alias("event_seq"), F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n_events")
+    )
+
+
 def session_meta(lines: DataFrame, key: str, ts: str = "timestamp") -> DataFrame:
     return lines.groupBy(key).agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n_events"))
 

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fixed_point, shown_timestamp
-from .ordered import in_ranges, with_position, with_previous, with_running_sum
+from .ordered import in_ranges, with_place_in, with_position, with_previous, with_running_sum
 from .scratch import remove_local, shared_folder, written
 
 #: Priorities, and the words of each category in the order in which they are tried.
@@ -108,6 +108,13 @@ def incidents(correlated: DataFrame) -> DataFrame:
     return out.withColumns({"templates": templates, "id": F.concat(F.lit("INC-"), F.when(F.col("incident_no") < 10_000, F.lpad(F.col("incident_no").cast("string"), 4, "0")).otherwise(F.col("incident_no").cast("string")))})
 
 
+def incident_segments(correlated: DataFrame, most: int = 10_000) -> DataFrame:
+    """The anomalies of each incident in time order, in segments of ``most``: for floods, whose rows no one row should hold."""
+    placed = with_place_in(correlated, "incident_no", ["micros", "first_seq"]).withColumn("segment_no", F.expr(f"place div {most}"))
+    rows = F.array_sort(F.collect_list(F.struct("place", "id", "timestamp", "score", "entity", "templates")))
+    return placed.groupBy("incident_no", "segment_no").agg(rows.alias("anomalies"), F.count("*").alias("n_anomalies"), F.min("timestamp").alias("start"), F.max("timestamp").alias("end"))
+
+
 def category(templates: Column) -> Column:
     """The first category with a word that occurs anywhere in the templates."""
     text = F.lower(F.concat_ws(" ", templates))

@@ -126,6 +126,8 @@ UNION ALL SELECT 'unsorted', CAST(times_going_backwards AS DOUBLE), times_going_
     "gap_histogram": f"""WITH {E}, g AS (SELECT (epoch_us("timestamp") - lag(epoch_us("timestamp")) OVER (ORDER BY seq)) / 1e6 AS gap FROM e), x AS (SELECT log10(gap) AS x FROM g WHERE gap > 0), b AS (SELECT min(x) AS a, max(x) AS b FROM x)
 SELECT CAST(least(floor(coalesce((x - a) * 50 / nullif(b - a, 0), 0)), 49) AS INTEGER) AS bin, count(*) AS n FROM x, b GROUP BY bin""",
     "key_sessions": f"""WITH {L} SELECT block_id, string_agg(event_id, ' ' ORDER BY line_no, part, event_id) AS event_seq, min("timestamp") AS "start", max("timestamp") AS "end", count(*) AS n_events FROM l GROUP BY block_id""",
+    "key_segments": f"""WITH {L}, r AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY line_no, part, event_id, "timestamp") - 1 AS place FROM l)
+SELECT block_id, CAST(place // 3 AS BIGINT) AS segment_no, string_agg(event_id, ' ' ORDER BY place) AS event_seq, min("timestamp") AS "start", max("timestamp") AS "end", count(*) AS n_events FROM r GROUP BY ALL""",
     "count_matrix": f"WITH {L} SELECT block_id, " + ", ".join(f'count(*) FILTER (WHERE event_id = \'{v}\') AS "{v}"' for v in ("AF", "AO", "NF", "NO", "RF", "RO")) + " FROM l GROUP BY block_id",
     "sessions_labeled": f"WITH {LABELED} SELECT * FROM s",
     "temporal_split": f"WITH {SPLIT} SELECT block_id, split FROM sp",
@@ -171,6 +173,8 @@ SELECT metric, round(a.v, 6) AS "new", round(b.v, 6) AS "old", round(a.v - b.v,
     "correlate": f"WITH {correlated(1800.0, False)} SELECT id, incident_no FROM co",
     "correlate_same_entity": f"WITH {correlated(7200.0, True)} SELECT id, incident_no FROM co",
     "incidents": f"""WITH {INCIDENTS} SELECT id, n_anomalies, CAST(dedup_count AS BIGINT) AS dedup_count, "start", "end", round(peak, 6) AS peak, entities, templates FROM inc JOIN tp USING (incident_no) JOIN ent USING (incident_no)""",
+    "incident_segments": f"""WITH {correlated(1800.0, False)}, r AS (SELECT *, row_number() OVER (PARTITION BY incident_no ORDER BY "timestamp", first_seq) - 1 AS place FROM co)
+SELECT incident_no, CAST(place // 4 AS BIGINT) AS segment_no, string_agg(id, ' ' ORDER BY place) AS ids, count(*) AS n_anomalies, min("timestamp") AS "start", max("timestamp") AS "end" FROM r GROUP BY ALL""",
     "triage_records": f"""WITH {RECORDS} SELECT row_number() OVER (ORDER BY priority, max_score DESC, incident_no) - 1 AS rank, id, priority, category, n_anomalies, CAST(dedup_count AS BIGINT) AS dedup_count, {shown('"start"')} AS "start", {shown('"end"')} AS "end", max_score FROM rec""",
     "triage_texts": f"""WITH {TEXTS} SELECT rank, id, priority, category, n_anomalies || CASE WHEN n_anomalies = 1 THEN ' anomaly' ELSE ' anomalies' END || ' within ' || printf('%.0f', round_even(span, 0)) || ' s'
   || CASE WHEN n_entities = 1 THEN ' at ' || entities[1] WHEN n_entities > 1 THEN ' at ' || n_entities || ' entities' ELSE '' END || ', mostly ' || category AS summary, {ACTION} AS recommended_action,

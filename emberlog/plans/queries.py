@@ -124,6 +124,10 @@ def key_sessions(spark, d):
     return _sessions(spark, d).withColumn("event_seq", F.array_join("event_seq", " "))
 
 
+def key_segments(spark, d):
+    return sessions.key_segments(lines(spark, d), "block_id", ["line_no", "part", "event_id", "timestamp"], 3).withColumn("event_seq", F.array_join("event_seq", " "))
+
+
 def count_matrix(spark, d):
     l = lines(spark, d)
     return sessions.count_matrix(l, "block_id", sessions.vocabulary(l))
@@ -340,6 +344,11 @@ def incidents(spark, d):
     return r6(out.select("id", "n_anomalies", "dedup_count", "start", "end", "peak", F.array_join("all_entities", " ").alias("entities"), F.array_join("templates", " ").alias("templates")))
 
 
+def incident_segments(spark, d):
+    out = triage.incident_segments(triage.correlate(_deduped(spark, d), 1800.0), 4)
+    return out.select(F.col("incident_no").cast("long").alias("incident_no"), "segment_no", F.array_join(F.transform("anomalies", lambda a: a["id"]), " ").alias("ids"), "n_anomalies", "start", "end")
+
+
 def triage_records(spark, d):
     out = triage.triage(anomalies(spark, d, 1000), 1800.0)
     return out.select("rank", "id", "priority", "category", "n_anomalies", "dedup_count", "start", "end", F.round("max_score", 4).alias("max_score"))
@@ -468,9 +477,9 @@ def stream_dedup(spark, d):
 
 
 NAMES = (
-    "canonical_events parsed_lines explode_keys dq_report dq_flags level_counts value_counts topk_vocab per_minute_fill fano gap_histogram key_sessions count_matrix sessions_labeled temporal_split split_summary rate_by_size"
+    "canonical_events parsed_lines explode_keys dq_report dq_flags level_counts value_counts topk_vocab per_minute_fill fano gap_histogram key_sessions key_segments count_matrix sessions_labeled temporal_split split_summary rate_by_size"
     " window_content window_timing window_features excitation rescaled_gaps ks_test qq_points intensity_grid hawkes_fit hawkes_fit_stream hawkes_window hawkes_simulate pr_auc pr_curve operating_point fa_per_day drift_report score_atom metric_comparison invariant_check"
-    " fixed_threshold log_floor_threshold pot_threshold rolling_quantile adaptive_pot threshold_stability threshold_swing severity_rank dedup correlate correlate_same_entity incidents triage_records triage_texts incident_drilldown triage_p1 triage_totals"
+    " fixed_threshold log_floor_threshold pot_threshold rolling_quantile adaptive_pot threshold_stability threshold_swing severity_rank dedup correlate correlate_same_entity incidents incident_segments triage_records triage_texts incident_drilldown triage_p1 triage_totals"
     " categories context_lookup scaler iforest_scores ae_scores timing_ablation masked_templates drain_templates stream_windows stream_sessions stream_threshold stream_decay stream_incidents stream_dedup"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.operators import detectors, hawkes, templates, thresholds, triage
+from emberlog.operators import detectors, hawkes, sessions, templates, thresholds, triage
 from emberlog.operators.scratch import written
 
 SCHEMA = "seq long, score double"
@@ -276,3 +276,22 @@ def test_bracketed_quantiles(spark):
         table = spark.createDataFrame([(float(v),) for v in values], "x double").repartition(3)
         for p in (0.02, 0.98):
             assert abs(quantile(table, "x", p, "z").first().z - np.quantile(values, p)) < 1e-9
+
+
+def test_places_within_hot_keys(spark):
+    """One key holds most rows and lies in several ranges; keys may be NULL."""
+    from emberlog.operators.ordered import with_place_in
+
+    rng = np.random.default_rng(9)
+    keys = [None if v == 0 else "hot" if v < 7 else f"k{v}" for v in rng.integers(0, 10, 400)]
+    rows = [(k, int(n), "x") for n, k in zip(rng.permutation(400), keys, strict=True)]
+    got = with_place_in(spark.createDataFrame(rows, "key string, n long, base string"), "key", ["n"])
+    assert got.columns == ["key", "n", "base", "place"]
+    order = {}
+    for k, n, _ in sorted(rows, key=lambda r: r[1]):
+        order.setdefault(k, []).append(n)
+    assert all(order[r.key][r.place] == r.n for r in got.collect()) and got.count() == 400
+    segments = sessions.key_segments(spark.createDataFrame([(k, n, f"e{n}", n) for k, n, _ in rows], "key string, n long, event_id string, timestamp long"), "key", ["n"], 16)
+    assert segments.agg(F.max("n_events")).first()[0] == 16
+    for r in segments.collect():
+        assert r.event_seq == [f"e{n}" for n in order[r.key][r.segment_no * 16 : r.segment_no * 16 + 16]]
