@@ -2,6 +2,7 @@ import random
 import tempfile
 from collections import defaultdict
 
+from emberlog.llm import ngram_join
 from emberlog.llm.ngram_join import jaccard_components, keep_one
 
 
@@ -98,3 +99,27 @@ def test_second_text_of_a_repeated_id(spark):
     table.write.parquet(path := tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/docs")
     got = {r.doc_id: r.component_id for r in jaccard_components(spark, spark.read.parquet(path)).collect()}
     assert got == {1: 1, 5: 1, 9: 1}
+
+
+def test_pivots_and_parts(spark, monkeypatch):
+    """Small limits: long lists wait, are dealt to parts, and take several turns of pivots; the components stay those of all pairs."""
+    for name, value in {"SHORT": 3, "WHOLE": 0, "PART": 3, "POSTINGS": 400, "PAIRS": 8}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    rnd, turns = random.Random(11), []
+    next_pairs = ngram_join._next_pairs
+
+    def watched(*args):
+        out = next_pairs(*args)
+        turns.append((args[1].where("part > 0").count(), out[2].count() if out[0] is not None else None))
+        return out
+
+    monkeypatch.setattr(ngram_join, "_next_pairs", watched)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=6))
+    texts = near_texts(rnd)
+    # texts of passages that are all frequent: long lists of texts that share some passages and differ in others
+    choices = [[" ".join(word() for _ in range(9)) for _ in range(3)] for _ in range(8)]
+    texts += [" ".join(rnd.choice(c) for c in choices) for _ in range(1000)]
+    rows = list(enumerate(texts))
+    assert run(spark, rows) == brute(rows)
+    asked = [n for _, n in turns if n is not None]
+    assert turns[0][0] > 0 and sum(n > 0 for n in asked) >= 2 and asked == sorted(asked)
