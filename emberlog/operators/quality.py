@@ -98,6 +98,14 @@ def gap_histogram(gapped: DataFrame, bins: int = 50) -> DataFrame:
     return logs.crossJoin(F.broadcast(ends)).groupBy(bin_no.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
+def unit_histogram(rows: DataFrame, column: str, first: int = 0) -> DataFrame:
+    """(value, n) for each whole number from ``first`` to the largest value of a column of counts; numbers that don't occur have 0."""
+    found = rows.where(F.col(column) >= first).groupBy(F.col(column).cast("long").alias("value")).agg(F.count("*").alias("n"))
+    last = found.agg(F.max("value")).first()[0]
+    every = rows.sparkSession.range(first, first if last is None else last + 1).withColumnRenamed("id", "value")
+    return every.join(found, "value", "left").select("value", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def same_count(events: DataFrame, template: str, labels: DataFrame) -> DataFrame:
     """Whether a template occurs exactly once for each labelled key: n_events, n_labels, equal."""
     n = events.agg(F.count_if(F.col("event_id") == template).alias("n_events"))

@@ -125,6 +125,11 @@ UNION ALL SELECT 'unsorted', CAST(times_going_backwards AS DOUBLE), times_going_
     "fano": f"""WITH {E}, c AS (SELECT date_trunc('minute', "timestamp") AS m, count(*) AS n FROM e GROUP BY m), a AS (SELECT unnest(generate_series(min(m), max(m), INTERVAL 1 MINUTE)) AS m FROM c), f AS (SELECT coalesce(n, 0) AS n FROM a LEFT JOIN c USING (m)) SELECT round(var_samp(n) / avg(n), 6) AS fano, count(*) AS minutes FROM f""",
     "gap_histogram": f"""WITH {E}, g AS (SELECT (epoch_us("timestamp") - lag(epoch_us("timestamp")) OVER (ORDER BY seq)) / 1e6 AS gap FROM e), x AS (SELECT log10(gap) AS x FROM g WHERE gap > 0), b AS (SELECT min(x) AS a, max(x) AS b FROM x)
 SELECT CAST(least(floor(coalesce((x - a) * 50 / nullif(b - a, 0), 0)), 49) AS INTEGER) AS bin, count(*) AS n FROM x, b GROUP BY bin""",
+    "burstiness_histogram": f"""WITH {E}, m AS (SELECT date_trunc('minute', "timestamp") AS m, count(*) AS n FROM e GROUP BY 1), ends AS (SELECT min(m) AS a, max(m) AS b FROM m),
+per AS (SELECT coalesce(n, 0) AS n FROM (SELECT unnest(generate_series(a, b, INTERVAL 1 MINUTE)) AS m FROM ends) LEFT JOIN m USING (m))
+SELECT CAST(value AS BIGINT) AS value, (SELECT count(*) FROM per WHERE n = value) AS n FROM (SELECT unnest(range(0, (SELECT max(n) FROM per) + 1)) AS value)""",
+    "size_histogram": f"""WITH {L}, s AS (SELECT count(*) AS size FROM l GROUP BY block_id)
+SELECT CAST(value AS BIGINT) AS value, (SELECT count(*) FROM s WHERE size = value) AS n FROM (SELECT unnest(range(1, (SELECT max(size) FROM s) + 1)) AS value)""",
     "key_sessions": f"""WITH {L} SELECT block_id, string_agg(event_id, ' ' ORDER BY line_no, part, event_id) AS event_seq, min("timestamp") AS "start", max("timestamp") AS "end", count(*) AS n_events FROM l GROUP BY block_id""",
     "key_segments": f"""WITH {L}, r AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY line_no, part, event_id, "timestamp") - 1 AS place FROM l)
 SELECT block_id, CAST(place // 3 AS BIGINT) AS segment_no, string_agg(event_id, ' ' ORDER BY place) AS event_seq, min("timestamp") AS "start", max("timestamp") AS "end", count(*) AS n_events FROM r GROUP BY ALL""",

@@ -113,6 +113,16 @@ def gap_histogram(spark, d):
     return quality.gap_histogram(quality.gaps(events(spark, d).select("seq", "timestamp"), ["seq"]), 50)
 
 
+def burstiness_histogram(spark, d):
+    """Minutes by their number of events."""
+    return quality.unit_histogram(written(quality.per_minute(events(spark, d)), "minutes"), "n")
+
+
+def size_histogram(spark, d):
+    """Keys by their number of lines."""
+    return quality.unit_histogram(written(sessions.session_meta(lines(spark, d), "block_id"), "sizes"), "n_events", 1)
+
+
 # --- sessions ---
 
 
@@ -477,7 +487,7 @@ def stream_dedup(spark, d):
 
 
 NAMES = (
-    "canonical_events parsed_lines explode_keys dq_report dq_flags level_counts value_counts topk_vocab per_minute_fill fano gap_histogram key_sessions key_segments count_matrix sessions_labeled temporal_split split_summary rate_by_size"
+    "canonical_events parsed_lines explode_keys dq_report dq_flags level_counts value_counts topk_vocab per_minute_fill fano gap_histogram burstiness_histogram size_histogram key_sessions key_segments count_matrix sessions_labeled temporal_split split_summary rate_by_size"
     " window_content window_timing window_features excitation rescaled_gaps ks_test qq_points intensity_grid hawkes_fit hawkes_fit_stream hawkes_window hawkes_simulate pr_auc pr_curve operating_point fa_per_day drift_report score_atom metric_comparison invariant_check"
     " fixed_threshold log_floor_threshold pot_threshold rolling_quantile adaptive_pot threshold_stability threshold_swing severity_rank dedup correlate correlate_same_entity incidents incident_segments triage_records triage_texts incident_drilldown triage_p1 triage_totals"
     " categories context_lookup scaler iforest_scores ae_scores timing_ablation masked_templates drain_templates stream_windows stream_sessions stream_threshold stream_decay stream_incidents stream_dedup"

@@ -295,3 +295,11 @@ def test_places_within_hot_keys(spark):
     assert segments.agg(F.max("n_events")).first()[0] == 16
     for r in segments.collect():
         assert r.event_seq == [f"e{n}" for n in order[r.key][r.segment_no * 16 : r.segment_no * 16 + 16]]
+
+
+def test_unit_histogram_has_its_empty_bins(spark):
+    from emberlog.operators.quality import unit_histogram
+
+    rows = spark.createDataFrame([(1,), (4,), (4,), (0,), (None,)], "n int")
+    assert sorted(map(tuple, unit_histogram(rows, "n", 1).collect())) == [(1, 1), (2, 0), (3, 0), (4, 2)]
+    assert unit_histogram(rows.limit(0), "n").collect() == []
