@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages, each over all that the one before kept.
 
-1. toxicity: documents that the model predicts toxic go (their largest score decides, by
-   the operator's threshold); the model learns from the labelled training rows.
+1. toxicity: rows whose text the model predicts toxic go, each by its own score and the
+   operator's threshold; the model learns from the labelled training rows.
 2. line dedup: long lines of five documents or more stay in one of them.
 3. n-gram Jaccard join: of each group of near-duplicates the smallest doc_id stays.
 4. benchmark decontamination: documents that hold a benchmark item's template go.
