@@ -36,6 +36,8 @@ from .common import is_train
 
 SIZES = (1, 2, 3, 4)
 HASHES = 3
+#: Bytes that are looked up together, so few that they stay in the processor's cache.
+PIECE = 1 << 16
 
 
 def letters_only(text: str) -> bytes:
@@ -96,26 +98,79 @@ class LanguageFilters:
         """By language, the share of absent n-grams that the filter reports."""
         return np.array([(((self.masks[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean()) ** HASHES for k in range(len(self.languages))])
 
+    def counted(self, data: np.ndarray, of: np.ndarray, new: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text the n-grams that each language holds, and all n-grams.
+
+        of: the text of each byte; new: whether n-grams that end there haven't been counted.
+        Masks are counted by text first, whatever languages they name; their bits are added up
+        once for each mask that occurs.
+        """
+        hits, total = np.zeros((texts, len(self.languages))), np.zeros(texts)
+        value = np.zeros(len(data) + 1, np.uint64)  # the bytes of the n-grams of one size
+        for size in SIZES:
+            n = len(data) - size + 1
+            if n <= 0:
+                break
+            value = (value[:n] << np.uint64(8)) | data[size - 1 :]
+            own = np.where((of[:n] == of[size - 1 :]) & new[size - 1 :], of[:n], texts)  # not across texts
+            total += np.bincount(own, minlength=texts + 1)[:texts]
+            if size <= 2:  # there are so few that all have been looked up
+                found = self.short(size)[:, value.astype(np.int64)]
+            else:
+                found = self.lookup(value + np.uint64(size << 8 * size))
+            for word, masks in enumerate(found):
+                if len(self.languages) <= 10:
+                    kinds, back = np.arange(1 << len(self.languages), dtype=np.uint64), masks.astype(np.int64)
+                else:
+                    kinds, back = np.unique(masks, return_inverse=True)
+                seen = np.bincount(own * len(kinds) + back, minlength=(texts + 1) * len(kinds)).reshape(texts + 1, -1)[:texts]
+                here = range(64 * word, min(64 * (word + 1), len(self.languages)))
+                bits = np.stack([(kinds >> np.uint64(k % 64)) & np.uint64(1) for k in here], axis=1)
+                hits[:, here.start : here.stop] += seen @ bits.astype(float)
+        return hits, total
+
+    def short(self, size: int) -> np.ndarray:
+        """The masks of all n-grams of one or two bytes."""
+        held = self.__dict__.setdefault("_short", {})
+        if size not in held:
+            held[size] = self.lookup(np.arange(256**size, dtype=np.uint64) + np.uint64(size << 8 * size))
+        return held[size]
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = ["und"] * len(texts), [0.0] * len(texts)
         if not self.languages:
             return names, scores
+        hits, total = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        pieces: list[tuple[int, bytes, int]] = []
+
+        def count() -> None:
+            lengths = [len(p) for _, p, _ in pieces]
+            of = np.repeat(np.arange(len(pieces)), lengths)
+            place = np.arange(len(of)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            new = place >= np.repeat([lead for _, _, lead in pieces], lengths)
+            found, n = self.counted(np.frombuffer(b"".join(p for _, p, _ in pieces), np.uint8), of, new, len(pieces))
+            ids = np.array([i for i, _, _ in pieces])
+            np.add.at(hits, ids, found)
+            np.add.at(total, ids, n)
+            pieces.clear()
+
+        known, held, lead = [i for i, t in enumerate(texts) if t and any(c.isalpha() for c in t)], 0, max(SIZES) - 1
+        for i in known:
+            raw = letters_only(texts[i])
+            for a in range(0, len(raw), PIECE):  # long texts in pieces, each after the bytes with which its first n-grams begin
+                pieces.append((i, raw[max(0, a - lead) : a + PIECE], min(a, lead)))
+                held += len(pieces[-1][1])
+                if held >= PIECE:
+                    count()
+                    held = 0
+        if pieces:
+            count()
         chance = self.chance()
-        for i, text in enumerate(texts):
-            if not text or not any(c.isalpha() for c in text):
-                continue
-            data = np.frombuffer(letters_only(text), np.uint8)
-            counts, n = np.zeros(len(self.languages)), 0
-            for a in range(0, len(data), 1 << 20):  # long texts in pieces, each with the bytes that complete its last n-grams
-                for size in SIZES:
-                    held = self.lookup(grams(data[a : a + (1 << 20) + size - 1], size))
-                    n += held.shape[1]
-                    for k in range(len(self.languages)):
-                        counts[k] += np.count_nonzero(held[k // 64] & np.uint64(1 << k % 64))
-            fixed = np.maximum((counts - chance * n) / (1 - np.minimum(chance, 0.999)), 0)
-            best = int(np.argmax(fixed))
-            names[i], total = self.languages[best], fixed.sum()
-            scores[i] = float(fixed[best] / total) if total > 0 else 0.0
+        fixed = np.maximum((hits - np.outer(total, chance)) / (1 - np.minimum(chance, 0.999)), 0)
+        for i in known:
+            best, every = int(np.argmax(fixed[i])), fixed[i].sum()
+            names[i] = self.languages[best]
+            scores[i] = float(fixed[i][best] / every) if every > 0 else 0.0
         return names, scores
 
 

@@ -80,6 +80,28 @@ def test_bitmask_lookup_and_false_positive_rate():
     assert grams(np.frombuffer(b"ab", np.uint8), 2).tolist() == [(2 << 16) + (97 << 8) + 98] and len(grams(np.frombuffer(b"a", np.uint8), 2)) == 0
 
 
+def test_counts_by_batch_are_those_of_each_text():
+    """Texts that share a batch, pieces of one text, and more languages than bits of a small mask."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join("".join(rng.choice(list("abcdeé"), 4)) for _ in range(rng.integers(1, 60))) for _ in range(30)] + [None, "", "7", "a"]
+    texts.append(" ".join("".join(rng.choice(list("abcdeé"), 4)) for _ in range(250_000)))
+    for languages in (3, 70):
+        held = {f"l{k:02d}": np.concatenate([grams(rng.choice(np.frombuffer(b"abcde \xc3\xa9", np.uint8), 400), s) for s in (1, 2, 3, 4)]) for k in range(languages)}
+        model = LanguageFilters.build(held, 16)
+        names, scores = model.predict(texts)
+        chance = model.chance()
+        for text, name, score in zip(texts, names, scores, strict=True):
+            if not text or not any(c.isalpha() for c in text):
+                assert (name, score) == ("und", 0.0)
+                continue
+            data = np.frombuffer(f" {text} ".encode(), np.uint8)
+            found = [model.lookup(grams(data, size)) for size in (1, 2, 3, 4)]
+            n = sum(f.shape[1] for f in found)
+            counts = np.array([sum(int(((f[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).sum()) for f in found) for k in range(languages)])
+            fixed = np.maximum((counts - chance * n) / (1 - np.minimum(chance, 0.999)), 0)
+            assert name == model.languages[int(fixed.argmax())] and abs(score - fixed.max() / fixed.sum()) < 1e-12
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = predict(spark, docs, learn(spark, docs)).join(docs, "doc_id").where("held_out").select("lang", "lang_pred", "score").collect()
