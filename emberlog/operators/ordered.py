@@ -12,6 +12,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -110,21 +112,24 @@ def with_previous(ranged: DataFrame, order: Sequence[str], columns: dict[str, st
     return out.withColumns({k: F.when(F.col("is_first"), F.col(f"edge.{k}")).otherwise(F.col(k)) for k in columns}).drop("edge", "is_first")
 
 
-def decayed_counts(t: np.ndarray, beta: float, carried: float = 0.0) -> np.ndarray:
+def decayed_counts(t: np.ndarray, beta: float, carried: float = 0.0, weight: np.ndarray | None = None) -> np.ndarray:
     """For each time the sum of exp(-beta (t - s)) over the times s before it, in one pass over blocks; ``carried`` is the sum at the first time.
 
+    ``weight``: what each time counts, if not 1.
+
     A block spans so little time that the exponentials can be summed directly; what went
     before it is one decayed number.
     """
     out = np.zeros(len(t))
+    weight = np.ones(len(t)) if weight is None else weight
     a = 0
     while a < len(t):
         b = max(a + 1, int(np.searchsorted(t, t[a] + 300.0 / beta, "right")))
         x = np.exp(beta * (t[a:b] - t[a]))
-        before = np.concatenate([[0.0], np.cumsum(x)[:-1]])
+        before = np.concatenate([[0.0], np.cumsum(x * weight[a:b])[:-1]])
         out[a:b] = (carried + before) / x
         if b < len(t):
-            carried = (out[b - 1] + 1.0) * np.exp(-beta * (t[b] - t[b - 1]))
+            carried = (out[b - 1] + weight[b - 1]) * np.exp(-beta * (t[b] - t[b - 1]))
         a = b
     return out
 
@@ -163,3 +168,50 @@ def with_excitation(ranged: DataFrame, time: str, order: Sequence[str], betas: d
     out = own.join(_before(carry), PART)
     added = {k: F.col(k) + F.col(f"s_{k}") * F.exp(-F.lit(float(b)) * (F.col(time) - F.col("since"))) for k, b in betas.items()}
     return out.withColumns(added).drop("since", *[f"s_{k}" for k in betas])
+
+
+def with_decay_by(df: DataFrame, key: str, time: str, order: Sequence[str], weight: str, beta: float, name: str) -> DataFrame:
+    """Adds the decayed sum of the weights of the key's earlier rows; ``time`` and ``beta`` in one unit.
+
+    Rows are in ranges by key and order, computed apart with a carried state; only the key at
+    a border is in several ranges, and its state there, one row for each range, decays into
+    the next ones.
+    """
+    ranged = in_ranges(df, [key, *order])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema) + f", {name} double"
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, last, state = None, 0, 0.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t, w = batch.column(time).to_numpy(zero_copy_only=False), batch.column(weight).to_numpy(zero_copy_only=False)
+            runs = pa.compute.run_end_encode(pa.compute.dictionary_encode(batch.column(key), null_encoding="encode").indices).run_ends.to_numpy()
+            number = batch.column(PART).to_numpy(zero_copy_only=False)
+            cuts = np.union1d(runs, np.flatnonzero(np.diff(number)) + 1)
+            out, a = np.empty(len(t)), 0
+            keys = batch.column(key).take(pa.array(np.concatenate([[0], cuts[:-1]]))).to_pylist()
+            for own, b in zip(keys, cuts.tolist(), strict=True):
+                here = (int(number[a]), own)
+                carried = state * np.exp(-beta * (t[a] - last)) if here == of else 0.0
+                out[a:b] = decayed_counts((t[a:b] - t[a]).astype(float), beta, carried, w[a:b])
+                of, last, state, a = here, t[b - 1], out[b - 1] + w[b - 1], b
+            yield batch.append_column(name, pa.array(out))
+
+    n = int(ranged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = written(ranged.repartition(n, PART).sortWithinPartitions(PART, key, *order).mapInArrow(local, schema), "decay")
+    last = F.max_by(F.struct(F.col(key).alias("key"), F.col(time).alias("since"), (F.col(name) + F.col(weight)).alias("state")), F.struct(key, *order))
+    ends = own.groupBy(PART).agg(F.min(F.struct(F.col(key).alias("key"))).alias("first"), last.alias("last")).orderBy(PART).collect()
+    rows, before = [], None
+    for r in ends:  # one row for each partition
+        state = r["last"]["state"]
+        if before and before["key"] == r["first"]["key"]:
+            rows.append((r[PART], before["key"], before["since"], before["state"]))
+            if r["last"]["key"] == before["key"]:
+                state += before["state"] * float(np.exp(-beta * (r["last"]["since"] - before["since"])))
+        before = {"key": r["last"]["key"], "since": r["last"]["since"], "state": state}
+    border = own.sparkSession.createDataFrame([(r,) for r in rows], f"border struct<range: int, key: {ranged.schema[key].dataType.simpleString()}, since: {ranged.schema[time].dataType.simpleString()}, state: double>")
+    here = (F.col(PART) == F.col("border.range")) & F.col(key).eqNullSafe(F.col("border.key"))
+    added = F.col("border.state") * F.exp(F.lit(-beta) * (F.col(time) - F.col("border.since")))
+    out = own.join(_before(border), here, "left").withColumn(name, F.col(name) + F.coalesce(added, F.lit(0.0)))
+    return out.drop("border", PART)

@@ -38,3 +38,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     atexit.register(remove_local, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of the versions v1, v2, ... of a table below folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(path)]
+    return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

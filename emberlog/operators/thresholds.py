@@ -7,11 +7,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import in_ranges, quantile, with_position
-from .scratch import written
+from .scratch import versions, written
 
 
 def log_floor(raw: Column) -> Column:
@@ -78,7 +78,8 @@ class SortedWindow:
             return np.nan
         at = p * (len(self.values) - 1)
         low, high = self.values[int(np.floor(at))], self.values[int(np.ceil(at))]
-        return float(low + (high - low) * (at - np.floor(at))) if low != high else float(low)
+        part = at - np.floor(at)  # from the nearer end, as numpy does
+        return float(low) if low == high else float(high - (high - low) * (1 - part) if part >= 0.5 else low + (high - low) * part)
 
     def peaks(self, q: float, init_level: float) -> float:
         """The level that is exceeded with probability q, by the tail over the initial level."""
@@ -167,15 +168,6 @@ def trailing(
 STATE = "run string, seen long, pos long, score double"
 
 
-def _versions(spark: SparkSession, folder: str) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = [f.getPath().getName() for f in fs.listStatus(path)]
-    return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
-
-
 def trailing_run(
     scores: DataFrame, order: Sequence[str], folder: str, run: str, calib: int, window: int, stride: int, kind: str, q: float, init_level: float = 0.95, block_rows: int | None = None
 ) -> DataFrame:
@@ -188,10 +180,10 @@ def trailing_run(
     The last two versions are kept.
     """
     spark = scores.sparkSession
-    versions = _versions(spark, folder)
+    there = versions(spark, folder)
     read = lambda v: spark.read.schema(STATE).parquet(f"{folder}/v{v}")
-    repeated = bool(versions) and read(versions[-1]).first().run == run
-    base = versions[:-1] if repeated else versions
+    repeated = bool(there) and read(there[-1]).first().run == run
+    base = there[:-1] if repeated else there
     seen, held = 0, None
     if base:
         state = read(base[-1])
@@ -206,14 +198,14 @@ def trailing_run(
         total = seen if total is None else total + 1
         tail = placed.where(F.col("pos") >= total - window - stride).select("pos", F.col("score").cast("double").alias("score"))
         rows = spark.range(1).select(F.lit(None).cast("long").alias("pos"), F.lit(None).cast("double").alias("score")).union(tail)
-        number = (versions[-1] if versions else 0) + 1
+        number = (there[-1] if there else 0) + 1
         aside = f"{folder}/.v{number}-{uuid.uuid4().hex[:8]}"
         rows.select(F.lit(run).alias("run"), F.lit(total).cast("long").alias("seen"), "pos", "score").write.parquet(aside)
         path = spark._jvm.org.apache.hadoop.fs.Path
         fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
         if fs.exists(path(f"{folder}/v{number}")) or not fs.rename(path(aside), path(f"{folder}/v{number}")):
             raise RuntimeError(f"another run has written version {number} of {folder}")
-        for old in versions[:-1]:
+        for old in there[:-1]:
             fs.delete(path(f"{folder}/v{old}"), True)
     return _trailing(placed, seen, fields, calib, window, stride, kind, q, init_level, block_rows)
 

@@ -1,11 +1,13 @@
 """Stateful operators over streams in event-time order.
 
-Rows of a key wait in its state until the watermark has passed them, and leave it sorted by
-time and number: what comes out doesn't depend on how rows were dealt to files or
-micro-batches. Rows behind the watermark are dropped by Spark, which counts them in the
-query's progress. A timer wakes a key when the first of its waiting rows is due, so keys
-without due rows cost nothing. What a key holds are the rows of the last ``late`` interval
-and its operator's own state.
+Rows wait in Spark's state store until the watermark has passed them, each under a key of
+its own, so that they are spread over all tasks. Rows behind the watermark are dropped by
+Spark, which counts them in the query's progress. A micro-batch hands on the rows that
+became due; all of them are after those of earlier micro-batches, so an operator orders
+them by ranges (operators/ordered.py), as in batch, and carries a small versioned table from
+one micro-batch to the next: what comes out doesn't depend on how rows were dealt to files
+or micro-batches. A version is named by its micro-batch; one that is repeated starts from
+the version before its own.
 
 A stream that ends is closed by a heartbeat, a row with a time and nothing else, which moves
 the watermark past everything that waits.
@@ -17,199 +19,154 @@ import atexit
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from datetime import UTC, datetime
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.ordered import decayed_counts
-from ..operators.scratch import remove_local, shared_folder
+from ..operators.ordered import in_ranges, with_decay_by, with_previous, with_running_sum
+from ..operators.scratch import delete, remove_local, shared_folder, versions, written
+from ..operators.thresholds import trailing_run
 
 #: Time of the heartbeat that closes a stream.
 CLOSING = "2250-01-01 00:00:00"
-ROW = "micros long, seq long, score double, entity string"
-COLUMNS = ["micros", "seq", "score", "entity"]
+ORDER = ["micros", "seq"]
 
 
-class InOrder(StatefulProcessor):
-    """Holds rows until the watermark has passed them; ``released`` gets them in order, with the operator's state."""
+class InOrder:
+    """An operator over the rows of ``held`` that the watermark has passed: micros, seq, score and entity."""
 
-    state_schema = ""
-    columns: list[str] = []
+    schema = ""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", ROW)
-        self.held = handle.getValueState("held", self.state_schema)
+    def __init__(self, stream: DataFrame, late: str) -> None:
+        rows = stream.withWatermark("timestamp", late).groupBy("timestamp", "seq", "node", "score")
+        self.held = rows.agg(F.count("*").cast("int").alias("n"))  # rows alike in all of these share a key
 
-    def released(self, key: tuple, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame | None, tuple]:
-        """Rows that go out, and the state after these rows."""
-        raise NotImplementedError
+    def due(self, batch: DataFrame) -> DataFrame:
+        rows = batch.where("seq IS NOT NULL")  # heartbeats have no number
+        return rows.select(F.unix_micros("timestamp").alias("micros"), "seq", "score", F.col("node").alias("entity"), F.explode(F.array_repeat(F.lit(0), F.col("n"))).alias("copy")).drop("copy")
 
-    def passed(self, key: tuple, watermark: int, state: tuple | None) -> tuple[pd.DataFrame | None, tuple | None]:
-        """What the watermark alone, in microseconds, lets out when no waiting row is before it."""
-        return None, state
+    def released(self, rows: DataFrame, folder: str, number: int) -> DataFrame:
+        """What goes out for the rows of micro-batch ``number``; the state after them goes to ``folder``."""
+        raise NotImplementedError
 
-    def wakes(self, state: tuple | None) -> int | None:
-        """A time in microseconds at which ``passed`` has to be asked."""
+    def passed(self, spark: SparkSession, folder: str, watermark: int) -> DataFrame | None:
+        """What the watermark alone, in microseconds, lets out."""
         return None
 
-    def _call_at(self, micros: int | None) -> None:
-        if micros is not None:
-            self.handle.registerTimer(-(-int(micros) // 1000))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
-        new = pd.concat(list(rows))[COLUMNS].dropna(subset=["seq", "micros"])  # heartbeats have no number
-        if len(new):
-            self.waiting.appendList([(int(m), int(s), None if pd.isna(x) else float(x), e) for m, s, x, e in new.itertuples(index=False)])
-            self._call_at(new["micros"].min())
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        mark = timerValues.getCurrentWatermarkInMs() * 1000
-        state = self.held.get() if self.held.exists() else None
-        rows = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=COLUMNS)
-        due = rows["micros"] <= mark
-        if due.any():
-            rest = rows[~due]
-            out, state = self.released(key, rows[due].sort_values(["micros", "seq"]), state)
-            if len(rest):
-                self.waiting.put([(int(m), int(s), None if pd.isna(x) else float(x), e) for m, s, x, e in rest.itertuples(index=False)])
-                self._call_at(rest["micros"].min())
-            else:
-                self.waiting.clear()
-            if out is not None and len(out):
-                yield out[self.columns]
-        out, after = self.passed(key, mark, state)
-        if after is None:
-            self.held.clear()
-        else:
-            self.held.update(after)
-            if due.any() and (wake := self.wakes(after)) is not None:
-                self._call_at(wake)
-        if out is not None and len(out):
-            yield out[self.columns]
-
-    def close(self) -> None:
-        pass
+
+def _before(spark: SparkSession, folder: str, number: int | None, schema: str) -> DataFrame | None:
+    """The state before micro-batch ``number``, or the last one."""
+    there = [v for v in versions(spark, folder) if number is None or v < number]
+    return spark.read.schema(schema).parquet(f"{folder}/v{there[-1]}") if there else None
+
+
+def _keep(state: DataFrame, folder: str, number: int) -> None:
+    """The state after micro-batch ``number``; it and the one before stay."""
+    spark = state.sparkSession
+    state.write.mode("overwrite").parquet(f"{folder}/v{number}")
+    for old in [v for v in versions(spark, folder) if v < number][:-1]:
+        delete(spark, f"{folder}/v{old}")
 
 
 class TrailingThreshold(InOrder):
     """Flags by the quantile of the last ``window`` scores, fitted after ``calib`` rows and every ``stride`` rows from there."""
 
-    state_schema = "held array<double>, z double, seen long"
-    columns = ["seq", "i", "flag", "thr"]
-
-    def __init__(self, calib: int, window: int, stride: int, q: float) -> None:
-        self.calib, self.window, self.stride, self.q = calib, window, stride, q
-
-    def released(self, key, rows, state):
-        held, z, seen = state or ([], float("nan"), 0)
-        n, before = len(rows), len(held)
-        scores = np.concatenate([np.asarray(held, float), rows["score"].to_numpy(float)])
-        limits, shown, start = np.empty(n), np.empty(n), 0
-        while start < n:  # one step for each threshold
-            done = seen + start
-            refit = self.calib if done < self.calib else self.calib + ((done - self.calib) // self.stride + 1) * self.stride
-            end = min(n, refit - seen)
-            limits[start:end] = shown[start:end] = z
-            if seen + end == refit:
-                z = float(np.quantile(scores[max(0, before + end - self.window) : before + end], 1 - self.q))
-                shown[end - 1] = z
-            start = end
-        place = seen + np.arange(n) - self.calib
-        out = pd.DataFrame({"seq": rows["seq"].to_numpy(), "i": place, "flag": scores[before:] > limits, "thr": shown})
-        return out[place >= 0], (scores[-self.window :].tolist(), float(z), int(seen + n))
+    schema = "seq long, i long, flag boolean, thr double"
+
+    def __init__(self, stream: DataFrame, late: str, calib: int, window: int, stride: int, q: float) -> None:
+        super().__init__(stream, late)
+        self.args = (calib, window, stride, "quantile", q)
+
+    def released(self, rows, folder, number):
+        return trailing_run(rows.select("micros", "seq", "score"), ORDER, folder, str(number), *self.args).select("seq", "i", "flag", "thr")
 
 
 class Decay(InOrder):
-    """The decayed count of a key's earlier events."""
+    """The decayed count of a key's earlier events; the state is one row for each key, its last time and the count after it."""
 
-    state_schema = "last long, a double"
-    columns = ["node", "seq", "excitation"]
+    schema = "node string, seq long, excitation double"
+    state = "entity string, micros long, a double"
 
-    def __init__(self, beta: float) -> None:
+    def __init__(self, stream: DataFrame, late: str, beta: float) -> None:
+        super().__init__(stream, late)
         self.beta = beta
 
-    def released(self, key, rows, state):
-        micros = rows["micros"].to_numpy(np.int64)
-        last, carried = (state[0], state[1]) if state else (int(micros[0]), 0.0)
-        t = (micros - last) / 1e6
-        a = decayed_counts(t, self.beta, carried * np.exp(-self.beta * t[0]))
-        return pd.DataFrame({"node": key[0], "seq": rows["seq"].to_numpy(), "excitation": a}), (int(micros[-1]), float(a[-1] + 1.0))
+    def released(self, rows, folder, number):
+        spark = rows.sparkSession
+        rows = rows.select("entity", "micros", "seq", F.lit(1.0).alias("weight"))
+        carried = _before(spark, folder, number, self.state)
+        if carried is not None:  # a key's past is one event before its others, with the weight of all
+            rows = rows.unionByName(carried.withColumnRenamed("a", "weight"), allowMissingColumns=True)
+        found = written(with_decay_by(rows, "entity", "micros", ORDER, "weight", self.beta / 1e6, "excitation"), "decayed")
+        last = F.max_by(F.struct("micros", (F.col("excitation") + F.col("weight")).alias("a")), F.struct(*ORDER))
+        _keep(found.groupBy("entity").agg(last.alias("last")).select("entity", "last.*"), folder, number)
+        return found.where("seq IS NOT NULL").select(F.col("entity").alias("node"), "seq", "excitation")
 
 
 class Incidents(InOrder):
-    """Incidents as they close: by a gap in time longer than the limit, or by a change of entity."""
+    """Incidents as they close: by a gap in time longer than the limit, or by a change of entity. The state is the last one."""
 
-    state_schema = "no long, start long, end long, entity string, n long, peak double, first_seq long"
-    columns = ["incident_no", "start", "end", "entity", "n_anomalies", "peak", "first_seq"]
+    schema = "incident_no long, start timestamp_ntz, end timestamp_ntz, entity string, n_anomalies long, peak double, first_seq long"
+    state = "no long, start long, end long, entity string, n long, peak double, first_seq long, open boolean"
 
-    def __init__(self, gap_seconds: float, same_entity: bool) -> None:
+    def __init__(self, stream: DataFrame, late: str, gap_seconds: float, same_entity: bool) -> None:
+        super().__init__(stream, late)
         self.gap, self.same_entity = round(gap_seconds * 1e6), same_entity
 
-    def _closed(self, rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=self.columns)
-        for c in ("start", "end"):
-            out[c] = pd.to_datetime(out[c], unit="us")
-        return out
-
-    def released(self, key, rows, state):
-        micros, entity = rows["micros"].to_numpy(np.int64), rows["entity"].to_numpy(object)
-        before = np.concatenate([[state[2] if state and state[4] else micros[0]], micros[:-1]])  # n is 0 where no incident is open
-        new = micros - before > self.gap
+    def _closed(self, found: DataFrame) -> DataFrame:
+        at = lambda c: F.expr(f"timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(`{c}` / 1000000BD as decimal(18, 6))) AS `{c}`")
+        return found.select(F.col("no").alias("incident_no"), at("start"), at("end"), "entity", F.col("n").alias("n_anomalies"), "peak", "first_seq")
+
+    def released(self, rows, folder, number):
+        spark = rows.sparkSession
+        carried = _before(spark, folder, number, self.state)
+        last = carried.first() if carried is not None else None  # one row
+        end, entity, no = (last["end"] if last.open else None, last.entity, last.no) if last else (None, None, 0)
+        placed = with_previous(in_ranges(rows, ORDER), ORDER, {"before": "micros", "entity_before": "entity"})
+        first = F.col("before").isNull()
+        before = F.coalesce("before", F.lit(end).cast("long"))
+        new = before.isNull() | (F.col("micros") - before > self.gap)
         if self.same_entity:
-            new[1:] |= entity[1:] != entity[:-1]
-            new[0] |= bool(state) and state[4] > 0 and state[3] != entity[0]
-        cuts = np.concatenate([[0], np.flatnonzero(new[1:]) + 1])
-        ends = np.concatenate([cuts[1:], [len(rows)]]) - 1
-        peaks = np.fmax.reduceat(rows["score"].to_numpy(float), cuts)
-        number, done = state[0] if state else 0, []
-        current = state if state and state[4] else None
-        if current and new[0]:
-            done.append(current)
-            current = None
-        for first, last, peak in zip(cuts, ends, peaks, strict=True):
-            if current is None or first:
-                if current:
-                    done.append(current)
-                number += 1
-                current = (number, int(micros[first]), 0, entity[first], 0, float("nan"), int(rows["seq"].iloc[first]))
-            current = (*current[:2], int(micros[last]), current[3], int(current[4] + last - first + 1), float(np.fmax(current[5], peak)), current[6])
-        return self._closed(done), current
-
-    def passed(self, key, watermark, state):
-        if state and state[4] and watermark >= state[2] + self.gap:  # rows to come are after the watermark
-            return self._closed([state]), (state[0], 0, 0, None, 0, float("nan"), 0)
-        return None, state
-
-    def wakes(self, state):
-        return state[2] + self.gap if state[4] else None
-
-
-def _rows(stream: DataFrame, late: str) -> DataFrame:
-    return stream.withWatermark("timestamp", late).withColumns({"micros": F.unix_micros("timestamp"), "entity": F.col("node")})
-
-
-def rolling_threshold(stream: DataFrame, calib: int, window: int, stride: int, q: float, late: str = "1 hour") -> DataFrame:
+            new |= ~F.col("entity").eqNullSafe(F.when(first, F.lit(entity).cast("string")).otherwise(F.col("entity_before")))
+        numbered = with_running_sum(placed.withColumn("new", new.cast("long")), ORDER, F.col("new"), "no").withColumn("no", F.col("no") + no)
+        at = F.struct(*ORDER)
+        peak = F.max(F.nanvl("score", F.lit(None).cast("double"))).alias("peak")
+        found = numbered.groupBy("no").agg(
+            F.min("micros").alias("start"), F.max("micros").alias("end"), F.min_by("entity", at).alias("entity"), F.count("*").alias("n"), peak, F.min_by("seq", at).alias("first_seq")
+        )
+        if last and last.open:  # it goes on, or closes
+            both = carried.drop("open").unionByName(found).groupBy("no")
+            found = both.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("entity", "end").alias("entity"), F.sum("n").alias("n"), F.max("peak").alias("peak"), F.min_by("first_seq", "end").alias("first_seq"))
+        found = written(found, "incidents")
+        top = found.agg(F.max("no")).first()[0]
+        _keep(found.where(F.col("no") == top).withColumn("open", F.lit(True)), folder, number)
+        return self._closed(found.where(F.col("no") < top))
+
+    def passed(self, spark, folder, watermark):
+        there = versions(spark, folder)
+        last = _before(spark, folder, None, self.state)
+        row = last.first() if last is not None else None
+        if row is None or not row.open or watermark < row["end"] + self.gap:  # rows to come are after the watermark
+            return None
+        held = spark.createDataFrame([row], self.state)
+        held.withColumn("open", F.lit(False)).write.mode("overwrite").parquet(f"{folder}/v{there[-1]}")
+        return self._closed(held)
+
+
+def rolling_threshold(stream: DataFrame, calib: int, window: int, stride: int, q: float, late: str = "1 hour") -> InOrder:
     """seq, i, flag and thr of the rows of one stream after the first ``calib``, as in batch."""
-    keyed = _rows(stream, late).withColumn("stream", F.lit("all")).select("stream", "timestamp", *COLUMNS)
-    return keyed.groupBy("stream").transformWithStateInPandas(TrailingThreshold(calib, window, stride, q), "seq long, i long, flag boolean, thr double", "append", "eventtime")
+    return TrailingThreshold(stream, late, calib, window, stride, q)
 
 
-def decay_by_node(stream: DataFrame, beta: float, late: str = "1 hour") -> DataFrame:
+def decay_by_node(stream: DataFrame, beta: float, late: str = "1 hour") -> InOrder:
     """Each node's decayed count of its earlier events."""
-    keyed = _rows(stream, late).select("node", "timestamp", *COLUMNS)
-    return keyed.groupBy("node").transformWithStateInPandas(Decay(beta), "node string, seq long, excitation double", "append", "eventtime")
+    return Decay(stream, late, beta)
 
 
-def incident_stream(stream: DataFrame, gap_seconds: float = 30.0, same_entity: bool = False, late: str = "1 hour") -> DataFrame:
+def incident_stream(stream: DataFrame, gap_seconds: float = 30.0, same_entity: bool = False, late: str = "1 hour") -> InOrder:
     """The incidents of a stream of anomalies, each once it is closed; numbers count from 1 in time order."""
-    keyed = _rows(stream, late).withColumn("stream", F.lit("all")).select("stream", "timestamp", *COLUMNS)
-    schema = "incident_no long, start timestamp_ntz, end timestamp_ntz, entity string, n_anomalies long, peak double, first_seq long"
-    return keyed.groupBy("stream").transformWithStateInPandas(Incidents(gap_seconds, same_entity), schema, "append", "eventtime")
+    return Incidents(stream, late, gap_seconds, same_entity)
 
 
 @contextmanager
@@ -224,7 +181,7 @@ def _state_on_disk(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def run_to_end(stream: DataFrame, build: Callable[[DataFrame], DataFrame], progress: list | None = None) -> DataFrame:
+def run_to_end(stream: DataFrame, build: Callable[[DataFrame], InOrder], progress: list | None = None) -> DataFrame:
     """Run ``build(stream)`` over what is there, close the stream with a heartbeat and return the whole result.
 
     progress: gets the progress of each micro-batch.
@@ -235,20 +192,28 @@ def run_to_end(stream: DataFrame, build: Callable[[DataFrame], DataFrame], progr
     nobody = spark.createDataFrame([], stream.schema)
     nobody.write.parquet(f"{root}/beats")
     beats = spark.readStream.schema(stream.schema).parquet(f"{root}/beats")
-    out = build(stream.unionByName(beats))
+    operator = build(stream.unionByName(beats))
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+        rows = written(operator.due(batch), "due")
+        out = spark.createDataFrame([], operator.schema) if rows.isEmpty() else operator.released(spark.read.schema(rows.schema).parquet(*rows.inputFiles()), f"{root}/carried", number)
+        out.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
-    def run() -> None:
+    def run(name: str) -> None:
         with _state_on_disk(spark):
-            query = out.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{root}/state").foreachBatch(keep).start()
+            query = operator.held.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{root}/state").foreachBatch(keep).start()
         query.awaitTermination()
         if progress is not None:
             progress.extend(query.recentProgress)
+        mark = query.lastProgress and query.lastProgress["eventTime"].get("watermark")
+        if mark:
+            micros = round((datetime.fromisoformat(mark) - datetime(1970, 1, 1, tzinfo=UTC)).total_seconds() * 1e6)
+            if (out := operator.passed(spark, f"{root}/carried", micros)) is not None:
+                out.write.parquet(f"{root}/out/batch={name}")
 
-    run()
+    run("reached")
     empty = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != "timestamp" else F.lit(CLOSING).cast(f.dataType).alias(f.name) for f in stream.schema]
     spark.range(1).select(*empty).write.mode("append").parquet(f"{root}/beats")
-    run()
+    run("closed")
+    out = spark.createDataFrame([], operator.schema)
     return spark.read.schema(out.schema).option("basePath", f"{root}/out").parquet(f"{root}/out").select(*out.columns)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.operators import triage
+from emberlog.operators import ordered, triage
 from emberlog.operators.ordered import decayed_counts
 from emberlog.streaming import ordered_streams, streams
 
@@ -134,3 +134,25 @@ def test_closed_incidents_equal_those_of_batch(spark, tmp_path):
     batch = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("node", "entity")
     want = triage.correlate(batch, 120.0, True).groupBy("incident_no").agg(F.count("*").alias("n"), F.min("timestamp").alias("start"), F.max("timestamp").alias("end"))
     assert sorted((r.incident_no, r.n_anomalies, r.start, r.end) for r in out.collect()) == sorted((r.incident_no, r.n, r.start, r.end) for r in want.collect())
+
+
+def test_rows_of_one_stream_wait_under_keys_of_their_own(spark, tmp_path):
+    """One stream's rows, like rows among them, are not the state of one key."""
+    rows = [row(k // 2, k // 2, score=float(k // 2)) for k in range(40)]
+    progress = []
+    out = ordered_streams.run_to_end(stream_of(spark, tmp_path, [rows]), lambda s: ordered_streams.rolling_threshold(s, 10, 8, 5, 0.2, "30 minutes"), progress).collect()
+    assert sorted(r.i for r in out) == list(range(30)) and sorted(r.seq for r in out) == [k // 2 for k in range(10, 40)]
+    assert max(op.numRowsTotal for p in progress for op in p.stateOperators) >= 20
+    assert {op.operatorName for p in progress for op in p.stateOperators} == {"stateStoreSave"}
+
+
+def test_a_node_over_several_ranges_decays_across_them(spark):
+    """One node has most rows, so ranges cut it; null and small nodes lie beside it."""
+    rnd = random.Random(1)
+    rows = [(k, rnd.randrange(10**9), rnd.choice([None, "a"] + ["b"] * 30), rnd.choice([1.0, 1.0, 2.5])) for k in range(600)]
+    table = spark.createDataFrame(rows, "seq long, micros long, node string, w double")
+    got = ordered.with_decay_by(table, "node", "micros", ["micros", "seq"], "w", 1e-8, "x").collect()
+    assert len(got) == 600
+    for r in got:
+        want = sum(w * np.exp(-1e-8 * (r.micros - m)) for s, m, node, w in rows if node == r.node and (m, s) < (r.micros, r.seq))
+        assert abs(r.x - want) < 1e-9 * max(1, want)
