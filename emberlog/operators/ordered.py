@@ -177,7 +177,8 @@ def with_decay_by(df: DataFrame, key: str, time: str, order: Sequence[str], weig
     a border is in several ranges, and its state there, one row for each range, decays into
     the next ones.
     """
-    ranged = in_ranges(df, [key, *order])
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order).withColumn(PART, F.spark_partition_id())
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema) + f", {name} double"
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,8 +199,7 @@ def with_decay_by(df: DataFrame, key: str, time: str, order: Sequence[str], weig
                 of, last, state, a = here, t[b - 1], out[b - 1] + w[b - 1], b
             yield batch.append_column(name, pa.array(out))
 
-    n = int(ranged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = written(ranged.repartition(n, PART).sortWithinPartitions(PART, key, *order).mapInArrow(local, schema), "decay")
+    own = written(ranged.mapInArrow(local, schema), "decay")
     last = F.max_by(F.struct(F.col(key).alias("key"), F.col(time).alias("since"), (F.col(name) + F.col(weight)).alias("state")), F.struct(key, *order))
     ends = own.groupBy(PART).agg(F.min(F.struct(F.col(key).alias("key"))).alias("first"), last.alias("last")).orderBy(PART).collect()
     rows, before = [], None
