@@ -156,3 +156,11 @@ def test_a_node_over_several_ranges_decays_across_them(spark):
     for r in got:
         want = sum(w * np.exp(-1e-8 * (r.micros - m)) for s, m, node, w in rows if node == r.node and (m, s) < (r.micros, r.seq))
         assert abs(r.x - want) < 1e-9 * max(1, want)
+
+
+def test_alerts_of_one_stream_wait_under_keys_of_their_own(spark, tmp_path):
+    progress = []
+    rows = [row(k, 5 * k, "ab"[k > 6], score=float(k)) for k in range(12)]
+    out = ordered_streams.run_to_end(stream_of(spark, tmp_path, [rows]), lambda s: ordered_streams.incident_stream(s, 300.0, True, "10 minutes"), progress).collect()
+    assert sorted((r.incident_no, r.n_anomalies, r.first_seq, r.peak) for r in out) == [(1, 7, 0, 6.0), (2, 5, 7, 11.0)]
+    assert {op.operatorName for p in progress for op in p.stateOperators} == {"stateStoreSave"}
