@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import masked
@@ -98,6 +98,69 @@ def _clustered(lines: DataFrame, similarity: float, name: str) -> DataFrame:
     return found.where("template IS NULL").drop("template").join(named, ["route", "cluster"]).select("route", "masked_line", "template")
 
 
+def _mined_counts(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
+    """Rows in order of route and first line to the templates of each route, with their first line and number of lines."""
+    route, clusters, first, n = None, Clusters(similarity), [], []
+
+    def finished() -> pd.DataFrame:
+        return pd.DataFrame({"route": route, "masked_line": clusters.templates(), "first_line": first, "lines": n})
+
+    for batch in batches:
+        out = []
+        for own, line, at, some in zip(batch["route"], batch["masked_line"], batch["first_line"], batch["lines"], strict=True):
+            if own != route:
+                if n:
+                    out.append(finished())
+                route, clusters, first, n = own, Clusters(similarity), [], []
+            k = clusters.add(line.split(" "))
+            if k == len(n):
+                first.append(at)
+                n.append(0)
+            n[k] += some
+        if out:
+            yield pd.concat(out)
+    if n:
+        yield finished()
+
+
+def _clustered_counts(lines: DataFrame, similarity: float) -> DataFrame:
+    """(route, masked_line, first_line, lines) to the same of templates: no line leaves the task that mines its route."""
+    columns = ["route", "masked_line", "first_line", "lines"]
+    sorted_ = lines.select(*columns).repartition("route").sortWithinPartitions("route", "first_line", "masked_line")
+    schema = f"route string, masked_line string, first_line {lines.schema['first_line'].dataType.simpleString()}, lines long"
+    return written(sorted_.mapInPandas(lambda batches: _mined_counts(batches, similarity), schema), "counted")
+
+
+def _route(depth: int) -> Column:
+    tokens = F.split("masked_line", " ")
+    heads = [F.when(F.get(tokens, F.lit(k)).rlike(r"\d"), WILDCARD).otherwise(F.coalesce(F.get(tokens, F.lit(k)), F.lit(""))) for k in range(depth - 2)]
+    return F.concat_ws("\x1f", F.size(tokens), *heads)
+
+
+def template_counts(lines: DataFrame, order: str, masks, depth: int = 4, similarity: float = 0.5, column: str = "content", part_lines: int = 50_000) -> DataFrame:
+    """(template, event_id, n): the templates of mine_templates() and their lines, a NULL one for NULL lines.
+
+    Distinct lines carry their number, so that texts move twice, when they are made distinct
+    and when they are dealt to their routes; only templates come out of that.
+    """
+    tidy = F.trim(F.regexp_replace(masked(F.col(column), masks), r"\s+", " "))
+    distinct = lines.select(tidy.alias("masked_line"), F.col(order).alias("at")).groupBy("masked_line").agg(F.min("at").alias("first_line"), F.count("*").alias("lines"))
+    routed = written(distinct.select(_route(depth).alias("route"), "masked_line", "first_line", "lines"), "routed")
+    whole = routed.where("masked_line IS NOT NULL")
+    parts = whole.groupBy("route").agg(F.ceil(F.count("*") / F.lit(part_lines)).alias("parts"))
+    large = written(parts.where("parts > 1"), "large")
+    if large.isEmpty():
+        found = _clustered_counts(whole, similarity)
+    else:
+        part = F.coalesce(F.pmod(F.xxhash64("masked_line"), F.col("parts")), F.lit(0))
+        dealt = whole.join(large, "route", "left").withColumn("route", F.concat_ws("\x1e", part.cast("string"), "route"))
+        own = _clustered_counts(dealt, similarity).withColumn("route", F.substring_index("route", "\x1e", -1))
+        again = own.join(large, "route", "left_semi").groupBy("route", "masked_line").agg(F.min("first_line").alias("first_line"), F.sum("lines").alias("lines"))
+        found = own.join(large, "route", "left_anti").unionByName(_clustered_counts(again, similarity))
+    found = found.unionByName(routed.where("masked_line IS NULL")).groupBy(F.col("masked_line").alias("template")).agg(F.sum("lines").alias("n"))
+    return found.withColumn("event_id", F.left(F.md5("template"), F.lit(8)))
+
+
 def mine_templates(lines: DataFrame, order: str, masks, depth: int = 4, similarity: float = 0.5, column: str = "content", part_lines: int = 50_000) -> DataFrame:
     """lines with template and event_id (the first 8 hex digits of the template's MD5), NULL for NULL lines.
 
@@ -108,9 +171,8 @@ def mine_templates(lines: DataFrame, order: str, masks, depth: int = 4, similari
     """
     tidy = F.trim(F.regexp_replace(masked(F.col(column), masks), r"\s+", " "))
     rows = lines.withColumn("masked_line", tidy)
-    distinct = rows.where("masked_line IS NOT NULL").groupBy("masked_line").agg(F.min(order).alias("first_line")).withColumn("tokens", F.split("masked_line", " "))
-    heads = [F.when(F.get("tokens", F.lit(k)).rlike(r"\d"), WILDCARD).otherwise(F.coalesce(F.get("tokens", F.lit(k)), F.lit(""))) for k in range(depth - 2)]
-    routed = written(distinct.select(F.concat_ws("\x1f", F.size("tokens"), *heads).alias("route"), "masked_line", "first_line"), "routed")
+    distinct = rows.where("masked_line IS NOT NULL").groupBy("masked_line").agg(F.min(order).alias("first_line"))
+    routed = written(distinct.select(_route(depth).alias("route"), "masked_line", "first_line"), "routed")
     parts = routed.groupBy("route").agg(F.ceil(F.count("*") / F.lit(part_lines)).alias("parts"))
     large = written(parts.where("parts > 1"), "large")
     if large.isEmpty():

@@ -303,3 +303,13 @@ def test_unit_histogram_has_its_empty_bins(spark):
     rows = spark.createDataFrame([(1,), (4,), (4,), (0,), (None,)], "n int")
     assert sorted(map(tuple, unit_histogram(rows, "n", 1).collect())) == [(1, 1), (2, 0), (3, 0), (4, 2)]
     assert unit_histogram(rows.limit(0), "n").collect() == []
+
+
+@pytest.mark.parametrize("part_lines", [40, 50_000])
+def test_counts_of_templates_are_those_of_the_lines(spark, part_lines):
+    """Whole, in parts, with repeated and NULL lines."""
+    text = [f"open {'ab'[k % 2]} x{k % 61} y{k % 7} z" if k % 3 else f"close n{k % 5}" for k in range(400)] + [None, None]
+    rows = spark.createDataFrame(list(enumerate(text)), "n long, content string")
+    lines = templates.mine_templates(rows, "n", (), similarity=0.6, part_lines=part_lines).groupBy("template", "event_id").count()
+    got = templates.template_counts(rows, "n", (), similarity=0.6, part_lines=part_lines)
+    assert sorted(map(str, got.select("template", "event_id", "n").collect())) == sorted(str(r).replace("count=", "n=") for r in lines.collect())
