@@ -17,12 +17,13 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.ordered import in_ranges, with_decay_by, with_previous, with_running_sum
 from ..operators.scratch import delete, remove_local, shared_folder, versions, written
@@ -55,6 +56,12 @@ class InOrder:
         return None
 
 
+def _alike(spark: SparkSession, schema: StructType | str, n: int, values: Mapping = {}) -> DataFrame:  # noqa: B006
+    """``n`` rows with these values and else NULL, from Spark itself: createDataFrame passes rows, even none, through Python workers on the executors."""
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return spark.range(0, n, 1, 1).select(*[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in fields])
+
+
 def _before(spark: SparkSession, folder: str, number: int | None, schema: str) -> DataFrame | None:
     """The state before micro-batch ``number``, or the last one."""
     there = [v for v in versions(spark, folder) if number is None or v < number]
@@ -149,7 +156,7 @@ class Incidents(InOrder):
         row = last.first() if last is not None else None
         if row is None or not row.open or watermark < row["end"] + self.gap:  # rows to come are after the watermark
             return None
-        held = spark.createDataFrame([row], self.state)
+        held = _alike(spark, self.state, 1, row.asDict())
         held.withColumn("open", F.lit(False)).write.mode("overwrite").parquet(f"{folder}/v{there[-1]}")
         return self._closed(held)
 
@@ -189,14 +196,13 @@ def run_to_end(stream: DataFrame, build: Callable[[DataFrame], InOrder], progres
     spark = stream.sparkSession
     root = f"{shared_folder(spark)}/ordered-{uuid.uuid4().hex[:12]}"
     atexit.register(remove_local, root)
-    nobody = spark.createDataFrame([], stream.schema)
-    nobody.write.parquet(f"{root}/beats")
+    _alike(spark, stream.schema, 0).write.parquet(f"{root}/beats")
     beats = spark.readStream.schema(stream.schema).parquet(f"{root}/beats")
     operator = build(stream.unionByName(beats))
 
     def keep(batch: DataFrame, number: int) -> None:
         rows = written(operator.due(batch), "due")
-        out = spark.createDataFrame([], operator.schema) if rows.isEmpty() else operator.released(spark.read.schema(rows.schema).parquet(*rows.inputFiles()), f"{root}/carried", number)
+        out = _alike(spark, operator.schema, 0) if rows.isEmpty() else operator.released(spark.read.schema(rows.schema).parquet(*rows.inputFiles()), f"{root}/carried", number)
         out.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
     def run(name: str) -> None:
@@ -212,8 +218,6 @@ def run_to_end(stream: DataFrame, build: Callable[[DataFrame], InOrder], progres
                 out.write.parquet(f"{root}/out/batch={name}")
 
     run("reached")
-    empty = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != "timestamp" else F.lit(CLOSING).cast(f.dataType).alias(f.name) for f in stream.schema]
-    spark.range(1).select(*empty).write.mode("append").parquet(f"{root}/beats")
+    _alike(spark, stream.schema, 1, {"timestamp": CLOSING}).write.mode("append").parquet(f"{root}/beats")
     run("closed")
-    out = spark.createDataFrame([], operator.schema)
-    return spark.read.schema(out.schema).option("basePath", f"{root}/out").parquet(f"{root}/out").select(*out.columns)
+    return spark.read.schema(operator.schema).option("basePath", f"{root}/out").parquet(f"{root}/out").select(*StructType.fromDDL(operator.schema).names)

@@ -164,3 +164,12 @@ def test_alerts_of_one_stream_wait_under_keys_of_their_own(spark, tmp_path):
     out = ordered_streams.run_to_end(stream_of(spark, tmp_path, [rows]), lambda s: ordered_streams.incident_stream(s, 300.0, True, "10 minutes"), progress).collect()
     assert sorted((r.incident_no, r.n_anomalies, r.first_seq, r.peak) for r in out) == [(1, 7, 0, 6.0), (2, 5, 7, 11.0)]
     assert {op.operatorName for p in progress for op in p.stateOperators} == {"stateStoreSave"}
+
+
+def test_incidents_take_no_python_on_the_executors(spark, tmp_path, monkeypatch):
+    """Neither rows nor the state between micro-batches pass through a Python worker, whose memory grew with the waiting alerts."""
+    rows = [row(k, 5 * k, "ab"[k > 6], score=float(k)) for k in range(12)] + [row(12, 900, "b", score=1.5), row(13, 1100, None, score=float("nan"))]
+    stream = stream_of(spark, tmp_path, [rows[:9], rows[9:13], rows[13:]])
+    monkeypatch.setattr(spark.sparkContext, "pythonExec", str(tmp_path / "no-python"))
+    out = ordered_streams.run_to_end(stream, lambda s: ordered_streams.incident_stream(s, 300.0, True, "10 minutes")).orderBy("incident_no").collect()
+    assert [(r.incident_no, r.n_anomalies, r.entity, r.first_seq, r.peak) for r in out] == [(1, 7, "a", 0, 6.0), (2, 5, "b", 7, 11.0), (3, 1, "b", 12, 1.5), (4, 1, None, 13, None)]
